@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from .common import arrow_map, pick
 NO_RANK = 1 << 60
 #: White space as the vocabulary's pattern has it. str.split() also cuts at U+001C to U+001F, which are not in it.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def merge_parts(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -120,6 +121,10 @@ class WordBpe:
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.digest_parts(text)[1].split()]
 
+    def encode_array(self, text: str) -> np.ndarray:
+        """Ids as an array, by way of the remembered words."""
+        return np.fromstring(self.digest_parts(text)[1], dtype=np.int64, sep=" ") if text else np.empty(0, np.int64)
+
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as a vocabulary without a decoder is read back; unknown ids are left out."""
         return " ".join([self.names[i] for i in ids if i in self.names])

@@ -110,7 +110,7 @@ class Kept:
         df.write.partitionBy(*parts).option("compression", "zstd").parquet(path)
         # The written table replaces the lineage, so the shuffle files behind it may go.
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path) if not parts else self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -159,3 +159,104 @@ def connected_components(spark: SparkSession, edges: DataFrame, kept: Kept | Non
             return after.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(centres)
         kept.drop(f"cc{turn - 1}")
         now = after
+
+
+def attached(batches: Iterator[pa.RecordBatch], side: tuple[str, ...]) -> Iterator[tuple[int, bytes, dict[str, np.ndarray]]]:
+    """(doc_id, text, side columns) for each text row of a stream sorted by (doc_id, kind).
+
+    Rows of kind 0 carry side columns of their document and come before its text rows, of kind 1. Only one document's
+    side rows are held between batches.
+    """
+    held, held_key = {c: np.empty(0, np.int64) for c in side}, None
+    for batch in batches:
+        key = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        small = batch.column("kind").to_numpy(zero_copy_only=False) == 0
+        columns = {c: np.asarray(pa.compute.fill_null(batch.column(c), 0)) for c in side}
+        texts = batch.column("text")
+        if not len(key):
+            continue
+        for t in np.flatnonzero(~small).tolist():
+            lo = int(np.searchsorted(key, key[t], side="left"))
+            here = np.flatnonzero(small[lo:t]) + lo
+            rows = {c: v[here] for c, v in columns.items()}
+            if held_key == key[t]:
+                rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()}
+            yield int(key[t]), (texts[t].as_py() or "").encode(), rows
+        lo = int(np.searchsorted(key, key[-1], side="left"))
+        here = np.flatnonzero(small[lo:]) + lo
+        same = held_key == key[-1]
+        held = {c: np.concatenate([held[c], v[here]]) if same else v[here] for c, v in columns.items()}
+        held_key = key[-1]
+
+
+def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of a stream of tuples."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += sum(len(v) for v in row if isinstance(v, (bytes, str)))
+        if len(held) >= size or n >= max_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def meetings(keys: DataFrame, parts: int) -> DataFrame:
+    """From (key, doc, more) rows the rows (key, doc, first) of every key that two documents or more share.
+
+    doc is the smallest document of a map-side batch and more its others, packed. A partition is sorted and streamed, so
+    a key of any frequency needs no memory; first is the key's smallest document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = last_first = None
+        shared, held = False, None  # whether the last key's rows are being passed on; its one row if not yet
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            doc = batch.column("doc").to_numpy(zero_copy_only=False)
+            more = batch.column("more").to_pylist() if batch.column("more").null_count < batch.num_rows else None
+            if held is not None:
+                key, doc, more = np.r_[held[0], key], np.r_[held[1], doc], ([None] + more if more is not None else None)
+            start = np.r_[True, key[1:] != key[:-1]]
+            at = np.flatnonzero(start)
+            run_of = np.cumsum(start) - 1
+            first = doc[at].copy()
+            ends = np.r_[at[1:], len(key)]
+            several = doc[ends - 1] != first  # sorted by doc within a key
+            if more is not None:
+                several[[run_of[i] for i, m in enumerate(more) if m]] = True
+            if held is None and last_key is not None and key[0] == last_key:
+                first[0], several[0] = last_first, True
+            last_key, last_first, shared = key[-1], first[-1], bool(several[-1])
+            held = None if shared else (key[-1], doc[-1])
+            pick_ = several[run_of]
+            k, d, f = key[pick_], doc[pick_], first[run_of][pick_]
+            if more is not None:
+                extra = [(key[i], first[run_of[i]], np.frombuffer(m, np.int64)) for i, m in enumerate(more) if m]
+                if extra:
+                    sizes = [len(e[2]) for e in extra]
+                    k = np.r_[k, np.repeat([e[0] for e in extra], sizes)]
+                    f = np.r_[f, np.repeat([e[1] for e in extra], sizes)]
+                    d = np.r_[d, np.concatenate([e[2] for e in extra])]
+            for i in range(0, len(k), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 100_000]) for v in (k, d, f)], names=["key", "doc", "first"])
+
+    return keys.repartition(parts, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, first long")
+
+
+def packed_keys(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, doc, more) for meetings(): one row per key of the batch."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    key, doc = key[new], doc[new]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    ends = np.r_[at[1:], len(key)].astype(np.int64)
+    more = [None] * len(at)
+    for i in np.flatnonzero(ends - at > 1).tolist():
+        more[i] = doc[at[i] + 1 : ends[i]].tobytes()
+    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(doc[at]), pa.array(more, pa.binary())], names=["key", "doc", "more"])

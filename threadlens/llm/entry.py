@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets
+from . import bpe, mixing, packing, pii, quality, secrets, substring, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,13 +21,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def span_digest(found: DataFrame, kinds: list[str], order: str = "found") -> DataFrame:
-    """doc_id, a count per base kind, the digest of the base spans and the text of all spans, from `found`."""
-    base = F.filter(order, lambda s: s["kind"].isin(kinds))
+def span_digest(found: DataFrame, kinds: list[str], by_flag: bool = False) -> DataFrame:
+    """doc_id, a count per base kind, the digest of the base spans and the text of all spans, from `found`.
+
+    Base spans are those of the kinds given, or those flagged `base`.
+    """
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    of_kind = lambda k: F.filter(order, lambda s: s["kind"] == k)
+    base = F.filter("found", lambda s: s["base"] if by_flag else s["kind"].isin(kinds))
+    of_kind = lambda k: F.filter(base, lambda s: s["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in kinds]
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col(order)).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
+
+
+def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.word_bpe_tokenizer(tokenizer_path("word_bpe_49k.json")))
+
+
+def op3_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(_table(spark, sf_dir, "documents"))
+    return span_digest(found, list(pii.KINDS), by_flag=True)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark, _table(spark, sf_dir, "pages"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(spark, _table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, _table(spark, sf_dir, "documents"))[0]
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +67,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_secret_scan, op7_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_packing, op3_pii_scan, op5_url_filter, op6_secret_scan, op7_quality_rules, op8_substring_dedup, op9_source_mixing, op10_bpe)}
+
+
+OP8_SQL = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+places as (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w where len(words) >= 13),
+windows as (select doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') as body from places),
+firsts as (select body, min(doc_id) as first from windows group by body having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as at from windows join firsts using (body) where first < doc_id),
+lost as (select doc_id, list(at) as ats from gone group by doc_id),
+kept as (select w.doc_id, len(words) as n_words, coalesce(len(ats), 0) as n_removed,
+  case when ats is null then words else list_filter(words, lambda x, i: not list_contains(ats, i)) end as left_over from w left join lost using (doc_id))
+select doc_id, n_words, n_removed, sha256(coalesce(array_to_string(left_over, ' '), '')) as kept_sha256 from kept
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can express over whole tables in reasonable time; the rest is tested by brute force."""
+    return {"op8_substring_dedup": OP8_SQL}
