@@ -119,19 +119,13 @@ class Kept:
             path.getFileSystem(conf).delete(path, True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a table's size, known without a job."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    except Exception as e:  # an estimate that overflows or is missing is no reason to fail
-        if "Py4J" not in type(e).__name__:
-            raise
-        return 1 << 30
-
-
 def parts_for(spark: SparkSession, df: DataFrame, bytes_each: int = 32 << 20) -> int:
-    """Partitions for a shuffle of about the input's size: at least the session's, more as the input grows."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, input_bytes(df) // bytes_each))
+    """Partitions for a shuffle of about the input's size: at least the session's, more as the input grows.
+
+    The size is Catalyst's estimate, known without a job; a plan without one reports an absurd size.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // bytes_each if size < 1 << 60 else 0)
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, kept: Kept | None = None) -> DataFrame:
