@@ -72,3 +72,141 @@ def test_substring_documents(spark):
 
 def test_substring_empty(spark):
     assert run_substring(spark, []) == []
+
+
+def components(nodes, links):
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return {n: root(n) for n in nodes}
+
+
+def brute_jaccard(rows):
+    sets = {}
+    for doc, text in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    docs = sorted(sets)
+    links = []
+    for x, a in enumerate(docs):
+        for b in docs[x + 1 :]:
+            if sets[a] and sets[b] and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])):
+                inter = len(sets[a] & sets[b])
+                if 100 * inter >= 80 * (len(sets[a]) + len(sets[b]) - inter):
+                    links.append((a, b))
+    root = components(docs, links)
+    return sorted((d, len(sets[d]), root[d]) for d, _ in rows)
+
+
+def near_copies(seed, groups=6, size=25):
+    """Chains and stars of near copies around the threshold, exact copies, and a line that all share."""
+    rnd = random.Random(seed)
+    words = [f"W{i}é" for i in range(900)]
+    line = [rnd.choice(words) for _ in range(15)]
+    rows = [(0, None), (1, ""), (2, "Three little words"), (3, "three LITTLE words"), (4, " \n"), (5, "one two three four five"), (6, "a " * 500)]
+    n = 7
+    for _ in range(groups):
+        base = [rnd.choice(words) for _ in range(rnd.randrange(30, 120))] + line
+        for k in range(size):
+            doc = list(base)
+            for _ in range(rnd.randrange(5)):
+                doc[rnd.randrange(len(doc))] = rnd.choice(words)
+            if k % 5 == 0:
+                base = doc
+            rows.append((n, " ".join(doc)))
+            n += 1
+    rows += [(n + i, " ".join([rnd.choice(words) for _ in range(40)] + line)) for i in range(40)]
+    rows.append((n + 50, rows[10][1].upper().replace("É", "é")))
+    rnd.shuffle(rows)
+    return rows
+
+
+def run_jaccard(spark, rows, **more):
+    from threadlens.llm import jaccard
+
+    table = as_table(spark, rows).withColumn("n", F.lit(1))
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(spark, table, **more).collect())
+
+
+def test_jaccard_near_copies(spark):
+    for seed in (1, 2):
+        rows = near_copies(seed)
+        assert run_jaccard(spark, rows) == brute_jaccard(rows)
+
+
+def test_jaccard_cut_regions(spark):
+    rows = near_copies(3, 2, 60)
+    assert run_jaccard(spark, rows, caps=(20, 7)) == brute_jaccard(rows)
+
+
+def test_jaccard_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert run_jaccard(spark, rows) == brute_jaccard(rows)
+    assert run_jaccard(spark, []) == []
+
+
+def test_region_recursion():
+    import numpy as np
+
+    from threadlens.llm import jaccard
+
+    rnd = random.Random(9)
+    for _ in range(4):
+        sets, base = [], [set(rnd.sample(range(4000), 60)) for _ in range(12)]
+        for _ in range(300):
+            s = set(rnd.choice(base))
+            for _ in range(rnd.randrange(8)):
+                s.discard(rnd.choice(sorted(s)))
+                s.add(rnd.randrange(4000))
+            sets.append(s)
+        docs = np.array(rnd.sample(range(1000), len(sets)))
+        links = [(int(docs[i]), int(docs[j])) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        want = components(docs.tolist(), links)
+        got = dict(jaccard.join_sets(docs, [np.array(sorted(s), np.uint64) for s in sets], 80))
+        assert {d: got.get(d, d) for d in docs.tolist()} == want
+
+
+def brute_vectors(rows):
+    import numpy as np
+
+    ok = {}
+    for i, (_, v) in enumerate(rows):
+        if v and all(c is not None and np.isfinite(c) for c in v) and any(v):
+            x = np.array(v, float)
+            x /= np.abs(x).max()
+            ok[i] = x / np.linalg.norm(x)
+    links = [(i, j) for i in ok for j in ok if i < j and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] >= 0.9]
+    n = defaultdict(int)
+    for i, j in links:
+        n[i] += 1
+        n[j] += 1
+    root = components([r[0] for r in rows], [(rows[i][0], rows[j][0]) for i, j in links])
+    return sorted((r[0], n[i], root[r[0]], root[r[0]] == r[0]) for i, r in enumerate(rows))
+
+
+def test_vectors(spark):
+    import numpy as np
+
+    from threadlens.llm import vectors
+
+    rng = np.random.default_rng(1)
+    rows = [(0, None), (1, []), (2, [0.0] * 64), (3, [None] + [1.0] * 63), (4, [float("nan")] * 64), (5, [float("inf")] + [0.0] * 63), (6, [1.0, 0.0]), (7, [2.0, 0.1]), (8, [1e300] * 64), (9, [1e-300] * 64)]
+    for i in range(30):
+        c = rng.standard_normal(64)
+        for k in range(10):
+            rows.append((len(rows), (c + rng.standard_normal(64) * rng.choice([0, 0.2, 0.4, 0.6])).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("weight", F.lit(1)).repartition(3)
+    for cap in (12_000, 40):
+        got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near(spark, df, cap=cap).collect())
+        assert got == brute_vectors(rows)
+    data = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near(spark, spark.read.parquet(f"{SF}/embeddings.parquet")).collect())
+    assert got == brute_vectors(data)
+    assert vectors.near(spark, df.limit(0)).collect() == []

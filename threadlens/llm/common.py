@@ -254,3 +254,50 @@ def packed_keys(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     for i in np.flatnonzero(ends - at > 1).tolist():
         more[i] = doc[at[i] + 1 : ends[i]].tobytes()
     return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(doc[at]), pa.array(more, pa.binary())], names=["key", "doc", "more"])
+
+
+def blocked(kept: Kept, name: str, rows: DataFrame, keys: list[str], spread: str, cap: int) -> DataFrame:
+    """rows with part, i, j: groups of more than `cap` rows are cut into parts, and each pair of parts becomes a task.
+
+    A row goes to the tasks (i, j), i <= j, that its part takes part in; a pair of rows meets in exactly one of them.
+    """
+    large = kept.keep(name, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select(*keys, F.ceil(F.col("n") / cap).cast("int").alias("cuts")))
+    cut = rows.join(large, keys, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("cuts")), F.lit(0)).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.expr("sequence(0, coalesce(cuts, 1) - 1)")))
+    return cut.select("*", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).drop("cuts", "other")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of each group of a stream sorted by the keys."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        edge = np.zeros(batch.num_rows, bool)
+        edge[0] = True
+        for c in columns:
+            edge[1:] |= c[1:] != c[:-1]
+        at = np.flatnonzero(edge).tolist()
+        for a, b in zip(at, [*at[1:], batch.num_rows]):
+            here = tuple(c[a].item() for c in columns)
+            if here != key:
+                if held:
+                    yield key, pa.Table.from_batches(held).combine_chunks()
+                held, key = [], here
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks()
+
+
+def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0..n-1, the smallest node each is joined to by the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if np.array_equal(low, root):
+            return root
+        root = low

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, packing, pii, quality, secrets, substring, urls
+from . import bpe, jaccard, mixing, packing, pii, quality, secrets, substring, urls, vectors
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,11 +37,19 @@ def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.word_bpe_tokenizer(tokenizer_path("word_bpe_49k.json")))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(spark, _table(spark, sf_dir, "documents"))
+
+
 def op3_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(_table(spark, sf_dir, "documents"))
     return span_digest(found, list(pii.KINDS), by_flag=True)
 
 
+def op4_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, _table(spark, sf_dir, "pages"))
 
@@ -67,7 +75,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_packing, op3_pii_scan, op5_url_filter, op6_secret_scan, op7_quality_rules, op8_substring_dedup, op9_source_mixing, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_packing, op2_jaccard_join, op3_pii_scan, op4_vector_join, op5_url_filter, op6_secret_scan, op7_quality_rules, op8_substring_dedup, op9_source_mixing, op10_bpe)}
 
 
 OP8_SQL = """
