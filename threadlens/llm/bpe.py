@@ -147,11 +147,12 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             id_sums.append(hashlib.sha256(joined.encode()).hexdigest())
             text_sums.append(hashlib.sha256(decoded.encode()).hexdigest())
             if ids:
-                all_ids.append([int(i) for i in joined.split()])
+                all_ids.append(np.fromstring(joined, dtype=np.int32, sep=" "))
         arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if ids:
-            arrays, names = [*arrays, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
+            offsets = pa.array(np.cumsum([0, *map(len, all_ids)]), pa.int32())
+            arrays, names = [*arrays, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *all_ids])))], [*names, "ids"]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return arrow_map(pick(df, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids, max_bytes=1 << 20)

@@ -12,6 +12,7 @@ import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 #: Characters that separate words in every contract here: space and U+0009 to U+000D.
@@ -77,7 +78,7 @@ def gram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return mix64(h)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, column: str = "text", max_bytes: int = SLICE_BYTES) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType, column: str = "text", max_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over small slices, one output stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,18 +156,17 @@ def connected_components(spark: SparkSession, edges: DataFrame, kept: Kept | Non
         now = after
 
 
-def attached(batches: Iterator[pa.RecordBatch], side: tuple[str, ...]) -> Iterator[tuple[int, bytes, dict[str, np.ndarray]]]:
-    """(doc_id, text, side columns) for each text row of a stream sorted by (doc_id, kind).
+def attached_rows(batches: Iterator[pa.RecordBatch], side: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, int, dict[str, np.ndarray]]]:
+    """(batch, row number, side columns) for each text row of a stream sorted by (doc_id, kind).
 
     Rows of kind 0 carry side columns of their document and come before its text rows, of kind 1. Only one document's
     side rows are held between batches.
     """
     held, held_key = {c: np.empty(0, np.int64) for c in side}, None
     for batch in batches:
-        key = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        key = np.asarray(pa.compute.fill_null(batch.column("doc_id"), -(1 << 63)))
         small = batch.column("kind").to_numpy(zero_copy_only=False) == 0
         columns = {c: np.asarray(pa.compute.fill_null(batch.column(c), 0)) for c in side}
-        texts = batch.column("text")
         if not len(key):
             continue
         for t in np.flatnonzero(~small).tolist():
@@ -175,7 +175,7 @@ def attached(batches: Iterator[pa.RecordBatch], side: tuple[str, ...]) -> Iterat
             rows = {c: v[here] for c, v in columns.items()}
             if held_key == key[t]:
                 rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()}
-            yield int(key[t]), (texts[t].as_py() or "").encode(), rows
+            yield batch, t, rows
         lo = int(np.searchsorted(key, key[-1], side="left"))
         here = np.flatnonzero(small[lo:]) + lo
         same = held_key == key[-1]
@@ -183,6 +183,12 @@ def attached(batches: Iterator[pa.RecordBatch], side: tuple[str, ...]) -> Iterat
         held_key = key[-1]
 
 
+def attached(batches: Iterator[pa.RecordBatch], side: tuple[str, ...]) -> Iterator[tuple[int | None, bytes, dict[str, np.ndarray]]]:
+    """(doc_id, text, side columns) of attached_rows()."""
+    for batch, t, rows in attached_rows(batches, side):
+        yield batch.column("doc_id")[t].as_py(), (batch.column("text")[t].as_py() or "").encode(), rows
+
+
 def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of a stream of tuples."""
     held, n = [], 0

@@ -262,3 +262,9 @@ def similar(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col
         .join(components.withColumnRenamed("id", "class_id"), "class_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") > 0, F.col("class_id")), "doc_id").alias("component_id"), F.coalesce(F.when(F.col("n") > 0, F.col("class_id")), "doc_id").alias("class_id"))
     )
+
+
+def one_of_each(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The rows of a table with doc_id and text whose document is the smallest of its component; rows of one doc_id stay or go together."""
+    stay = similar(spark, df).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    return df.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")

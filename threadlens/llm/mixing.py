@@ -20,8 +20,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Kept, arrow_map, mix64, raw
+from .common import Kept, arrow_map, attached_rows, in_batches, mix64, parts_for, raw
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 #: Words of a block; sources of under 64 such blocks get shorter ones. Slots of an output shard, and most shards.
@@ -116,8 +117,12 @@ def document_sizes(df: DataFrame) -> DataFrame:
     return arrow_map(slim, run, "doc_id long, source string, size long")
 
 
-def mix(spark: SparkSession, df: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(documents, slots): per document doc_id, size, source_size, target, taken; per slot its shard, source and block."""
+def mix(spark: SparkSession, df: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, slots, spans).
+
+    Per document doc_id, size, source_size, target, taken; per slot its shard, source and block; per taken piece of a
+    document its place in the source's stream, its epoch and its words [low, high).
+    """
     kept = Kept(spark)
     docs = kept.keep("sizes", document_sizes(df))
     plans = plan_sources([(r.source, r.n) for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()])
@@ -134,11 +139,56 @@ def mix(spark: SparkSession, df: DataFrame, seed: int = 1) -> tuple[DataFrame, D
     rows = spark.createDataFrame(deal(plans, seed), "shard int, k int, first long, n long").repartition("shard", "k")
     slots = rows.join(F.broadcast(sources.select("k", "blocks")), "k").select("shard", "k", "blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("j"))
     epoch = F.expr("j div blocks")
-    slots = slots.select("shard", "k", "j", _permuted(F.expr("j % blocks"), F.col("blocks"), F.xxhash64("k", epoch, F.lit(seed))).alias("index"))
+    slots = slots.select("shard", "k", "j", epoch.alias("epoch"), _permuted(F.expr("j % blocks"), F.col("blocks"), F.xxhash64("k", epoch, F.lit(seed))).alias("index"))
     times = slots.groupBy("k", "index").agg(F.count(F.lit(1)).alias("times"))
-    pieces = placed.where("size > 0").select("k", "at", "size", "block", F.explode(F.expr("sequence(at div block, (at + size - 1) div block)")).alias("index"))
+    pieces = placed.where("size > 0").select("doc_id", "k", "at", "size", "block", F.explode(F.expr("sequence(at div block, (at + size - 1) div block)")).alias("index"))
     overlap = F.expr("least(at + size, (index + 1) * block) - greatest(at, index * block)")
     taken = pieces.join(times, ["k", "index"]).groupBy("k", "at").agg(F.sum(overlap * F.col("times")).alias("taken"))
     # Only documents with words lie at a place of their own.
+    spans = pieces.join(slots.select("k", "index", "epoch"), ["k", "index"]).select(
+        "doc_id", "k", "at", "size", "epoch", (F.greatest("at", F.expr("index * block")) - F.col("at")).alias("low"), (F.least(F.expr("at + size"), F.expr("(index + 1) * block")) - F.col("at")).alias("high"))
     out = placed.withColumn("place", F.when(F.col("size") > 0, F.col("at"))).join(taken.select(F.col("k").alias("k2"), F.col("at").alias("place2"), "taken"), F.expr("k = k2 and place = place2"), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"), slots
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), slots, spans
+
+
+def mixed(spark: SparkSession, df: DataFrame, seed: int = 1) -> DataFrame:
+    """The mix as rows of the table itself (doc_id, text, source and any other columns).
+
+    A document gives a row for each epoch in which words of it are taken; the row's text is those words in order, and
+    n_chars, if there is such a column, its length. Rows of one doc_id take the places of their size one by one.
+    """
+    spans = mix(spark, df, seed)[2]
+    side = ["k", "at", "size", "epoch", "low", "high"]
+    names = [f"_{c}" for c in side]
+    texts = df.select("*", F.lit(1).alias("kind"), *[F.lit(None).cast("long").alias(n) for n in names])
+    pieces = spans.select("doc_id", F.lit(0).alias("kind"), *[F.col(c).cast("long").alias(n) for c, n in zip(side, names)])
+    parts = parts_for(spark, df)
+    rows = texts.unionByName(pieces, allowMissingColumns=True).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind")
+    schema = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            last, used = None, set()
+            for batch, t, found in attached_rows(batches, tuple(names)):
+                doc = batch.column("doc_id")[t].as_py()
+                if last != doc:
+                    last, used = doc, set()
+                if not len(found["_k"]):
+                    continue
+                words = (batch.column("text")[t].as_py() or "").encode().split()
+                mine = found["_size"] == len(words)
+                free = sorted({*zip(found["_k"][mine].tolist(), found["_at"][mine].tolist())} - used)
+                if not free:
+                    continue
+                used.add(free[0])
+                mine &= (found["_k"] == free[0][0]) & (found["_at"] == free[0][1])
+                for epoch in np.unique(found["_epoch"][mine]).tolist():
+                    now = np.flatnonzero(mine & (found["_epoch"] == epoch))
+                    now = now[np.argsort(found["_low"][now])]
+                    text = b" ".join([w for a, b in zip(found["_low"][now].tolist(), found["_high"][now].tolist()) for w in words[a:b]]).decode()
+                    new = {"text": text, "n_chars": len(text)}
+                    yield tuple(new[c] if c in new else batch.column(c)[t].as_py() for c in schema.names)
+
+        yield from in_batches(out(), schema)
+
+    return rows.mapInArrow(run, df.schema)

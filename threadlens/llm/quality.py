@@ -112,7 +112,8 @@ def duplicate_lines(text: bytes) -> int:
     return n
 
 
-def _judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The verdict columns for a slice with doc_id and text."""
     texts = raw(batch.column("text"))
     chars = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(batch.column("text")), 0), dtype=np.int64)
     number: dict[bytes, int] = {}
@@ -146,9 +147,22 @@ def _judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         "covered_words": n_covered,
         "longest_repeat": longest,
     }
-    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], names=list(columns))
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], names=list(columns))
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: word, symbol, line and repetition counts, and the verdict."""
-    return arrow_map(pick(df, id_col, text_col), _judge, SCHEMA)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield judge(batch)
+
+    return arrow_map(pick(df, id_col, text_col), run, SCHEMA)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """The rows of a table with doc_id and text that the rules keep, with all their columns; nothing is shuffled."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(judge(batch).column("kept"))
+
+    return arrow_map(df, run, df.schema)

@@ -12,7 +12,6 @@ table gives an empty result; other columns are ignored. Offsets are code points,
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -199,9 +198,26 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
     return arrow_map(pick(df, id_col, text_col), run, "doc_id long, found array<struct<kind:string,start:long,end:long>>")
 
 
-def joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join([f"{k}:{a}:{b}" for k, a, b in spans])
+def masked(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...] = RULES) -> str:
+    """The text with each stretch of overlapping spans replaced by the kind of its first span in brackets."""
+    out, last = [], 0
+    for a, b, k in spans:
+        if a >= last:
+            out += [text[last:a], f"[{rules[k].kind}]"]
+        last = max(last, b)
+    return "".join([*out, text[last:]])
 
 
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def mask(df: DataFrame, rules: tuple[Rule, ...] = RULES, length_col: str = "n_chars") -> DataFrame:
+    """All rows and columns of a table with doc_id and text, secrets masked and the length column, if any, brought up to date."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = batch.column("text").to_pylist()
+        found = scan_block([(t or "").encode() for t in texts], rules)
+        new = [masked(t, spans, rules) if spans else t for t, spans in zip(texts, found)]
+        columns = {"text": pa.array(new, pa.string())}
+        if length_col in batch.schema.names:
+            columns[length_col] = pa.array([len(n) if spans else old for n, spans, old in zip(new, found, batch.column(length_col).to_pylist())], batch.schema.field(length_col).type)
+        yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+
+    return arrow_map(df, run, df.schema)
