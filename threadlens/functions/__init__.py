@@ -1 +1 @@
-"""threadlens: a Spark-native engine for conversational transcripts."""
+"""threadlens.functions"""
