@@ -62,7 +62,7 @@ def display_title(title: Column, short: Column, first_text: Column) -> Column:
 
 def stats_blurb(turns: Column, duration: Column, cost: Column) -> Column:
     text = F.concat(turns.cast("string"), F.lit("t"), F.when(duration != "", F.concat(F.lit(" · "), duration)).otherwise(""))
-    dollars = F.when(cost >= 10, F.format_number(cost, "0")).otherwise(F.format_number(cost, "0.00"))
+    dollars = F.when(cost >= 10, F.format_string("%.0f", cost)).otherwise(F.format_string("%.2f", cost))
     return F.concat(text, F.when(cost > 0.005, F.concat(F.lit(" · $"), dollars)).otherwise(""))
 
 

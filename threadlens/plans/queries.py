@@ -152,7 +152,7 @@ def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start, end, _ = ranges.parse_range("2024-01-03..2024-01-09", NOW)
+    start, end, _ = ranges.parse_range("2024-01-01..2024-01-09", NOW)
     rows = listings.by_project(listings.in_range(views.sessions(spark, sf_dir), F.lit(start), F.lit(end)))
     return rows.select("project", long("sessions"), long("turns"), seconds("first_at"), seconds("last_at"))
 
@@ -337,7 +337,7 @@ def _bounds(target: int) -> str:
     return f"with recursive {views.TURNS}, {views.chunk_fold(target)} select session_id, start_seq, end_seq, tokens, start_ts, end_ts from v_chunks"
 
 
-_RANGE = (int(datetime(2024, 1, 3, tzinfo=timezone.utc).timestamp()), int(datetime(2024, 1, 10, tzinfo=timezone.utc).timestamp()))
+_RANGE = (int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp()), int(datetime(2024, 1, 10, tzinfo=timezone.utc).timestamp()))
 _ANSWER = """a_text as (select *, case when n % 4 in (0, 1) then 's' || (n % 4) end as verdict, case n % 4 when 3 then 'no object here' when 2 then '{"status": "s2"' else 'it said "{done}" ok' end as evidence from v_sessions)"""
 
 SQL = {
@@ -354,7 +354,7 @@ select pos, chunk_id, session_id, round(fused, 9) as fused, round(coalesce(bm25,
     "turn_tokens": f"with {views.TURNS} select session_id, seq, tokens from v_turns",
     "turns_rollout": f"""with {views.EVENTS}, rows as (select *, lag(type) over w as before, lead(type) over w as after, last_value(case when type = 'user' then seq end ignore nulls) over (partition by session_id order by seq rows unbounded preceding) as asked
   from v_events where type in ('user', 'assistant') window w as (partition by session_id order by seq)),
-kept as (select r.*, (type = 'user' or before = 'user') as carries, p.text as prompt, p.ts as prompt_ts from rows r left join v_events p on p.session_id = r.session_id and p.seq = r.asked where type = 'assistant' or coalesce(after, '') <> 'assistant')
+kept as (select r.*, (r.type = 'user' or before = 'user') as carries, p.text as prompt, p.ts as prompt_ts from rows r left join v_events p on p.session_id = r.session_id and p.seq = r.asked where r.type = 'assistant' or coalesce(after, '') <> 'assistant')
 select session_id, row_number() over (partition by session_id order by seq) - 1 as seq, case when carries then prompt else '' end as user_text, case when type = 'assistant' then text else '' end as assistant_text,
   case when carries then prompt_ts end as user_ts, case when type = 'assistant' then ts end as assistant_ts from kept""",
     "chunk_bounds": _bounds(projection.TARGET_TOKENS),
