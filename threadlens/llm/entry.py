@@ -82,12 +82,11 @@ OP8_SQL = """
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
 places as (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w where len(words) >= 13),
 windows as (select doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') as body from places),
-firsts as (select body, min(doc_id) as first from windows group by body having min(doc_id) < max(doc_id)),
-gone as (select distinct doc_id, unnest(range(i, i + 13)) as at from windows join firsts using (body) where first < doc_id),
-lost as (select doc_id, list(at) as ats from gone group by doc_id),
-kept as (select w.doc_id, len(words) as n_words, coalesce(len(ats), 0) as n_removed,
-  case when ats is null then words else list_filter(words, lambda x, i: not list_contains(ats, i)) end as left_over from w left join lost using (doc_id))
-select doc_id, n_words, n_removed, sha256(coalesce(array_to_string(left_over, ' '), '')) as kept_sha256 from kept
+firsts as (select body, min(doc_id) as first_id from windows group by body having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as pos from windows join firsts using (body) where first_id < doc_id),
+word_rows as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from w),
+left_over as (select doc_id, string_agg(word, ' ' order by pos) as body, count(*) as n from word_rows anti join gone using (doc_id, pos) group by doc_id)
+select w.doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256 from w left join left_over using (doc_id)
 """
 
 
