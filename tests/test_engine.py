@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import models, ranges, scalars
 from threadlens.operators import enrich, export, ingest, listings, projection, search, store, usage
-from threadlens.sources import transcripts
+from threadlens.sources import state, transcripts
 from threadlens.streaming import streams
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -156,6 +156,25 @@ def test_ingest_two_roots(spark, tmp_path):
     assert len(raw) == 3 and "more" in raw[1].line
 
 
+def test_same_session_twice(spark, tmp_path):
+    import os
+
+    for k, name in enumerate(("x", "y")):
+        write(tmp_path / "p" / f"{name}.jsonl", [user(f"from {name}", 1, sid="same")])
+        os.utime(tmp_path / "p" / f"{name}.jsonl", (1000 + k, 1000 + k))
+    found = ingest.project(read_a(spark, tmp_path))
+    assert [(r.id, r.first_user_text) for r in found.sessions.collect()] == [("same", "from y")]
+
+
+def test_state(tmp_path):
+    assert state.read_marker(str(tmp_path / "m")) is None
+    state.write_marker(str(tmp_path / "d" / "m"), T0)
+    assert state.read_marker(str(tmp_path / "d" / "m")) == T0
+    state.write_settings(str(tmp_path / "s"), {"theme": "dark", "odd": 1})
+    assert state.read_settings(str(tmp_path / "s"), {"theme": "light", "width": 2}) == {"theme": "dark", "width": 2}
+    assert state.read_settings(str(tmp_path / "none"), {"a": 1}) == {"a": 1}
+
+
 def test_account_roots(tmp_path):
     reg = tmp_path / "reg"
     reg.mkdir()

@@ -35,6 +35,9 @@ class Projected:
 
 def project(files: DataFrame, exclusions: dict | None = None) -> Projected:
     events = projection.session_keys(transcripts.events(files))
+    # Several files of one session: the last by time counts.
+    paths = events.select("session_id", "path").distinct().join(files.select("path", "mtime_unix"), "path")
+    events = events.join(store.latest_file(paths).select("path"), "path", "left_semi")
     turns = projection.turns_a(events.where(F.col("provider") == PROVIDER_A)).unionByName(projection.turns_b(events.where(F.col("provider") == PROVIDER_B)))
     meta, active = projection.session_meta(events), projection.last_active(turns)
     out = projection.excluded(events, turns, **(exclusions or {}))

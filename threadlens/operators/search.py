@@ -63,17 +63,17 @@ def _score(f: Column, n: Column, docs: Column, length: Column, average: Column)
     return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
 
 
-def bm25(chunks: DataFrame, query: str, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(chunk_id, bm25) of every chunk that holds a phrase; smaller is better. Statistics are over all chunks."""
+def bm25(chunks: DataFrame, query: str, id_col: str = "chunk_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, kept columns, bm25) of every chunk that holds a phrase; smaller is better. Statistics are over all chunks."""
     terms = phrases(query)
     if not terms:
-        return chunks.select(F.col(id_col).alias("chunk_id"), F.lit(0.0).alias("bm25")).where(F.lit(False))
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("t"))
-    counted = rows.select("chunk_id", F.size("t").alias("len"), *[phrase_count(F.col("t"), p).alias(f"f{i}") for i, p in enumerate(terms)])
+        return chunks.select(F.col(id_col).alias("chunk_id"), *keep, F.lit(0.0).alias("bm25")).where(F.lit(False))
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), *keep, tokens(F.col(text_col)).alias("t"))
+    counted = rows.select("chunk_id", *keep, F.size("t").alias("len"), *[phrase_count(F.col("t"), p).alias(f"f{i}") for i, p in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("average"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
     hit = counted.where(" or ".join(f"f{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # stats is one row
     score = sum((_score(F.col(f"f{i}"), F.col(f"n{i}"), F.col("docs"), F.col("len"), F.col("average")) for i in range(len(terms))), F.lit(0.0))
-    return hit.select("chunk_id", F.round(-score, 9).alias("bm25"))
+    return hit.select("chunk_id", *keep, F.round(-score, 9).alias("bm25"))
 
 
 def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -125,7 +125,7 @@ def active(sessions: DataFrame, include_completed: bool = False) -> DataFrame:
 
 def lexical(chunks: DataFrame, sessions: DataFrame, query: str, k: int = 50, include_completed: bool = False, scores: DataFrame | None = None) -> DataFrame:
     """(chunk_id, session_id, bm25, fts_rank): the status filter comes before the limit; ranks from 0."""
-    found = (scores if scores is not None else bm25(chunks, query)).join(chunks.select("chunk_id", "session_id"), "chunk_id")
+    found = bm25(chunks, query, keep=("session_id",)) if scores is None else scores.join(chunks.select("chunk_id", "session_id"), "chunk_id")
     top = found.join(active(sessions, include_completed).select("session_id"), "session_id", "left_semi").orderBy("bm25", "chunk_id").limit(k)
     return top.withColumn("fts_rank", F.row_number().over(Window.orderBy("bm25", "chunk_id")) - 1)  # k rows
 
@@ -141,7 +141,7 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 50) -> DataFrame:
 
 def semantic(vectors: DataFrame, chunks: DataFrame, sessions: DataFrame, query: list[float], k: int = 50, include_completed: bool = False) -> DataFrame:
     """(chunk_id, dist, vec_rank): the status filter comes after the limit, so fewer than k may remain; ranks are dense again."""
-    near = nearest(vectors, query, k).join(chunks.select("chunk_id", "session_id"), "chunk_id")
+    near = chunks.select("chunk_id", "session_id").join(F.broadcast(nearest(vectors, query, k)), "chunk_id")  # k rows
     left = near.join(active(sessions, include_completed).select("session_id"), "session_id", "left_semi")
     return left.select("chunk_id", "dist", (F.row_number().over(Window.orderBy("dist", "chunk_id")) - 1).alias("vec_rank"))  # at most k rows
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import ranges, scalars
 from ..functions.models import HashingEmbedder, OverlapReranker, embed_table
 from ..operators import enrich, export, listings, projection, search, store, usage
+from ..sources.state import shared_dir
 from ..streaming import streams
 from . import views
 
@@ -272,8 +272,7 @@ def remote_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Run a stream over the events table to its end; results are written to the shared folder and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='threadlens-', dir='/tmp')}"
-    run, path = f"{base}/stream-{uuid.uuid4().hex}", f"{sf_dir}/events.parquet"
+    run, path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", f"{sf_dir}/events.parquet"
     like = spark.read.parquet(path)
     # A stream reads a folder; a table that is one file is picked out of its own.
     single = like.inputFiles()[0].endswith("/events.parquet")
