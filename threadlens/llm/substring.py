@@ -3,12 +3,11 @@
 1. Anchors: of the 5-word grams in each 13-word window the one of least hash is the window's anchor, so that two equal
    windows have equal anchors. Anchors that two documents share are found by one sorted shuffle of hashes.
 2. Excerpts: only stretches of windows with shared anchors leave their document; they go to the group of the anchor's
-   first document. Groups of many words are cut into slices, with their recurring windows agreed on across slices.
-3. Confirmed passages: in a group, windows that two documents hold, merged into the longest passages of the document
-   that holds them first.
-4. Automata: each group (or slice) compiles an Aho-Corasick automaton of its passages' 7-word blocks, streams all its
-   excerpts through it, extends each hit along its passage, and reports the words of every occurrence of a window or
-   more. A window of 13 words always holds a whole block, so none is missed.
+   first document. Groups of many words are cut again by buckets of anchors, and a bucket that is still large (a few
+   anchors in very many documents) into slices whose recurring windows are agreed on across slices.
+3. Confirmed passages: in a group, the windows that two documents hold, with the document that holds them first.
+4. Automata: each group (or slice) compiles an Aho-Corasick automaton of its confirmed windows, streams its excerpts
+   through it and reports the words of every occurrence.
 5. Each document drops the reported words.
 
 Cases: null text has no words; documents of under 13 words stay as they are; a document's own repeats and repeated rows
@@ -19,7 +18,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import Kept, WordHashes, arrow_map, attached, gram_hashes, in_batches, meetings, packed_keys, parts_for, pick, raw
 
-WINDOW, GRAM, BLOCK = 13, 5, 7
+WINDOW, GRAM = 13, 5
 #: Words of excerpts that one automaton's task holds; larger groups are sliced.
-SLICE_WORDS = 300_000
+SLICE_WORDS = 200_000
 
 
 def anchor_positions(grams: np.ndarray) -> np.ndarray:
@@ -123,97 +121,62 @@ class Excerpts:
 
 
 def confirm(rows: list[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
-    """(first document, passage): the longest runs of windows that recur, in the document that holds them first."""
+    """(first document, window) for each distinct window that two documents hold."""
     docs = np.array([r[0] for r in rows], np.int64)
     sizes = np.array([len(r[3]) for r in rows], np.int64)
     text = "".join([r[3] for r in rows])
     letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     hashes = gram_hashes(letters, WINDOW)
     row = np.repeat(np.arange(len(rows)), sizes)[: len(hashes)]
-    starts = np.cumsum(sizes) - sizes
     at = np.arange(len(hashes))
-    at = at[at + WINDOW <= (starts + sizes)[row]]
+    at = at[at + WINDOW <= np.cumsum(sizes)[row]]
     doc, h = docs[row[at]], hashes[at]
     order = np.lexsort((doc, h))
     hs, ds = h[order], doc[order]
-    new = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
-    ends = np.r_[new[1:], len(hs)]
-    run = np.repeat(np.arange(len(new)), ends - new)
-    first = ds[new]
-    mine = order[(first != ds[ends - 1])[run] & (ds == first[run])]
-    places = np.sort(at[mine])
-    out, seen = [], set()
-    if len(places):
-        cut = np.flatnonzero((np.diff(places) != 1) | (row[places[1:]] != row[places[:-1]])) + 1
-        for a, b in zip(np.r_[0, cut], np.r_[cut, len(places)]):
-            passage = int(docs[row[places[a]]]), text[places[a] : places[b - 1] + WINDOW]
-            if passage not in seen:
-                seen.add(passage)
-                out.append(passage)
-    return out
-
-
-def locate(passages: list[tuple[int, str]], rows: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, int, int]]:
-    """(doc_id, uid, start, end) of every stretch of a window or more that an earlier document's passage holds."""
-    blocks: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for p, (_, text) in enumerate(passages):
-        for at in range(0, len(text) - BLOCK + 1, BLOCK):
-            blocks[text[at : at + BLOCK]].append((p, at))
-    if not blocks:
+    new = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]]) if len(hs) else np.empty(0, np.int64)
+    ends = np.r_[new[1:], len(hs)].astype(np.int64)
+    new = new[ds[new] != ds[ends - 1]]
+    return [(first, text[p : p + WINDOW]) for first, p in zip(ds[new].tolist(), at[order[new]].tolist())]
+
+
+def locate(windows: list[tuple[int, str]], rows: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, int, int]]:
+    """(doc_id, uid, start, end) of every stretch covered by windows that an earlier document holds."""
+    if not windows:
         return
     machine = ahocorasick.Automaton()
-    for block, places in blocks.items():
-        machine.add_word(block, places)
+    for first, window in windows:
+        machine.add_word(window, first)
     machine.make_automaton()
     for doc, uid, start, text in rows:
-        reached: dict[tuple[int, int], int] = {}  # by passage and diagonal: how far it has been compared
-        found = []
-        for end, places in machine.iter(text):
-            here = end - BLOCK + 1
-            for p, at in places:
-                first, passage = passages[p]
-                if first >= doc or reached.get((p, here - at), 0) > here:
-                    continue
-                a, b = here, here + BLOCK
-                i, j = at, at + BLOCK
-                if text.startswith(passage, here - at) and here >= at:
-                    a, b = here - at, here - at + len(passage)
-                else:
-                    while a and i and text[a - 1] == passage[i - 1]:
-                        a, i = a - 1, i - 1
-                    while b < len(text) and j < len(passage) and text[b] == passage[j]:
-                        b, j = b + 1, j + 1
-                reached[p, here - at] = b
-                if b - a >= WINDOW:
-                    found.append((a, b))
-        last = None
-        for a, b in sorted(found):
-            if last and a <= last[1]:
-                last = last[0], max(last[1], b)
+        a = b = -1
+        for end, first in machine.iter(text):
+            if first >= doc:
                 continue
-            if last:
-                yield doc, uid, start + last[0], start + last[1]
-            last = a, b
-        if last:
-            yield doc, uid, start + last[0], start + last[1]
+            if end - WINDOW + 1 > b:
+                if b > 0:
+                    yield doc, uid, start + a, start + b
+                a = end - WINDOW + 1
+            b = end + 1
+        if b > 0:
+            yield doc, uid, start + a, start + b
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of each (src, slice) of a sorted stream."""
+    """Rows of each (src, bucket, slice) of a sorted stream."""
     held, key = [], None
     for batch in batches:
         for row in batch.to_pylist():
-            if key != (row["src"], row["slice"]):
+            if key != (row["src"], row["bucket"], row["slice"]):
                 if held:
                     yield held
-                held, key = [], (row["src"], row["slice"])
+                held, key = [], (row["src"], row["bucket"], row["slice"])
             held.append(row)
     if held:
         yield held
 
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-_WINDOWS = pa.schema([("src", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("body", pa.binary())])
+_WINDOWS = pa.schema([("src", pa.int64()), ("bucket", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("body", pa.binary())])
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +206,32 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     else:
                         seen[0], seen[1] = min(seen[0], r["doc_id"]), max(seen[1], r["doc_id"])
             for h, (a, b, words) in found.items():
-                yield group[0]["src"], h, a, b, b" ".join(words)
+                yield group[0]["src"], group[0]["bucket"], h, a, b, b" ".join(words)
 
     return in_batches(rows(), _WINDOWS, 20_000)
 
 
+def _recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Excerpts cut again where the bucket of the windows' anchors changes; equal windows have equal anchors."""
+    hashes = WordHashes()
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                words = r["body"].split(b" ")
+                grams = gram_hashes(hashes.of(words), GRAM)
+                bucket = (grams[anchor_positions(grams)] % np.uint64(r["buckets"])).astype(np.int64)
+                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
+                for a, b in zip(edge, [*edge[1:], len(bucket)]):
+                    part = words[a : b + WINDOW - 1]
+                    yield r["src"], int(bucket[a]), r["doc_id"], r["uid"], r["start"] + a, len(part), b" ".join(part)
+
+    return in_batches(rows(), _PIECES, 20_000)
+
+
+_PIECES = pa.schema([("src", pa.int64()), ("bucket", pa.int64()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("body", pa.binary())])
+
+
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for doc, text, side in attached(batches, ("uid", "start", "end")):
@@ -275,13 +259,18 @@ def dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
     split = kept.keep("split", both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(_split, SPLIT), ("what",))
     kept.drop("routes")
     excerpts = split.where("what = 'part'")
-    large = kept.keep("large", excerpts.groupBy("src").agg(F.sum("n_words").alias("n")).where(F.col("n") > slice_words).select("src", F.ceil(F.col("n") / slice_words).cast("int").alias("slices")))
-    dealt = excerpts.join(large, "src", "left").select("src", F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), F.col("slices")), F.lit(0)).cast("int").alias("slice"),
+    sized = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n_words").alias("n")).where(F.col("n") > slice_words)
+    wide = kept.keep("wide", sized(excerpts, "src").select("src", F.ceil(F.col("n") * 4 / slice_words).cast("int").alias("buckets")))
+    small = excerpts.join(wide, "src", "left_anti").select(F.col("src"), F.lit(-1).cast("long").alias("bucket"), "doc_id", "uid", "start", "n_words", "body")
+    again = excerpts.join(wide, "src").select("src", "buckets", "doc_id", "uid", "start", "body")
+    pieces = kept.keep("pieces", again.repartition(parts).mapInArrow(_recut, "src long, bucket long, doc_id long, uid long, start long, n_words long, body binary"))
+    large = kept.keep("large", sized(pieces, "src", "bucket").select("src", "bucket", F.ceil(F.col("n") / slice_words).cast("int").alias("slices")))
+    dealt = small.union(pieces).join(large, ["src", "bucket"], "left").select("src", "bucket", F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), F.col("slices")), F.lit(0)).cast("int").alias("slice"),
         F.col("slices").isNotNull().alias("sliced"), F.lit(1).alias("kind"), "doc_id", "uid", "start", null("long").alias("first"), "body")
-    windows = dealt.where("sliced").repartition(parts, "src", "slice").sortWithinPartitions("src", "slice").mapInArrow(_windows, "src long, hash long, first long, last long, body binary")
-    agreed = windows.groupBy("src", "hash").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("body").alias("body")).where("first <> last")
-    copies = agreed.join(large, "src").select("src", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), F.lit(True), F.lit(0), null("long"), null("long"), null("long"), "first", "body")
-    spans = dealt.union(copies).repartition(parts, "src", "slice").sortWithinPartitions("src", "slice", "kind").mapInArrow(_locate, "doc_id long, uid long, start long, end long")
+    windows = dealt.where("sliced").repartition(parts, "src", "bucket", "slice").sortWithinPartitions("src", "bucket", "slice").mapInArrow(_windows, "src long, bucket long, hash long, first long, last long, body binary")
+    agreed = windows.groupBy("src", "bucket", "hash").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("body").alias("body")).where("first <> last")
+    copies = agreed.join(large, ["src", "bucket"]).select("src", "bucket", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), F.lit(True), F.lit(0), null("long"), null("long"), null("long"), "first", "body")
+    spans = dealt.union(copies).repartition(parts, "src", "bucket", "slice").sortWithinPartitions("src", "bucket", "slice", "kind").mapInArrow(_locate, "doc_id long, uid long, start long, end long")
     waiting = split.where("what = 'wait'").select("doc_id", F.lit(1).alias("kind"), null("long").alias("uid"), null("long").alias("start"), null("long").alias("end"), F.col("body").cast("string").alias("text"))
     rows = waiting.union(spans.select("doc_id", F.lit(0), "uid", "start", "end", null("string")))
     shorter = rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(_drop, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
