@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.state import shared_dir
+
+#: Words, in every contract here, are separated by space and U+0009 to U+000D, which is where bytes.split() cuts.
 SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
-#: Characters that separate words in every contract here: space and U+0009 to U+000D.
-WORD_SPACE = b" \t\n\x0b\x0c\r"
 
 
 def pick(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
@@ -88,18 +88,6 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    given = "file://" + tempfile.mkdtemp(prefix="threadlens-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", given)
-    return given
-
-
 class Kept:
     """Tables written to the shared folder to cut lineage; drop() removes those no longer needed."""
 
