@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadlens.llm import bpe, mixing, packing, pii, urls
+from threadlens.llm import mixing, packing, pii, urls
 from threadlens.llm.entry import op1_token_packing, op3_pii_scan, op5_url_filter, op9_source_mixing, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -150,8 +150,10 @@ def test_permutation():
 
 
 def test_packing_round_trip(spark):
-    own = bpe.WordBpe(tokenizer_path("word_bpe_49k.json"))
-    docs = {r.doc_id: own.encode(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    import public_tokenizers
+
+    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     back = {d: {} for d in docs}
     used = total = 0
     for r in op1_token_packing(spark, SF).collect():
@@ -161,7 +163,7 @@ def test_packing_round_trip(spark):
             back[d][at] = ids[a:b].tolist()
             assert pos[a:b].tolist() == list(range(b - a))
         used, total = used + r.n_tokens, total + len(ids)
-    assert {d: [x for at in sorted(p) for x in p[at]] for d, p in back.items()} == docs
+    assert {d: packing.byte_bpe_text(path, pattern, np.array([x for at in sorted(p) for x in p[at]])) for d, p in back.items()} == docs
     assert used > 0.9 * total
 
 

@@ -121,10 +121,6 @@ class WordBpe:
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.digest_parts(text)[1].split()]
 
-    def encode_array(self, text: str) -> np.ndarray:
-        """Ids as an array, by way of the remembered words."""
-        return np.fromstring(self.digest_parts(text)[1], dtype=np.int64, sep=" ") if text else np.empty(0, np.int64)
-
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as a vocabulary without a decoder is read back; unknown ids are left out."""
         return " ".join([self.names[i] for i in ids if i in self.names])

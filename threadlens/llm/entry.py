@@ -34,7 +34,9 @@ def span_digest(found: DataFrame, kinds: list[str], by_flag: bool = False) -> Da
 
 
 def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), packing.word_bpe_tokenizer(tokenizer_path("word_bpe_49k.json")))
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.byte_bpe_tokenizer(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,14 +13,16 @@ ignored.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from . import bpe
 from .common import pick, slices
 
 ROW_TOKENS, SHARD_TOKENS = 2048, 2 << 20
@@ -120,6 +122,17 @@ def write_packed(packed: DataFrame, path: str) -> None:
     packed.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
-def word_bpe_tokenizer(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
-    """Token ids of the word-level vocabulary at path."""
-    return lambda: bpe.load(path).encode_array
+@lru_cache(maxsize=2)
+def _byte_bpe(path: str, pattern: str) -> tiktoken.Encoding:
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def byte_bpe_tokenizer(path: str, pattern: str) -> Callable[[], Callable[[str], np.ndarray]]:
+    """Ids of a byte-level rank file; every text is told apart from its ids alone."""
+    return lambda: lambda text: _byte_bpe(path, pattern).encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+
+
+def byte_bpe_text(path: str, pattern: str, ids: np.ndarray) -> str:
+    return _byte_bpe(path, pattern).decode(ids.tolist())
