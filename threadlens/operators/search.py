@@ -100,16 +100,16 @@ def bm25_postings(postings: DataFrame, lengths: DataFrame, query: str) -> DataFr
     rows = postings.where(F.col("term").isin(wanted)).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
     none = F.array().cast("array<int>")
 
-    def count(phrase: list[str]) -> Column:
-        at = [F.coalesce(F.try_element_at("m", F.lit(t)), none) for t in phrase]
-        return F.size(F.filter(at[0], lambda i: __all([F.array_contains(a, i + k) for k, a in enumerate(at[1:], 1)])))
-
-    def __all(tests: list[Column]) -> Column:
+    def every(tests: list[Column]) -> Column:
         out = F.lit(True)
         for t in tests:
             out = out & t
         return out
 
+    def count(phrase: list[str]) -> Column:
+        at = [F.coalesce(F.try_element_at("m", F.lit(t)), none) for t in phrase]
+        return F.size(F.filter(at[0], lambda i: every([F.array_contains(a, i + k) for k, a in enumerate(at[1:], 1)])))
+
     counted = rows.select("chunk_id", *[count(p).alias(f"f{i}") for i, p in enumerate(terms)]).where(" or ".join(f"f{i} > 0" for i in range(len(terms))))
     totals = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("average"))
     df = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
