@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import Kept, WordHashes, arrow_map, attached, blocked, connected_components, gram_hashes, groups, in_batches, meetings, mix64, packed_keys, parts_for, pick, raw
 
 GRAM, PERCENT = 5, 80
-CELLS = 64
+#: Cells of a sketch: at least these, and about one for each four to eight shingles up to 2 ** MOST_BITS.
+LEAST_BITS, MOST_BITS = 6, 14
 #: Most shingles in the table of frequent ones; it orders shingles and never decides a link.
 FREQUENT = 200_000
 #: Rows of a region task before it is cut: with sketches, and with whole sets.
@@ -65,6 +66,18 @@ def prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent:
     return found[np.lexsort((mix64(found), weight))[:take]]
 
 
+def cell_counts(found: np.ndarray) -> np.ndarray:
+    """Shingles in each cell of a partition by leading hash bits, clipped at 255; larger sets have finer partitions."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (len(found) // 8).bit_length()))
+    counts = np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def fold(cells: np.ndarray, width: int) -> np.ndarray:
+    """Counts of a finer partition as those of a coarser one; clipping first or last is the same."""
+    return np.minimum(cells.reshape(len(cells), width, -1).sum(axis=2, dtype=np.int32), 255).astype(np.int16)
+
+
 _FACTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("sketch", pa.binary()), ("key", pa.int64()), ("seen", pa.int64())])
 
 
@@ -74,7 +87,7 @@ def _facts(hashes: WordHashes, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch
         found = shingles(hashes, text)
         every.append(found)
         digest = xxhash.xxh3_128_intdigest(found.tobytes())
-        sketch = np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes()
+        sketch = cell_counts(found).tobytes()
         rows.append((doc, len(found), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), sketch, None, None))
     keys, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.empty(0, np.uint64), np.empty(0, np.int64))
     often = n > 1
@@ -82,30 +95,45 @@ def _facts(hashes: WordHashes, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch
     yield from in_batches(iter(rows), _FACTS, 100_000)
 
 
+def partners(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, part: np.ndarray | None, percent: int, alive: np.ndarray) -> None:
+    """Mark rows a (cells x) and b (cells y) that have a partner within the coarse windows; with parts, in another part."""
+    order = np.argsort(n[b], kind="stable")
+    y, b = y[order], b[order]
+    by_size = n[b]
+    rows = 16
+    tile = max(16, 2_000_000 // (rows * x.shape[1]))
+    order = np.argsort(n[a], kind="stable")
+    x, a = x[order], a[order]
+    for s in range(0, len(a), rows):
+        block = a[s : s + rows]
+        # Sizes are distances to the empty set: partners of the block lie in one window of the order.
+        low = int(np.searchsorted(by_size, n[block[0]] * percent / 100, side="left"))
+        high = int(np.searchsorted(by_size, n[block[-1]] * 100 / percent, side="right"))
+        for t in range(low, high, tile):
+            other = b[t : min(high, t + tile)]
+            gap = np.abs(x[s : s + rows, None, :] - y[None, t : t + len(other), :]).sum(axis=2, dtype=np.int32)
+            total = n[block][:, None] + n[other][None, :]
+            # |A xor B| = total - 2 inter, and a link needs (100 + t) inter >= t total.
+            near = ((100 + percent) * (total - gap) >= 2 * percent * total) & (block[:, None] != other[None, :])
+            if part is not None:
+                near &= part[block][:, None] != part[other][None, :]
+            alive[block] |= near.any(axis=1)
+            alive[other] |= near.any(axis=0)
+
+
 def _prune(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (p, i, j), table in groups(batches, ("p", "i", "j")):
-            n = table["n"].to_numpy()
-            part = table["part"].to_numpy()
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<i4").reshape(-1, CELLS).astype(np.float32)
-            order = np.argsort(n, kind="stable")
-            n, part, sketch, doc = n[order], part[order], sketch[order], table["doc"].to_numpy()[order]
+            n, part, doc, sketch = table["n"].to_numpy(), table["part"].to_numpy(), table["doc"].to_numpy(), table["sketch"].to_pylist()
+            width = np.array([len(c) for c in sketch])
+            cells = {w: np.frombuffer(b"".join([sketch[k] for k in np.flatnonzero(width == w)]), np.uint8).reshape(-1, w) for w in np.unique(width).tolist()}
             alive = np.zeros(len(n), bool)
-            for a in range(0, len(n), 64):
-                b = min(len(n), a + 64)
-                # Sizes are distances to the empty set: partners of the block lie in one window of the order.
-                end = int(np.searchsorted(n, n[b - 1] * 100 / percent, side="right"))
-                for s in range(a, end, 1024):
-                    e = min(end, s + 1024)
-                    gap = np.abs(sketch[a:b, None, :] - sketch[None, s:e, :]).sum(axis=2)
-                    total = n[a:b, None] + n[None, s:e]
-                    # |A xor B| = total - 2 inter, and a link needs (100 + t) inter >= t total.
-                    near = (100 + percent) * (total - gap) >= 2 * percent * total
-                    near &= np.arange(s, e)[None, :] > np.arange(a, b)[:, None]
-                    if i != j:
-                        near &= part[a:b, None] != part[None, s:e]
-                    alive[a:b] |= near.any(axis=1)
-                    alive[s:e] |= near.any(axis=0)
+            # Sizes of partners differ by a quarter at most, so partitions differ by one step at most.
+            for w in cells:
+                for v in (w, 2 * w):
+                    if v in cells:
+                        a, b = np.flatnonzero(width == w), np.flatnonzero(width == v)
+                        partners(fold(cells[w], w), fold(cells[v], w), a, b, n, part if i != j else None, percent, alive)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(int(alive.sum()), p)), pa.array(doc[alive])], names=["p", "doc"])
 
     return run
