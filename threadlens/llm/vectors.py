@@ -66,36 +66,40 @@ def _place(threshold: float):
     return run
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, order_key: np.ndarray, block: int, blocks: list[tuple[int, int, float]], allowed, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that link and whose block this is; rows come ordered by the block's first coordinate."""
+def _pairs(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, blocks: list[tuple[int, int, float]], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of left, row of right) that link and whose block this is; the same rows on both sides are paired once.
+
+    Both sides come ordered by the block's first coordinate. One product of vectors with two more components each gives
+    half the threshold's margin: a.b - |a|^2 / 2 - |b|^2 / 2.
+    """
     a, b, budget = blocks[block]
-    sub = y[:, a:b].astype(np.float32)
-    norms = (sub * sub).sum(axis=1)
-    radius = np.sqrt(budget) + SLACK
-    left, right = [], []
-    for s in range(0, len(sub), TILE):
-        e = min(len(sub), s + TILE)
-        end = int(np.searchsorted(order_key, order_key[e - 1] + radius, side="right"))
-        for t in range(s, end, 4 * TILE):
-            u = min(end, t + 4 * TILE)
-            gap = norms[s:e, None] + norms[None, t:u] - 2 * (sub[s:e] @ sub[t:u].T)
-            i, j = np.nonzero(gap <= budget + SLACK)
+    radius, same = np.sqrt(budget) + SLACK, left is right
+
+    def widened(rows: np.ndarray, last: bool) -> np.ndarray:
+        sub = y[rows, a:b].astype(np.float32)
+        half, one = -(sub * sub).sum(axis=1, keepdims=True) / 2, np.ones((len(rows), 1), np.float32)
+        return np.hstack([sub, one, half] if last else [sub, half, one])
+
+    u, v = widened(left, False), np.ascontiguousarray(widened(right, True).T)
+    first, other = y[left, a], y[right, a]
+    for s in range(0, len(left), TILE):
+        e = min(len(left), s + TILE)
+        low = s if same else int(np.searchsorted(other, first[s] - radius, side="left"))
+        high = int(np.searchsorted(other, first[e - 1] + radius, side="right"))
+        for t in range(low, high, TILE):
+            near = u[s:e] @ v[:, t : min(high, t + TILE)] >= -(budget + SLACK) / 2
+            i, j = np.nonzero(near) if near.any() else (np.empty(0, np.int64),) * 2
             i, j = i + s, j + t
-            keep = (i < j) & allowed(i, j)
-            i, j = i[keep], j[keep]
+            if same:
+                i, j = i[i < j], j[i < j]
             for c in range(0, len(i), 50_000):
-                p, q = i[c : c + 50_000], j[c : c + 50_000]
+                p, q = left[i[c : c + 50_000]], right[j[c : c + 50_000]]
                 good = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
                 p, q = p[good], q[good]
-                if not len(p):
-                    continue
-                square = (y[p] - y[q]) ** 2
-                use = np.stack([square[:, f:g].sum(axis=1) / w for f, g, w in blocks])
-                mine = use.argmin(axis=0) == block
-                left.append(p[mine])
-                right.append(q[mine])
-    none = np.empty(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+                if len(p):
+                    square = (y[p] - y[q]) ** 2
+                    mine = np.stack([square[:, f:g].sum(axis=1) / w for f, g, w in blocks]).argmin(axis=0) == block
+                    yield p[mine], q[mine]
 
 
 def _join(threshold: float):
@@ -112,13 +116,14 @@ def _join(threshold: float):
             order = np.lexsort((ids, y[:, blocks[block][0]]))
             x, y, ids, border, part, weight = x[order], y[order], ids[order], border[order], part[order], weight[order]
 
-            def allowed(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-                ok = ~(border[p] & border[q])  # both of the next slab: joined there
-                return ok if i == j else ok & (part[p] != part[q])
-
-            p, q = _pairs(x, y, y[:, blocks[block][0]], block, blocks, allowed, threshold)
-            if not len(p):
+            home = [np.flatnonzero(~border & (part == k)) for k in (i, j)]
+            edge = [np.flatnonzero(border & (part == k)) for k in (i, j)]
+            # Two vectors of the next slab are joined there, and two of one part in that part's own task.
+            sides = [(home[0], home[0]), (home[0], edge[0])] if i == j else [(home[0], home[1]), (home[0], edge[1]), (edge[0], home[1])]
+            found = [pair for a, b in sides for pair in _pairs(x, y, a, b, block, blocks, threshold)]
+            if not found:
                 continue
+            p, q = (np.concatenate(z) for z in zip(*found))
             n = np.bincount(p, weights=weight[q], minlength=len(ids)) + np.bincount(q, weights=weight[p], minlength=len(ids))
             rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
             by_rank = np.sort(ids, kind="stable")
