@@ -67,6 +67,16 @@ def test_pii_disguises_map_back():
         assert pii.find(clean) == []
 
 
+def test_pii_disguises_need_no_other_sign():
+    cases = {"write alice [at] example.com": "alice [at] example.com", "write alice (at) example.org": "alice (at) example.org", "write alice (@) example.com": "alice (@) example.com",
+             "ask alice at example.com": "alice at example.com", "call plus 1 555 123 4567": "plus 1 555 123 4567"}
+    for text, part in cases.items():
+        alone, beside = pii.find(text), pii.find(text + " - a dot [dot] there")
+        assert part in [text[a:b] for a, b, _, _ in alone] and alone == beside, (text, alone, beside)
+    for clean in ("sold at 3.50 each", "built at 1.2.3 today"):
+        assert pii.find(clean) == []
+
+
 def test_urls(spark, tmp_path):
     rows = [None, "", "no scheme", "http://A.Example.com/en/x?y#z", "https://www.example.com/en/1", "http://x.net/es/", "http://net/fr/a", "http://knet/fr/", "http://com",
             "http://b.com/?q", "ftp://h.org", "://x.com/a://y.net/es/", "http://h.org/a\nb"]

@@ -89,18 +89,16 @@ def _fold_table() -> dict[int, str]:
 
 
 _FOLD = _fold_table()
-_FOLDED = re.compile("[" + "".join(map(re.escape, map(chr, _FOLD))) + ZERO_WIDTH + "]")
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 # Endings that a plainly spelled "dot" may lead to.
 ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "de", "fr", "es", "eu")
 _DOT = rf"{_OPEN}(?:dot|\.){_CLOSE}|(?<=[a-z0-9])\s{{1,3}}dot\s{{1,3}}(?=(?:[a-z0-9-]{{1,63}}\s{{1,3}}dot\s{{1,3}}){{0,3}}(?:{'|'.join(ENDINGS)})\b)"
-_AT = rf"{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?=[a-z0-9-]{{1,63}}(?:\.|{_DOT}))"
+# A plain "at" before a number with one or two points ("at 3.50") leads to no host.
+_AT = rf"{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?![0-9]++(?:\.[0-9]++){{1,2}}(?!\.?[a-z0-9-]))(?=[a-z0-9-]{{1,63}}(?:\.|{_DOT}))"
 _DIGIT = "|".join(SPELLED)
 _RUN = rf"\b(?:(?:{_DIGIT})[\s-]{{1,3}}){{2,}}(?:{_DIGIT})\b"
 #: One pass of the multi-character transducer; the named group that matches says which rewrite applies.
 _REWRITE = re.compile(rf"(?P<gone>[{ZERO_WIDTH}]+)|(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>\bplus\s{{1,3}}(?=(?:{_DIGIT}|[0-9])\b))|(?P<run>{_RUN})", re.I)
-# Cheap signs of a disguise, led by literals.
-_SIGN_DOT, _SIGN_RUN = re.compile(r"dot[\s\])}>]|[\[({<]\s?\."), re.compile(_RUN, re.I)
 _ONE_DIGIT = re.compile(_DIGIT, re.I)
 
 
@@ -123,8 +121,9 @@ class Mapped:
         return (a[0] + start - self.at[i] if a[2] else a[0]), (b[0] + end - self.at[j] if b[2] else b[1])
 
 
-def normalise(text: str) -> Mapped:
-    folded = text.translate(_FOLD)  # one character for one: offsets stay
+def normalise(text: str) -> Mapped | None:
+    """None if no rewrite applies anywhere."""
+    folded = text if text.isascii() else text.translate(_FOLD)  # one character for one: offsets stay
     out, last = Mapped(), 0
     for m in _REWRITE.finditer(folded):
         start, end = m.span()
@@ -138,21 +137,18 @@ def normalise(text: str) -> Mapped:
         elif m.lastgroup != "gone":
             out.put({"at": "@", "dot": ".", "plus": "+"}[m.lastgroup], start, end)
         last = end
+    if not last and folded == text:
+        return None
     out.put(folded[last:], last, len(folded))
     return out
 
 
-def disguised(text: str) -> bool:
-    return bool(not text.isascii() and _FOLDED.search(text) or _SIGN_DOT.search(text.lower()) or _SIGN_RUN.search(text))
-
-
 def find(text: str) -> list[tuple[int, int, str, bool]]:
     """Spans (start, end, kind, base) ordered by start and then kind."""
     base = detect(text)
     found = [(a, b, k, True) for a, b, k in base]
-    if disguised(text):
+    if (mapped := normalise(text)) is not None:
         taken = {k: [(a, b) for a, b, kind in base if kind == k] for k in KINDS}
-        mapped = normalise(text)
         for a, b, k in detect("".join(mapped.parts)):
             a, b = mapped.back(a, b)
             i = bisect_right(taken[k], (a, len(text) + 1)) - 1
