@@ -77,6 +77,20 @@ def test_pii_disguises_need_no_other_sign():
         assert pii.find(clean) == []
 
 
+def test_pii_any_ending_and_any_octet():
+    cases = {("email", e): "write to " + e for e in [f"jane at example dot {end}" for end in ("ca", "us", "au", "nl", "it", "ch", "ai", "dev", "app", "museum", "com")] + ["jane dot doe at mail dot example dot ca", "jane [at] site dot dev"]}
+    cases |= {("ip", i): "host " + i for i in ("192 dot 168 dot 0 dot 1", "ten.1 dot 2 dot 3 dot 4"[4:], "one dot one dot one dot one", "one nine two dot one six eight dot zero dot one", "10 dot zero dot 5 dot one two",
+              "192[.]168[.]zero[.]one", "1 nine 2 dot 168 dot 0 dot 7")}
+    cases |= {("phone", p): "call " + p for p in ("+1 555 five 55 1234 5", "plus 44 20 seven 946 0958", "plus one 555 one two 3 4567", "+4 four 2 zero 7 nine 4 six 0 nine")}
+    for (kind, part), text in cases.items():
+        found = [(k, text[a:b]) for a, b, k, base in pii.find(text + " now")]
+        assert (kind, part) in found, (text, found)
+    for clean in ("one of two dots, one dot 5 percent", "7 of one", "the dot product at one dot"):
+        assert pii.find(clean) == []
+    for long in ("1 2 3 4 " * 50000, "one dot " * 50000, " at a" * 50000, "1 dot " * 50000, "five-" * 50000):
+        pii.find(long)
+
+
 def test_urls(spark, tmp_path):
     rows = [None, "", "no scheme", "http://A.Example.com/en/x?y#z", "https://www.example.com/en/1", "http://x.net/es/", "http://net/fr/a", "http://knet/fr/", "http://com",
             "http://b.com/?q", "ftp://h.org", "://x.com/a://y.net/es/", "http://h.org/a\nb"]

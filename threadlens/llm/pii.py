@@ -1,7 +1,7 @@
 """Personal data with offset-preserving deobfuscation (operator 3).
 
 Base spans come from the text as it is. Then a chain of transducers rewrites a copy: homoglyphs and foreign digits fold
-one to one, zero-width characters vanish, disguised "at" and "dot" become their signs, and runs of spelled digits
+one to one, zero-width characters vanish, disguised "at" and "dot" become their signs, and spelled digits beside others
 become digits. Every rewrite records where its output came from, identifiers are detected in the normalised copy, and
 their spans are mapped back to source characters. A mapped span is added unless it lies within a base span of its kind.
 
@@ -90,16 +90,25 @@ def _fold_table() -> dict[int, str]:
 
 _FOLD = _fold_table()
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-# Endings that a plainly spelled "dot" may lead to.
-ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "de", "fr", "es", "eu")
-_DOT = rf"{_OPEN}(?:dot|\.){_CLOSE}|(?<=[a-z0-9])\s{{1,3}}dot\s{{1,3}}(?=(?:[a-z0-9-]{{1,63}}\s{{1,3}}dot\s{{1,3}}){{0,3}}(?:{'|'.join(ENDINGS)})\b)"
+_DOT = rf"{_OPEN}(?:dot|\.){_CLOSE}|(?<=[a-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[a-z0-9])"
+# After a plain "at" these words make "dot" a noun ("at the dot there"), unless a common ending follows.
+_NOUN = r"(?:the|an?|this|that|each|every|my|your|his|her|its|our|their)\s{1,3}dot\s{1,3}(?!(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu)\b)"
 # A plain "at" before a number with one or two points ("at 3.50") leads to no host.
-_AT = rf"{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?![0-9]++(?:\.[0-9]++){{1,2}}(?!\.?[a-z0-9-]))(?=[a-z0-9-]{{1,63}}(?:\.|{_DOT}))"
+_AT = rf"{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?!{_NOUN}|[0-9]++(?:\.[0-9]++){{1,2}}(?!\.?[a-z0-9-]))(?=[a-z0-9-]{{1,63}}(?:\.|{_DOT}))"
 _DIGIT = "|".join(SPELLED)
-_RUN = rf"\b(?:(?:{_DIGIT})[\s-]{{1,3}}){{2,}}(?:{_DIGIT})\b"
+# Spelled digits and single numerals; a run without a spelled one stays as it is.
+_ONE = rf"(?:(?:{_DIGIT})\b|[0-9](?![0-9a-z]))"
+_RUN = rf"(?<![0-9a-z_]){_ONE}(?:[\s-]{{1,3}}{_ONE})*+"
 #: One pass of the multi-character transducer; the named group that matches says which rewrite applies.
-_REWRITE = re.compile(rf"(?P<gone>[{ZERO_WIDTH}]+)|(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>\bplus\s{{1,3}}(?=(?:{_DIGIT}|[0-9])\b))|(?P<run>{_RUN})", re.I)
-_ONE_DIGIT = re.compile(_DIGIT, re.I)
+_REWRITE = re.compile(rf"(?P<gone>[{ZERO_WIDTH}]+)|(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>\bplus\s{{1,3}}(?=(?:{_DIGIT}|[0-9]+)\b))|(?P<run>{_RUN})", re.I)
+_SPELLED = re.compile(_DIGIT, re.I)
+# What stands beside a run: digits by a gap, or by a point, plain or disguised, as between octets.
+_POINT = rf"(?:\.|{_OPEN}(?:dot|\.){_CLOSE}|\s{{1,3}}dot\s{{1,3}})"
+_LEFT, _RIGHT = re.compile(r"[0-9][\s-]{1,3}\Z"), re.compile(r"[\s-]{1,3}[0-9]")
+_LEFT_POINT, _RIGHT_POINT = re.compile(rf"(?:[0-9]|\b(?:{_DIGIT})){_POINT}\Z", re.I), re.compile(rf"{_POINT}(?:[0-9]|(?:{_DIGIT})\b)", re.I)
+#: Characters before a run that decide: the longest disguised point and the longest spelled digit.
+_BEFORE, _OCTET = 24, 3
+_ONE_DIGIT = re.compile(rf"{_DIGIT}|[0-9]", re.I)
 
 
 class Mapped:
@@ -124,20 +133,31 @@ class Mapped:
 def normalise(text: str) -> Mapped | None:
     """None if no rewrite applies anywhere."""
     folded = text if text.isascii() else text.translate(_FOLD)  # one character for one: offsets stay
-    out, last = Mapped(), 0
+    out, last, changed = Mapped(), 0, folded != text
     for m in _REWRITE.finditer(folded):
         start, end = m.span()
         out.put(folded[last:start], last, start)
         if m.lastgroup == "run":
+            digits = list(_ONE_DIGIT.finditer(folded, start, end)) if _SPELLED.search(folded, start, end) else []
+            before = folded[max(0, start - _BEFORE) : start] if digits else ""
+            head, tail = bool(digits and _LEFT_POINT.search(before)), bool(digits and _RIGHT_POINT.match(folded, end))
+            if not (len(digits) > 1 or head or tail or digits and (_LEFT.search(before) or _RIGHT.match(folded, end))):
+                out.put(folded[start:end], start, end)
+                last = end
+                continue
             at = start
-            for d in _ONE_DIGIT.finditer(folded, start, end):
+            for i, d in enumerate(digits):
                 gap = folded[at : d.start()]
-                out.put(gap if gap == "-" else " " * bool(gap), at, d.start())
-                out.put(str(SPELLED.index(d[0].lower())), d.start(), at := d.end())
+                octet = head and i < _OCTET or tail and i > len(digits) - _OCTET  # digits of one octet close up
+                out.put("" if octet else gap if gap == "-" else " " * bool(gap), at, d.start())
+                word = d[0].lower()
+                out.put(str(SPELLED.index(word)) if word in SPELLED else word, d.start(), at := d.end())
+                changed = True
         elif m.lastgroup != "gone":
             out.put({"at": "@", "dot": ".", "plus": "+"}[m.lastgroup], start, end)
+        changed |= m.lastgroup != "run"
         last = end
-    if not last and folded == text:
+    if not changed:
         return None
     out.put(folded[last:], last, len(folded))
     return out
