@@ -1,6 +1,7 @@
 """PII (3), URL filter (5), mixing (9) and packing (1) against brute force and exact round trips."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -9,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from threadlens.llm import mixing, packing, pii, urls
+from threadlens.llm.common import Kept
 from threadlens.llm.entry import op1_token_packing, op3_pii_scan, op5_url_filter, op9_source_mixing, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -128,6 +130,39 @@ def test_url_model_held_out(spark):
     assert urls.judge(spark, spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def brute_url_score(url, counts):
+    """Witten-Bell over counts[class][context][character], exactly."""
+    total, x = 0.0, b"\0" * 4 + url.encode() + b"\1"
+    for t in range(4, len(x)):
+        logs = []
+        for table in counts:
+            p = 1 / 256
+            for k in range(5):
+                c = table.get(x[t - k : t])
+                if c:
+                    p = (c[x[t]] + len(c) * p) / (sum(c.values()) + len(c))
+            logs.append(math.log(p))
+        total += logs[1] - logs[0]
+    return total / (len(x) - 4)
+
+
+def test_url_counts_are_exact(spark):
+    """More distinct contexts than any table of fixed size would keep apart."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100))
+    rows = [(f"http://{word()}.com/", 1) for _ in range(2500)] + [(f"http://{word()}.net/fr/", 0) for _ in range(2500)] + [(f"http://{word()}.org/é", -1) for _ in range(30)]
+    counts = [{}, {}]
+    for url, cls in rows:
+        x = b"\0" * 4 + url.encode() + b"\1"
+        for t in range(4, len(x) if cls >= 0 else 0):
+            for k in range(5):
+                counts[cls].setdefault(x[t - k : t], Counter())[x[t]] += 1
+    got = {r.url: r.score for r in urls.scored(spark, Kept(spark), spark.createDataFrame(rows, "url string, cls long")).collect()}
+    assert len(got) == len(rows) and sum(map(len, counts)) > 1 << 18
+    for url, _ in rows[::250] + rows[-30:]:
+        assert abs(got[url] - brute_url_score(url, counts)) < 1e-9
+
+
 def test_mixing(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = op9_source_mixing(spark, SF).collect()

@@ -1,9 +1,11 @@
 """URL filter: rules first, then a character language-model ratio (operator 5).
 
 Two variable-order Markov models (orders 0 to ORDER, Witten-Bell interpolation) are counted over all URLs that the rules
-accept or reject; counts are summed by Spark into hashed tables of fixed size, so they grow with the corpus and the
-model does not. A URL's score is the difference of the models' log-likelihoods per character; the threshold is
-calibrated on a held-out fold of the labelled URLs, over all of its rows.
+accept or reject. Counts are exact: a gram of order k is its k + 1 bytes, and the tables are Spark tables that grow with
+the distinct grams; nothing of the model is gathered or broadcast. The log ratio of a character depends on its gram of
+the highest order only, so it is worked out once a gram, order by order, and each chunk of URLs fetches by join the
+ratios of its distinct grams. A URL's score is the mean ratio of its characters; the threshold is calibrated on a
+held-out fold of the labelled URLs, over all of its rows.
 
 Cases: a null URL or one without "://" has an empty host and path, fits no rule and is scored by its text (an empty
 one scores 0); repeated rows are judged alike; without labelled rows of both kinds the method allows; an empty table
@@ -13,18 +15,20 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import Kept, groups, parts_for
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-ORDER, TABLE_BITS, FOLDS, BINS, SPAN = 4, 18, 5, 4096, 8.0
+ORDER, FOLDS, BINS, SPAN = 4, 5, 4096, 8.0
+#: URLs that fetch their ratios together.
+CHUNK = 5000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,11 +50,11 @@ def with_rules(df: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -
     return rows.withColumns({"rule": rule, "ruled": verdict})
 
 
-def _slots(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """URL number of each character, and per order (rows) the slots of its context and of context and character."""
+def _grams(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """URL number and gram of each character: its bytes and those of the ORDER characters before, as one number."""
     data = [(u or "").encode() for u in urls]
     pad = b"\0" * ORDER
-    x = np.frombuffer(b"".join(pad + d + b"\1" for d in data), np.uint8).astype(np.uint64)
+    x = np.frombuffer(b"".join(pad + d + b"\1" for d in data), np.uint8).astype(np.int64)
     sizes = np.array([len(d) + 1 + ORDER for d in data], np.int64)
     owner = np.repeat(np.arange(len(data)), sizes)
     real = np.ones(len(x), bool)
@@ -58,102 +62,94 @@ def _slots(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(ORDER):
         real[starts + k] = False
     at = np.flatnonzero(real)
-    context, grams = [], []
-    h = np.zeros(len(at), np.uint64)
-    for k in range(ORDER + 1):
-        if k:
-            h = h * np.uint64(0x100000001B3) + x[at - k] + np.uint64(1)
-        base = mix64(h + np.uint64(k << 56))
-        context.append(base & np.uint64((1 << TABLE_BITS) - 1))
-        grams.append(mix64(base + x[at] * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << TABLE_BITS) - 1))
-    return owner[at], np.array(context).astype(np.int64), np.array(grams).astype(np.int64)
-
-
-@dataclass
-class Model:
-    """Tables indexed by class (0 rejected, 1 accepted) and slot: n of contexts, their successors, n of grams."""
-
-    n: np.ndarray
-    kinds: np.ndarray
-    grams: np.ndarray
-    threshold: float | None = None
-
-    def scores(self, urls: list[str | None]) -> np.ndarray:
-        owner, context, grams = _slots(urls)
-        logs = []
-        for c in (0, 1):
-            p = np.full(len(owner), 1 / 256)
-            for k in range(ORDER + 1):
-                n, kinds = self.n[c][context[k]], self.kinds[c][context[k]]
-                seen = n > 0
-                p = np.where(seen, (self.grams[c][grams[k]] + kinds * p) / np.maximum(n + kinds, 1), p)
-            logs.append(np.log(np.maximum(p, 1e-12)))
-        sums = np.bincount(owner, weights=logs[1] - logs[0], minlength=len(urls))
-        lengths = np.bincount(owner, minlength=len(urls))
-        return np.where(np.array([not u for u in urls]), 0.0, sums / np.maximum(lengths, 1))
+    gram = np.zeros(len(at), np.int64)
+    for k in range(ORDER, -1, -1):
+        gram = (gram << 8) | x[at - k]
+    return owner[at], gram
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per distinct gram of a batch, how often each class has it; rows of no class (-1) name theirs with counts of 0."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            owner, context, grams = _slots(part.column("url").to_pylist())
-            cls = np.array(part.column("cls").to_pylist(), np.int64)[owner]
-            key = np.concatenate([(((cls << TABLE_BITS) | context[k]) << TABLE_BITS) | grams[k] for k in range(ORDER + 1)])
-            keys, n = np.unique(key, return_counts=True)
-            low = (1 << TABLE_BITS) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (keys >> (2 * TABLE_BITS), (keys >> TABLE_BITS) & low, keys & low, n)], names=["cls", "ctx", "gram", "n"])
-
-
-def _tables(rows: DataFrame) -> Model:
-    """Both results are bounded by twice the table size, whatever the corpus."""
-    grams = rows.mapInArrow(_count, "cls long, ctx long, gram long, n long").groupBy("cls", "ctx", "gram").agg(F.sum("n").alias("n"))
-    size = 1 << TABLE_BITS
-    out = Model(np.zeros((2, size)), np.zeros((2, size)), np.zeros((2, size)))
-    both = grams.groupBy("cls", "ctx").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.lit(0).alias("what")).unionByName(
-        grams.groupBy("cls", F.col("gram").alias("ctx")).agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("kinds"), F.lit(1).alias("what")))
-    table = both.toArrow()
-    cls, ctx, n, kinds, what = (table[c].to_numpy() for c in ("cls", "ctx", "n", "kinds", "what"))
-    c, g = what == 0, what == 1
-    out.n[cls[c], ctx[c]], out.kinds[cls[c], ctx[c]], out.grams[cls[g], ctx[g]] = n[c], kinds[c], n[g]
-    return out
-
-
-def fit(spark: SparkSession, ruled: DataFrame) -> Model:
-    labelled = ruled.where("ruled is not null").select("url", (F.col("ruled") == "allow").cast("long").alias("cls"), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("fold"))
-    model = _tables(labelled.where("fold <> 0"))
-    shared = spark.sparkContext.broadcast(model)  # tables of fixed size
-
-    @F.pandas_udf("long")
-    def bins(url):
-        s = shared.value.scores(url.tolist())
-        import pandas as pd
-
-        return pd.Series(np.clip((s + SPAN) * (BINS / (2 * SPAN)), 0, BINS - 1).astype(np.int64))
-
-    seen = labelled.where("fold = 0").groupBy("cls", bins("url").alias("bin")).count().collect()
+        owner, gram = _grams(batch.column("url").to_pylist())
+        cls = batch.column("cls").to_numpy()[owner]
+        keys, at = np.unique(gram, return_inverse=True)
+        n = [np.bincount(at[cls == c], minlength=len(keys)) for c in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n[0]), pa.array(n[1])], names=["g", "n0", "n1"])
+
+
+def _ratios(grams: DataFrame) -> DataFrame:
+    """(g, ratio): log likelihood under the accepted class less that under the rejected one, of each gram of order ORDER.
+
+    A gram has at most 256 neighbours by its context or by its suffix, so no key of these joins is large.
+    """
+    last = None
+    for k in range(ORDER + 1):
+        mask = F.lit((1 << 8 * (k + 1)) - 1).cast("long")
+        rows = grams.groupBy(F.col("g").bitwiseAND(mask).alias("g")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("ctx", F.shiftright("g", 8))
+        context = rows.groupBy("ctx").agg(*[f(c) for c in (0, 1) for f in (lambda c: F.sum(f"n{c}").alias(f"all{c}"), lambda c: F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"kinds{c}"))])
+        rows = rows.join(context, "ctx")
+        if last is None:
+            rows = rows.withColumns({"p0": F.lit(1 / 256), "p1": F.lit(1 / 256)})
+        else:
+            rows = rows.withColumn("suffix", F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))).join(last.withColumnRenamed("g", "suffix"), "suffix")
+        p = [F.when(F.col(f"all{c}") > 0, (F.col(f"n{c}") + F.col(f"kinds{c}") * F.col(f"p{c}")) / (F.col(f"all{c}") + F.col(f"kinds{c}"))).otherwise(F.col(f"p{c}")) for c in (0, 1)]
+        last = rows.select("g", p[0].alias("p0"), p[1].alias("p1"))
+    return last.select("g", (F.log(F.greatest("p1", F.lit(1e-12))) - F.log(F.greatest("p0", F.lit(1e-12)))).alias("ratio"))
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct grams of each chunk of URLs (again if a chunk is cut by batches)."""
+    for (chunk,), table in groups(batches, ("chunk",)):
+        g = np.unique(_grams(table["url"].to_pylist())[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), chunk)), pa.array(g)], names=["chunk", "g"])
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, table in groups(batches, ("chunk",)):
+        told = pc.is_null(table["url"])
+        told_rows, urls = table.filter(told), table.filter(pc.invert(told))["url"].to_pylist()
+        g, ratio = told_rows["g"].to_numpy(), told_rows["ratio"].to_numpy()
+        order = np.argsort(g, kind="stable")
+        owner, gram = _grams(urls)
+        values = ratio[order][np.searchsorted(g[order], gram)]
+        scores = np.bincount(owner, weights=values, minlength=len(urls)) / np.bincount(owner, minlength=len(urls))
+        yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(scores)], names=["url", "score"])
+
+
+def scored(spark: SparkSession, kept: Kept, labelled: DataFrame) -> DataFrame:
+    """(url, score) of each distinct URL of rows (url, cls): 0 rejected, 1 accepted, -1 only to be scored."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    some = labelled.where("url <> ''")
+    ratios = _ratios(kept.keep("grams", some.mapInArrow(_count, "g long, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))))
+    urls = kept.keep("urls", some.select("url").distinct().select("url", F.floor(F.monotonically_increasing_id() / CHUNK).alias("chunk")))
+    told = urls.mapInArrow(_wanted, "chunk long, g long").join(ratios, "g").select("chunk", "g", "ratio", F.lit(None).cast("string").alias("url"))
+    both = told.union(urls.select("chunk", F.lit(None).cast("long"), F.lit(None).cast("double"), "url"))
+    return kept.keep("scores", both.repartition(max(parts, parts_for(spark, urls)), "chunk").sortWithinPartitions("chunk").mapInArrow(_score, "url string, score double"))
+
+
+def cut_off(scores: DataFrame) -> float | None:
+    """The threshold by rows (cls, score): least balanced error; none unless both classes have rows."""
+    at = F.floor((F.col("score") + SPAN) * (BINS / (2 * SPAN)))
     hist = np.zeros((2, BINS))
-    for r in seen:
+    for r in scores.groupBy("cls", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at)).alias("bin")).count().collect():
         hist[r["cls"], r["bin"]] += r["count"]
-    if hist.sum(1).min() > 0:
-        # Least balanced error of "allow from this bin on"; the middle of equally good bins.
-        miss = np.r_[0, np.cumsum(hist[1])] / hist[1].sum() + 1 - np.r_[0, np.cumsum(hist[0])] / hist[0].sum()
-        best = np.flatnonzero(miss <= miss.min() + 1e-12)
-        model.threshold = float(best[len(best) // 2] * 2 * SPAN / BINS - SPAN)
-    return model
+    if not hist.sum(1).min() > 0:
+        return None
+    # Least balanced error of "allow from this bin on"; the middle of equally good bins.
+    miss = np.r_[0, np.cumsum(hist[1])] / hist[1].sum() + 1 - np.r_[0, np.cumsum(hist[0])] / hist[0].sum()
+    best = np.flatnonzero(miss <= miss.min() + 1e-12)
+    return float(best[len(best) // 2] * 2 * SPAN / BINS - SPAN)
 
 
 def judge(spark: SparkSession, df: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the method's score for every row."""
-    ruled = with_rules(df, rules)
-    shared = spark.sparkContext.broadcast(fit(spark, ruled))
-
-    @F.pandas_udf("double")
-    def score(url):
-        import pandas as pd
-
-        return pd.Series(shared.value.scores(url.tolist()))
-
-    threshold = shared.value.threshold
+    kept, ruled = Kept(spark), with_rules(df, rules)
+    cls, fold = F.coalesce((F.col("ruled") == "allow").cast("long"), F.lit(-1).cast("long")), F.pmod(F.xxhash64("url"), F.lit(FOLDS))
+    labelled = ruled.select("url", cls.alias("cls"), fold.alias("fold"))
+    held = F.col("fold") == 0
+    scores = scored(spark, kept, labelled.select("url", F.when(held, -1).otherwise(F.col("cls")).cast("long").alias("cls")))
+    threshold = cut_off(labelled.where(held & (F.col("cls") >= 0)).join(scores, "url"))
     said = F.lit("allow") if threshold is None else F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return ruled.withColumn("score", score("url")).select("page_id", "host", "path", "rule", F.coalesce("ruled", said).alias("verdict"), "score")
+    rows = ruled.join(scores, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", said).alias("verdict"), "score")
