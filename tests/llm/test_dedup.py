@@ -152,6 +152,53 @@ def test_jaccard_documents(spark):
     assert run_jaccard(spark, []) == []
 
 
+def brute_links(rows):
+    sets = []
+    for _, text in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    close = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    return sorted((d, sum(close(a, b) for j, b in enumerate(sets) if j != i)) for i, ((d, _), a) in enumerate(zip(rows, sets)))
+
+
+def test_jaccard_counts_every_link(spark):
+    from threadlens.llm import jaccard
+
+    rows = near_copies(4, 3, 90)
+    rnd = random.Random(11)
+    body = [f"v{i}" for i in range(120)]
+    for i in range(70):  # one group of which nearly all pairs link
+        doc = list(body)
+        for _ in range(rnd.randrange(4)):
+            doc[rnd.randrange(len(doc))] = f"x{rnd.randrange(10**6)}"
+        rows.append((8000 + i, " ".join(doc)))
+    rows += [rows[20], (9000, rows[21][1]), (9001, rows[21][1])]
+    want = brute_links(rows)
+    assert max(n for _, n in want) > 10
+    for caps in ((16_000, 3_000), (50, 20)):
+        got = sorted((r.doc_id, r.n_links) for r in jaccard.similar(spark, as_table(spark, rows), caps=caps).collect())
+        assert got == want
+
+
+def test_region_counts_each_link_once():
+    import numpy as np
+
+    from threadlens.llm import jaccard
+
+    rnd = random.Random(10)
+    base = [set(rnd.sample(range(4000), 60)) for _ in range(12)]
+    sets = []
+    for _ in range(400):
+        s = set(rnd.choice(base))
+        for _ in range(rnd.randrange(8)):
+            s.discard(rnd.choice(sorted(s)))
+            s.add(rnd.randrange(4000))
+        sets.append(s)
+    region = jaccard.Region([np.array(sorted(s), np.uint64) for s in sets], 80)
+    region.join(np.arange(len(sets)))
+    assert region.links.tolist() == [sum(100 * len(a & b) >= 80 * len(a | b) for b in sets) - 1 for a in sets]
+
+
 def test_region_recursion():
     import numpy as np
 

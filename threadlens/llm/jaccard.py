@@ -14,9 +14,12 @@ elected where documents can meet at all:
 4. Region join: the most central member becomes the pivot, exact distances to it are taken, and triangle-inequality
    windows prune the rest. Large regions are split into the Voronoi cells of several pivots; boundary documents (within
    twice the threshold of the nearest pivot's distance) are replicated, and the cells are joined by recursion.
-   Documents already in one component need no further comparison, so a hub links a large group in linear time.
+   Every pair that the windows leave is verified, so a group of n near copies takes about n^2 / 2 comparisons. Each
+   linked pair is counted once: in the cell where its first member is at home, and of the regions and parts where both
+   meet, in the region of the smallest pivot and the one part or pair of parts that holds them.
    Regions beyond a size are cut into parts and each pair of parts is a task.
-5. Links of representatives give components; classes give every document its component.
+5. Links of representatives, each weighted by the size of the other's class, give n_links; those that span give
+   components; classes give every document its component.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; with fewer than five words the whole
 sequence is one shingle; repeated rows are one class, returned row by row; an empty table gives an empty result; other
@@ -139,95 +142,141 @@ def _prune(percent: int):
     return run
 
 
-class Region:
-    """Shingle sets side by side; exact intersections of one set with many."""
+class Flat:
+    """Sets of numbers side by side: how many members others have of one."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.percent, self.far = percent, 1 - percent / 100
+    def __init__(self, sets: list[np.ndarray]):
+        keys, self.flat, self.seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         self.n = np.array([len(s) for s in sets], np.int64)
-        keys, self.flat, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         self.at = np.concatenate([[0], np.cumsum(self.n)])
         self.mark = np.zeros(len(keys), bool)
-        self.central = np.add.reduceat(seen[self.flat], self.at[:-1]) / self.n
-        self.parent = np.arange(len(sets))
 
     def inter(self, i: int, others: np.ndarray) -> np.ndarray:
         mine = self.flat[self.at[i] : self.at[i + 1]]
         self.mark[mine] = True
+        n = self.n[others]
+        ends = np.cumsum(n)
         if 4 * len(others) > len(self.n):
-            out = np.add.reduceat(self.mark[self.flat], self.at[:-1], dtype=np.int64)[others]
+            total = np.concatenate([[0], np.cumsum(self.mark[self.flat])])
+            out = total[self.at[others + 1]] - total[self.at[others]]
         else:
-            out = np.array([np.count_nonzero(self.mark[self.flat[self.at[o] : self.at[o + 1]]]) for o in others], np.int64)
+            where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[others] - ends + n, n)
+            total = np.concatenate([[0], np.cumsum(self.mark[self.flat[where]])])
+            out = total[ends] - total[ends - n]
         self.mark[mine] = False
         return out
 
-    def join_one(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Distances of the pivot to others, after uniting those that link with it."""
-        inter = self.inter(i, others)
-        near = others[links(inter, self.n[i], self.n[others], self.percent)]
-        roots = np.unique(self.parent[np.r_[near, i]])
-        self.parent[np.isin(self.parent, roots)] = roots[0]
+
+class Region:
+    """Verified links of shingle sets: components, and for each set the weight of those it links with.
+
+    before holds for each set the regions of smaller pivots it is in (a pair that shares one is verified there), part its
+    part of the region (pairs of one part are verified in that part's own task, if there are two here).
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int, weight: np.ndarray | None = None, before: list[np.ndarray] | None = None, part: np.ndarray | None = None):
+        self.percent, self.far = percent, 1 - percent / 100
+        self.sets = Flat(sets)
+        self.n = self.sets.n
+        self.central = np.add.reduceat(self.sets.seen[self.sets.flat], self.sets.at[:-1]) / self.n
+        self.parent = np.arange(len(sets))
+        self.weight = weight if weight is not None else np.ones(len(sets), np.int64)
+        self.before = Flat(before) if before is not None and any(map(len, before)) else None
+        self.part, self.links = part, np.zeros(len(sets), np.int64)
+
+    def distances(self, i: int, others: np.ndarray, inter: np.ndarray) -> np.ndarray:
         return 1 - inter / (self.n[i] + self.n[others] - inter)
 
-    def join(self, members: np.ndarray) -> None:
-        members = members[np.argsort(-self.central[members], kind="stable")]
+    def link(self, i: int, others: np.ndarray, inter: np.ndarray) -> None:
+        near = others[links(inter, self.n[i], self.n[others], self.percent)]
+        if not len(near):
+            return
+        if (self.parent[near] != self.parent[i]).any():
+            roots = np.unique(self.parent[np.r_[near, i]])
+            self.parent[np.isin(self.parent, roots)] = roots[0]
+        self.links[i] += self.weight[near].sum()
+        self.links[near] += self.weight[i]
+
+    def join(self, members: np.ndarray, home: np.ndarray | None = None) -> None:
+        """home says which members are here by their nearest pivot; a pair counts where its smaller number is at home."""
+        home = np.ones(len(members), bool) if home is None else home
+        order = np.argsort(-self.central[members], kind="stable")
+        members, home = members[order], home[order]
         if len(members) <= LEAF:
-            return self.leaf(members)
+            return self.leaf(members, home)
         distances, pivots = [], []
         pivot = members[0]
         for _ in range(PIVOTS):  # the most central document, then each time the one farthest from all pivots
             pivots.append(pivot)
-            distances.append(self.join_one(pivot, members))
-            if len(np.unique(self.parent[members])) == 1:
-                return None
+            distances.append(self.distances(pivot, members, self.sets.inter(pivot, members)))
             pivot = members[np.argmax(np.min(distances, axis=0))]
             if pivot in pivots:
                 break
         d = np.array(distances)
         reach = d <= d.min(axis=0) + 2 * self.far + 1e-12
-        cells = [members[r] for r in reach]
-        if max(map(len, cells)) > 0.8 * len(members):
-            return self.leaf(members, d)  # the windows cover nearly all: no use in splitting
-        for cell in cells:
-            if len(cell) > 1:
-                self.join(cell)
+        if reach.sum(axis=1).max() > 0.8 * len(members):
+            return self.leaf(members, home, d)  # the windows cover nearly all: no use in splitting
+        nearest = d.argmin(axis=0)
+        for k, r in enumerate(reach):
+            if r.sum() > 1 and (home & (nearest == k)).any():
+                self.join(members[r], (home & (nearest == k))[r])
         return None
 
-    def leaf(self, members: np.ndarray, known: np.ndarray | None = None) -> None:
-        """Each member in turn is pivot for those behind it that the windows leave and that are not yet joined."""
-        d = known if known is not None else np.zeros((0, len(members)))
-        for k, i in enumerate(members[:-1]):
-            rest = np.arange(k + 1, len(members))
-            rest = rest[self.parent[members[rest]] != self.parent[i]]
-            low, high = np.minimum(self.n[i], self.n[members[rest]]), np.maximum(self.n[i], self.n[members[rest]])
-            rest = rest[100 * low >= self.percent * high]
+    def leaf(self, members: np.ndarray, home: np.ndarray, known: np.ndarray | None = None) -> None:
+        """Each member at home in turn is pivot for those of larger number that the windows leave."""
+        order = np.argsort(members)
+        members, home = members[order], home[order]
+        d = known[:, order] if known is not None else np.zeros((0, len(members)))
+        sizes = self.n[members]
+        for k in np.flatnonzero(home[:-1]).tolist():
+            i, rest = members[k], np.arange(k + 1, len(members))
+            rest = rest[100 * np.minimum(sizes[k], sizes[rest]) >= self.percent * np.maximum(sizes[k], sizes[rest])]
+            if self.part is not None:
+                rest = rest[self.part[members[rest]] != self.part[i]]
             if len(rest) and len(d):
                 rest = rest[(np.abs(d[:, rest] - d[:, [k]]) <= self.far + 1e-12).all(axis=0)]
+            if len(rest) and self.before is not None and self.before.n[i]:
+                rest = rest[self.before.inter(i, members[rest]) == 0]
             if not len(rest):
                 continue
-            got = self.join_one(i, members[rest])
+            inter = self.sets.inter(i, members[rest])
+            self.link(i, members[rest], inter)
             if len(d) < PIVOTS and len(rest) == len(members) - k - 1:
+                got = self.distances(i, members[rest], inter)
                 d = np.vstack([d, np.r_[np.zeros(k + 1), got]])  # a window needs distances to all that follow
 
 
-def join_sets(docs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def join_all(docs: np.ndarray, region: Region) -> list[tuple[int, int]]:
     """Links that span the components of the sets: (document, smallest document of its component)."""
-    region = Region(sets, percent)
-    region.join(np.arange(len(sets)))
+    region.join(np.arange(len(docs)))
     least: dict[int, int] = {}
     for doc, root in zip(docs.tolist(), region.parent.tolist()):
         least[root] = min(least.get(root, doc), doc)
     return [(doc, least[root]) for doc, root in zip(docs.tolist(), region.parent.tolist()) if doc != least[root]]
 
 
+def join_sets(docs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    return join_all(docs, Region(sets, percent))
+
+
 def _regions(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
         def rows() -> Iterator[tuple]:
-            for _, table in groups(batches, ("p", "i", "j")):
-                if table.num_rows > 1:
-                    yield from join_sets(table["doc"].to_numpy(), [np.frombuffer(s, np.uint64) for s in table["body"].to_pylist()], percent)
+            for (_, i, j), table in groups(batches, ("p", "i", "j")):
+                # A repeated row of a table repeats its set; it counts by weight.
+                body, once = table["body"].to_pylist(), {}
+                for k, key in enumerate(zip(table["doc"].to_pylist(), body)):
+                    once.setdefault(key, k)
+                if len(once) > 1:
+                    at = np.fromiter(once.values(), np.int64)
+                    doc, weight, part = (table[c].to_numpy()[at] for c in ("doc", "weight", "part"))
+                    before = table["before"].to_pylist()
+                    region = Region([np.frombuffer(body[k], np.uint64) for k in at], percent, weight, [np.frombuffer(before[k], np.int64) for k in at], part if i != j else None)
+                    yield from ((a, b, None) for a, b in join_all(doc, region))
+                    some = np.flatnonzero(region.links)
+                    yield from ((a, None, n) for a, n in zip(doc[some].tolist(), region.links[some].tolist()))
 
         yield from in_batches(rows(), schema, 20_000)
 
@@ -235,20 +284,24 @@ def _regions(percent: int):
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set once for each of its regions, with the regions before it."""
     hashes = WordHashes()
 
     def rows() -> Iterator[tuple]:
-        for doc, text, side in attached(batches, ("p",)):
+        for doc, text, side in attached(batches, ("p", "weight")):
             if len(side["p"]):
-                body = shingles(hashes, text).tobytes()
-                for p in np.unique(side["p"]).tolist():
-                    yield p, doc, body
+                body, every = shingles(hashes, text).tobytes(), np.unique(side["p"]).astype(np.int64)
+                for k, p in enumerate(every.tolist()):
+                    yield p, doc, int(side["weight"][0]), body, every[:k].tobytes()
 
-    yield from in_batches(rows(), pa.schema([("p", pa.int64()), ("doc", pa.int64()), ("body", pa.binary())]))
+    yield from in_batches(rows(), pa.schema([("p", pa.int64()), ("doc", pa.int64()), ("weight", pa.int64()), ("body", pa.binary()), ("before", pa.binary())]))
 
 
 def similar(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, caps: tuple[int, int] = (SKETCH_CAP, SET_CAP)) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, class_id (the smallest doc_id with the same shingles)."""
+    """Per row: doc_id, n_shingles, component_id, class_id (the smallest doc_id with the same shingles), n_links.
+
+    n_links counts the other documents (rows) that link with the row's, those of its own class included.
+    """
     kept, docs = Kept(spark), pick(df, id_col, text_col)
     parts = parts_for(spark, docs)
     hashes = WordHashes()
@@ -258,8 +311,8 @@ def similar(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], counts[order]))  # at most FREQUENT rows
     every = facts.where("key is null").select("doc_id", "n", "sig_a", "sig_b", "sketch")
-    classes = every.where("n > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("class_id"))
-    heads = kept.keep("heads", every.where("n > 0").groupBy("sig_a", "sig_b", "n", "sketch").agg(F.min("doc_id").alias("doc")).select("doc", "n", "sketch"))
+    classes = every.where("n > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
+    heads = kept.keep("heads", every.where("n > 0").groupBy("sig_a", "sig_b", "n", "sketch").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("weight")).select("doc", "n", "sketch", "weight"))
 
     def prefixes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -278,17 +331,20 @@ def similar(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col
     alive = kept.keep("alive", tasks.mapInArrow(_prune(percent), "p long, doc long").distinct())
     kept.drop("met")
     null = lambda kind: F.lit(None).cast(kind)
-    both = docs.select("doc_id", F.lit(1).alias("kind"), null("long").alias("p"), "text").union(alive.select(F.col("doc").alias("doc_id"), F.lit(0), "p", null("string")))
-    sets = both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(_with_sets, "p long, doc long, body binary")
+    weighted = alive.join(heads.select("doc", "weight"), "doc")
+    both = docs.select("doc_id", F.lit(1).alias("kind"), null("long").alias("p"), null("long").alias("weight"), "text").union(weighted.select(F.col("doc").alias("doc_id"), F.lit(0), "p", "weight", null("string")))
+    sets = both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(_with_sets, "p long, doc long, weight long, body binary, before binary")
     large = kept.keep("large", alive.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > caps[1]).select("p", F.ceil(F.col("n") / caps[1]).cast("int").alias("cuts")))
     cut = sets.join(large, "p", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("cuts")), F.lit(0)).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.expr("sequence(0, coalesce(cuts, 1) - 1)"))).select("p", "doc", "body", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    found = cut.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "doc").mapInArrow(_regions(percent), "a long, b long")
-    components = connected_components(spark, found, kept)
+    cut = cut.withColumn("other", F.explode(F.expr("sequence(0, coalesce(cuts, 1) - 1)"))).select("p", "doc", "weight", "part", "body", "before", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    found = kept.keep("found", cut.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "doc").mapInArrow(_regions(percent), "a long, b long, links long"))
+    components = connected_components(spark, found.where("b is not null").select("a", "b"), kept)
+    counts = found.where("links is not null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
     return (
         every.join(classes, ["sig_a", "sig_b"], "left")
         .join(components.withColumnRenamed("id", "class_id"), "class_id", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") > 0, F.col("class_id")), "doc_id").alias("component_id"), F.coalesce(F.when(F.col("n") > 0, F.col("class_id")), "doc_id").alias("class_id"))
+        .join(counts, "class_id", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") > 0, F.col("class_id")), "doc_id").alias("component_id"), F.coalesce(F.when(F.col("n") > 0, F.col("class_id")), "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).alias("n_links"))
     )
 
 
