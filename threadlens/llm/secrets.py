@@ -41,6 +41,15 @@ class Rule:
         return re.compile(self.pattern, re.A | (re.I if self.fold else 0))
 
 
+# A private key is masked whole: to the matching END line, with no other boundary between, or else over the base64 lines
+# (runs of 16 characters or more wherever they stand, and whole lines) behind the header and its fields, line breaks
+# escaped or quoted too. All runs are possessive, so that a header costs no more than the text up to the next boundary.
+_BREAK = r"(?:\r?\n|\\r\\n|\\n)"
+_BETWEEN = r"""(?:[\s"'>#*|,;]|\\[nrt]|-(?!-)|\+(?=[\s"']))*+"""
+_FIELD = rf"{_BREAK}[A-Za-z-]++:\x20[^\n\\]*+"
+_LINE = rf"{_BETWEEN}[A-Za-z0-9+/]{{16,}}+={{0,2}}|{_BETWEEN}[A-Za-z0-9+/]++={{1,2}}|{_BREAK}[\x20\t]*+[A-Za-z0-9+/]++={{0,2}}(?=[\x20\t\"',;]*+(?:{_BREAK}|\Z))"
+_PEM = rf"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END \1PRIVATE KEY-----|(?:{_FIELD})*+(?:{_LINE})*+)"
+
 #: The three base kinds in order, then public token formats.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True, True),
@@ -51,7 +60,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _PEM),
 )
 
 # A query is True (no condition), a trigram, or ("and" | "or", frozenset of queries).
