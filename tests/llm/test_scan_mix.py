@@ -130,6 +130,14 @@ def test_url_model_held_out(spark):
     assert urls.judge(spark, spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_url_threshold_with_few_distinct_urls(spark):
+    """A label of one URL with many copies lies in one fold, whichever that is."""
+    for k in range(3):
+        rows = [f"http://abc{i}.com/ab" for i in range(40)] + [f"http://zzz{k}.net/es/zyx"] * 50 + ["http://zzz.org/es/zyx", "http://abc.org/ab"]
+        got = {r.page_id: r.verdict for r in urls.judge(spark, spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+        assert (got[90], got[91]) == ("block", "allow")
+
+
 def brute_url_score(url, counts):
     """Witten-Bell over counts[class][context][character], exactly."""
     total, x = 0.0, b"\0" * 4 + url.encode() + b"\1"

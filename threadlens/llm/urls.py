@@ -5,7 +5,7 @@ accept or reject. Counts are exact: a gram of order k is its k + 1 bytes, and th
 the distinct grams; nothing of the model is gathered or broadcast. The log ratio of a character depends on its gram of
 the highest order only, so it is worked out once a gram, order by order, and each chunk of URLs fetches by join the
 ratios of its distinct grams. A URL's score is the mean ratio of its characters; the threshold is calibrated on a
-held-out fold of the labelled URLs, over all of its rows.
+held-out fold of the labelled URLs, over all of its rows; if no fold can be held out, on all of them.
 
 Cases: a null URL or one without "://" has an empty host and path, fits no rule and is scored by its text (an empty
 one scores 0); repeated rows are judged alike; without labelled rows of both kinds the method allows; an empty table
@@ -142,13 +142,23 @@ def cut_off(scores: DataFrame) -> float | None:
     return float(best[len(best) // 2] * 2 * SPAN / BINS - SPAN)
 
 
+def held_out(labelled: DataFrame) -> int | None:
+    """The first fold that has rows of both classes and leaves some of both; none if no fold does."""
+    n = np.zeros((FOLDS, 2), np.int64)
+    for r in labelled.where("cls >= 0").groupBy("fold", "cls").count().collect():
+        n[r["fold"], r["cls"]] = r["count"]
+    fit = np.flatnonzero(((n > 0) & (n < n.sum(axis=0))).all(axis=1))
+    return int(fit[0]) if len(fit) else None
+
+
 def judge(spark: SparkSession, df: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the method's score for every row."""
     kept, ruled = Kept(spark), with_rules(df, rules)
     cls, fold = F.coalesce((F.col("ruled") == "allow").cast("long"), F.lit(-1).cast("long")), F.pmod(F.xxhash64("url"), F.lit(FOLDS))
     labelled = ruled.select("url", cls.alias("cls"), fold.alias("fold"))
-    held = F.col("fold") == 0
-    scores = scored(spark, kept, labelled.select("url", F.when(held, -1).otherwise(F.col("cls")).cast("long").alias("cls")))
+    fold = held_out(labelled)
+    held = F.lit(True) if fold is None else F.col("fold") == fold
+    scores = scored(spark, kept, labelled.select("url", F.when(held & F.lit(fold is not None), -1).otherwise(F.col("cls")).cast("long").alias("cls")))
     threshold = cut_off(labelled.where(held & (F.col("cls") >= 0)).join(scores, "url"))
     said = F.lit("allow") if threshold is None else F.when(F.col("score") >= threshold, "allow").otherwise("block")
     rows = ruled.join(scores, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
