@@ -311,3 +311,16 @@ def test_streams(spark, tmp_path):
     assert seen == ["a.jsonl", "b.jsonl"]
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     assert streams.session_windows(ev).count() > 0 and streams.tumbling(ev).count() > 0
+
+
+def test_stream_dedup_is_a_stream(spark, tmp_path, monkeypatch):
+    from threadlens.plans import queries
+    from threadlens.streaming import streams
+
+    kinds, plain = [], streams.deduplicated
+    monkeypatch.setattr(streams, "deduplicated", lambda events, *more: kinds.append(events.isStreaming) or plain(events, *more))
+    rows = [(f"2020-01-0{d} 00:00:00", u, e) for d in range(1, 9) for u in range(d) for e in ("a", "b")] + [("2024-01-01 00:00:00", 0, "a")]
+    table = spark.createDataFrame(rows, "ts string, user_id long, event_type string").selectExpr("cast(ts as timestamp) as ts", "user_id", "event_type")
+    table.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_type: r.users for r in queries.stream_dedup(spark, str(tmp_path)).collect()}
+    assert kinds == [True] and got == {"a": 8, "b": 8}
