@@ -1,10 +1,14 @@
 """BPE encoding and decoding with a contiguous rank array (operator 10).
 
 A short word keeps two flat arrays: part boundaries and the rank of each adjacent pair. The smallest rank is found by
-scanning, its boundary is deleted, and only the two neighbouring ranks are looked up again.
-
-The vocabulary file's path is a parameter. Cases: null text is empty and gives no tokens; texts of any length are
-split at white space, so work stays with words; repeated rows give repeated results; other columns are ignored.
+scanning, its boundary is deleted, and only the two neighbouring ranks are looked up again. Scanning costs the square of
+the length, so a piece of more than LONG symbols (text without spaces) keeps its ranks in a heap over linked parts
+instead; the merges are the same.
+
+The vocabulary file's path is a parameter. A task remembers words while they fit in a fixed number of bytes and lets them
+go when it ends. Cases: null text is empty and gives no tokens; texts of any length are split at white space, and a long
+unbroken word costs n log n; of equal ranks the leftmost pair merges first; repeated rows give repeated results; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, pick
 
-NO_RANK = 1 << 60
+NO_RANK, LONG = 1 << 60, 256
 #: White space as the vocabulary's pattern has it. str.split() also cuts at U+001C to U+001F, which are not in it.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -33,6 +38,8 @@ def merge_parts(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[s
     """Merge adjacent symbols by least rank, leftmost first, until no pair has a rank."""
     if len(symbols) < 2:
         return symbols
+    if len(symbols) > LONG:
+        return merge_long(symbols, ranks)
     parts = list(symbols)
     get = ranks.get
     pair_rank = [get(p, NO_RANK) for p in zip(parts, parts[1:])]
@@ -50,6 +57,27 @@ def merge_parts(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[s
     return parts
 
 
+def merge_long(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The same merges for a long piece: a heap of (rank, place) over linked parts; entries that no longer hold are passed over."""
+    n, get = len(symbols), ranks.get
+    parts: list[str | None] = list(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := get(p)) is not None]
+    heapify(heap)
+    while heap:
+        r, i = heappop(heap)
+        if parts[i] is None or (j := after[i]) == n or get((parts[i], parts[j])) != r:
+            continue
+        parts[i] += parts[j]
+        parts[j], after[i] = None, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a in (before[i], i):
+            if a >= 0 and (b := after[a]) < n and (new := get((parts[a], parts[b]))) is not None:
+                heappush(heap, (new, a))
+    return [p for p in parts if p is not None]
+
+
 def byte_letters() -> list[str]:
     """The printable letter for each byte value: printable Latin-1 stays, the rest follows from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -60,9 +88,6 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A word-level BPE vocabulary in the JSON form of the tokenizers library: NFC, lower case, word-end suffix."""
 
-    #: Two generations of remembered words: what the older one still holds costs one more look-up.
-    REMEMBER = 250_000
-
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -78,40 +103,28 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
-        self.young: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
 
     def _tokens(self, piece: str) -> list[str]:
         symbols = [self.letters[b] for b in piece.encode()]
         symbols[-1] += self.suffix
         return [s for s in merge_parts(symbols, self.ranks) if s in self.vocab]
 
-    def _word(self, word: str) -> tuple[int, str, str]:
+    def word(self, word: str) -> tuple[int, str, str]:
         """Count, ids and tokens of a word without white space; ids and tokens joined by a space."""
-        entry = self.old.get(word)
-        if entry is None:
-            norm = word if word.isascii() else unicodedata.normalize("NFC", word)
-            norm = norm.lower() if norm.isascii() else "".join([c.lower() for c in norm])
-            tokens = [t for piece in self.pieces.findall(norm) for t in self._tokens(piece)]
-            entry = len(tokens), " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens)
-        if len(self.young) >= self.REMEMBER:
-            self.old, self.young = self.young, {}
-        self.young[word] = entry
-        return entry
+        norm = word if word.isascii() else unicodedata.normalize("NFC", word)
+        norm = norm.lower() if norm.isascii() else "".join([c.lower() for c in norm])
+        tokens = [t for piece in self.pieces.findall(norm) for t in self._tokens(piece)]
+        return len(tokens), " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens)
 
-    def _words(self, text: str) -> list[tuple[int, str, str]]:
-        words = text.split() if not _ODD_SPACE.search(text) else [w for w in _SPACE.split(text) if w]
-        young = self.young.get
-        return [young(w) or self._word(w) for w in words]
-
-    def digest_parts(self, text: str) -> tuple[int, str, str]:
+    def digest_parts(self, text: str, known: "Remembered | None" = None) -> tuple[int, str, str]:
         """Number of tokens, decimal ids joined by a space, decoded text."""
+        known = Remembered(self) if known is None else known
         if self.special_split is not None and "<|" in text:
             entries = []
             for k, part in enumerate(self.special_split.split(text)):
-                entries += [(1, str(self.special[part]), part)] if k % 2 else self._words(part)
+                entries += [(1, str(self.special[part]), part)] if k % 2 else known.words(part)
         else:
-            entries = self._words(text)
+            entries = known.words(text)
         full = [e for e in entries if e[0]]
         if not full:
             return 0, "", ""
@@ -126,7 +139,42 @@ class WordBpe:
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
-@lru_cache(maxsize=2)
+class Remembered:
+    """Encoded words in two generations of so many bytes; what the older one still holds costs one more look-up.
+
+    Words of more than LONGEST characters are rare and large, and are encoded each time.
+    """
+
+    BYTES, LONGEST, OVERHEAD = 16 << 20, 64, 400
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.held = bpe, 0
+        self.young: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        entry = self.old.get(word) or self.bpe.word(word)
+        if len(word) <= self.LONGEST:
+            self.held += self.OVERHEAD + len(word) + len(entry[1]) + len(entry[2])
+            if self.held > self.BYTES:
+                self.old, self.young, self.held = self.young, {}, 0
+            self.young[word] = entry
+        return entry
+
+    def words(self, text: str) -> list[tuple[int, str, str]]:
+        words = text.split() if not _ODD_SPACE.search(text) else [w for w in _SPACE.split(text) if w]
+        young = self.young  # replaced when it is full, hence looked up through the object
+        out = []
+        for w in words:
+            entry = young.get(w)
+            if entry is None:
+                entry = self._word(w)
+                young = self.young
+            out.append(entry)
+        return out
+
+
+@lru_cache(maxsize=1)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
 
@@ -134,11 +182,15 @@ def load(path: str) -> WordBpe:
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """Per row: n_tokens, ids (array of int, if asked for), and SHA-256 of the ids and of the decoded text."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def start():
         bpe = load(path)
+        known = Remembered(bpe)
+        return lambda batch: run(batch, bpe, known)
+
+    def run(batch: pa.RecordBatch, bpe: WordBpe, known: Remembered) -> Iterator[pa.RecordBatch]:
         n, id_sums, text_sums, all_ids = [], [], [], []
         for text in batch.column("text").to_pylist():
-            count, joined, decoded = bpe.digest_parts(text or "")
+            count, joined, decoded = bpe.digest_parts(text or "", known)
             n.append(count)
             id_sums.append(hashlib.sha256(joined.encode()).hexdigest())
             text_sums.append(hashlib.sha256(decoded.encode()).hexdigest())
@@ -151,4 +203,4 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             arrays, names = [*arrays, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *all_ids])))], [*names, "ids"]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return arrow_map(pick(df, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids, max_bytes=1 << 20)
+    return arrow_map(pick(df, id_col, text_col), start, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids, max_bytes=1 << 20, state=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -78,12 +79,26 @@ def gram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return mix64(h)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType, column: str = "text", max_bytes: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow over small slices, one output stream."""
+def let_go() -> None:
+    """Hand freed memory back to the system: workers outlive their tasks, and their neighbours need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library; its own thresholds hold
+        pass
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType, column: str = "text", max_bytes: int = SLICE_BYTES, state: bool = False) -> DataFrame:
+    """mapInArrow of fn, from a batch to batches, over small slices; with state, fn() makes that function in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column, max_bytes):
-            yield from fn(part)
+        one = fn() if state else fn
+        try:
+            for part in slices(batches, column, max_bytes):
+                yield from one(part)
+        finally:
+            del one
+            let_go()
 
     return df.mapInArrow(run, schema)
 
