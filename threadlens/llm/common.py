@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -104,7 +104,10 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType, column: str
 
 
 class Kept:
-    """Tables written to the shared folder to cut lineage; drop() removes those no longer needed."""
+    """Tables written to the shared folder to cut lineage; drop() removes those no longer needed.
+
+    A result still reads the last of them, so they stay in their cut-* folder until the run's shared folder is cleared.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}", {}
@@ -116,6 +119,9 @@ class Kept:
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[n for n in self.paths if n not in names])
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
@@ -126,17 +132,18 @@ class Kept:
 def parts_for(spark: SparkSession, df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """Partitions for a shuffle of about the input's size: at least the session's, more as the input grows.
 
-    The size is Catalyst's estimate, known without a job; a plan without one reports an absurd size.
+    The size is Catalyst's estimate, known without a job; a plan without one reports an absurd size, a petabyte or more.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // bytes_each if size < 1 << 60 else 0)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // bytes_each if size < 1 << 50 else 0)
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, kept: Kept | None = None) -> DataFrame:
     """(id, component_id) for every id on an edge (a, b): component_id is the smallest id reachable.
 
-    Alternating large-star and small-star steps; each step groups by node with partial aggregation, so a
-    hub's edges are combined before the shuffle, and each round is written to the shared folder.
+    Alternating large-star and small-star steps, each round written to the shared folder. The minimum of a node is combined
+    before the shuffle; where it is joined back, a hub's edges are split by the adaptive skew join, both sides being read
+    from a shuffle of their own.
     """
     kept = kept or Kept(spark)
     now = kept.keep("cc0", edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -265,17 +272,36 @@ def packed_keys(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(doc[at]), pa.array(more, pa.binary())], names=["key", "doc", "more"])
 
 
-def blocked(kept: Kept, name: str, rows: DataFrame, keys: list[str], spread: str, cap: int) -> DataFrame:
-    """rows with part, i, j: groups of more than `cap` rows are cut into parts, and each pair of parts becomes a task.
+def cuts_of(rows: DataFrame, keys: list[str], cap: int, size: Column | None = None, most: int = 1) -> DataFrame:
+    """keys and cuts of the groups of more than `cap` rows or more than `most` bytes, by the size of a row."""
+    cuts = F.greatest(F.ceil(F.count(F.lit(1)) / cap), F.ceil(F.sum(size if size is not None else F.lit(0)) / most))
+    return rows.groupBy(*keys).agg(cuts.cast("int").alias("cuts")).where("cuts > 1")
+
+
+def blocked(large: DataFrame, rows: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """rows with part, i, j: a group in `large` is cut into its number of parts, and each pair of parts becomes a task.
 
     A row goes to the tasks (i, j), i <= j, that its part takes part in; a pair of rows meets in exactly one of them.
     """
-    large = kept.keep(name, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select(*keys, F.ceil(F.col("n") / cap).cast("int").alias("cuts")))
     cut = rows.join(large, keys, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("cuts")), F.lit(0)).cast("int"))
     cut = cut.withColumn("other", F.explode(F.expr("sequence(0, coalesce(cuts, 1) - 1)")))
     return cut.select("*", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).drop("cuts", "other")
 
 
+#: A class with more than this share of all rows is joined by broadcast: there are fewer such classes than its inverse.
+HOT_SHARE = 1e-4
+
+
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of their class, each row having one; classes are unique by keys and carry their weight in rows.
+
+    The largest classes, at most 1 / HOT_SHARE, are broadcast and their rows not moved; the others' keys are small.
+    """
+    total = classes.agg(F.sum("weight")).first()[0] or 0
+    hot = F.broadcast(classes.where(F.col("weight") > max(2, total * HOT_SHARE)))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(classes, keys))
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
     """(key, rows) of each group of a stream sorted by the keys."""
     held, key = [], None

@@ -21,9 +21,10 @@ elected where documents can meet at all:
 5. Links of representatives, each weighted by the size of the other's class, give n_links; those that span give
    components; classes give every document its component.
 
-Cases: null, empty and blank texts have no shingles and link with nothing; with fewer than five words the whole
-sequence is one shingle; repeated rows are one class, returned row by row; an empty table gives an empty result; other
-columns are ignored.
+Cases: null, empty and blank texts have no shingles and link with nothing, nor do rows without a doc_id; with fewer than five words the whole
+sequence is one shingle; a text of any length is one set, and tasks are bounded by rows and bytes, one set at least;
+similarity of exactly the threshold links; repeated rows are one class, returned row by row; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,15 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, WordHashes, arrow_map, attached, blocked, connected_components, gram_hashes, groups, in_batches, meetings, mix64, packed_keys, parts_for, pick, raw
+from .common import Kept, WordHashes, arrow_map, attached, blocked, connected_components, cuts_of, gram_hashes, groups, in_batches, let_go, meetings, mix64, packed_keys, parts_for, pick, raw, with_class
 
 GRAM, PERCENT = 5, 80
 #: Cells of a sketch: at least these, and about one for each four to eight shingles up to 2 ** MOST_BITS.
 LEAST_BITS, MOST_BITS = 6, 14
 #: Most shingles in the table of frequent ones; it orders shingles and never decides a link.
 FREQUENT = 200_000
-#: Rows of a region task before it is cut: with sketches, and with whole sets.
-SKETCH_CAP, SET_CAP = 16_000, 3_000
+#: Rows of a region task before it is cut, with sketches and with whole sets, and bytes of either.
+SKETCH_CAP, SET_CAP, TASK_BYTES = 16_000, 3_000, 24 << 20
 LEAF, PIVOTS = 64, 8
 
 
@@ -279,6 +280,7 @@ def _regions(percent: int):
                     yield from ((a, None, n) for a, n in zip(doc[some].tolist(), region.links[some].tolist()))
 
         yield from in_batches(rows(), schema, 20_000)
+        let_go()
 
     return run
 
@@ -311,13 +313,12 @@ def similar(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], counts[order]))  # at most FREQUENT rows
     every = facts.where("key is null").select("doc_id", "n", "sig_a", "sig_b", "sketch")
-    classes = every.where("n > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
-    heads = kept.keep("heads", every.where("n > 0").groupBy("sig_a", "sig_b", "n", "sketch").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("weight")).select("doc", "n", "sketch", "weight"))
+    heads = kept.keep("heads", every.where("n > 0 and doc_id is not null").groupBy("sig_a", "sig_b", "n", "sketch").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("weight")))
 
     def prefixes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for doc, text in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text"))):
-            found = shingles(hashes, text)
+            found = shingles(hashes, text) if doc is not None else ()
             if len(found):
                 keys.append(prefix(found, frequent.value, percent).view(np.int64))
                 owner.append(np.full(len(keys[-1]), doc, np.int64))
@@ -326,29 +327,30 @@ def similar(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col
     met = meetings(arrow_map(docs, prefixes, "key long, doc long, more binary", max_bytes=16 << 20), parts).where("doc <> first").select(F.col("first").alias("p"), "doc").distinct()
     met = kept.keep("met", met)
     # Documents with equal sets meet at the same shingles, so a region needs representatives only.
-    members = met.union(met.select("p", F.col("p").alias("doc")).distinct()).join(heads, "doc")
-    tasks = blocked(kept, "large_met", members, ["p"], "doc", caps[0]).repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j")
+    members = met.union(met.select("p", F.col("p").alias("doc")).distinct()).join(heads.select("doc", "n", "sketch"), "doc")
+    large = kept.keep("large_met", cuts_of(members, ["p"], caps[0], F.length("sketch"), TASK_BYTES))
+    tasks = blocked(large, members, ["p"], "doc").repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j")
     alive = kept.keep("alive", tasks.mapInArrow(_prune(percent), "p long, doc long").distinct())
     kept.drop("met")
     null = lambda kind: F.lit(None).cast(kind)
-    weighted = alive.join(heads.select("doc", "weight"), "doc")
+    weighted = alive.join(heads.select("doc", "weight", "n"), "doc")
     both = docs.select("doc_id", F.lit(1).alias("kind"), null("long").alias("p"), null("long").alias("weight"), "text").union(weighted.select(F.col("doc").alias("doc_id"), F.lit(0), "p", "weight", null("string")))
     sets = both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(_with_sets, "p long, doc long, weight long, body binary, before binary")
-    large = kept.keep("large", alive.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > caps[1]).select("p", F.ceil(F.col("n") / caps[1]).cast("int").alias("cuts")))
-    cut = sets.join(large, "p", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("cuts")), F.lit(0)).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.expr("sequence(0, coalesce(cuts, 1) - 1)"))).select("p", "doc", "weight", "part", "body", "before", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    large = kept.keep("large", cuts_of(weighted, ["p"], caps[1], 8 * F.col("n"), TASK_BYTES))
+    cut = blocked(large, sets, ["p"], "doc")
     found = kept.keep("found", cut.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "doc").mapInArrow(_regions(percent), "a long, b long, links long"))
     components = connected_components(spark, found.where("b is not null").select("a", "b"), kept)
     counts = found.where("links is not null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
-    return (
-        every.join(classes, ["sig_a", "sig_b"], "left")
-        .join(components.withColumnRenamed("id", "class_id"), "class_id", "left")
-        .join(counts, "class_id", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") > 0, F.col("class_id")), "doc_id").alias("component_id"), F.coalesce(F.when(F.col("n") > 0, F.col("class_id")), "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).alias("n_links"))
-    )
+    # Joined once a class, then to the documents.
+    per_class = heads.select("sig_a", "sig_b", F.col("doc").alias("class_id"), "weight").join(components.withColumnRenamed("id", "class_id"), "class_id", "left").join(counts, "class_id", "left")
+    per_class = kept.keep("classes", per_class.select("sig_a", "sig_b", "weight", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    kept.drop_all_but("facts", "classes")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "n_links"]
+    bare = every.where("n = 0 or doc_id is null").withColumns({"component_id": F.col("doc_id"), "class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
+    return with_class(every.where("n > 0 and doc_id is not null"), per_class, ["sig_a", "sig_b"]).select(*columns).union(bare.select(*columns))
 
 
 def one_of_each(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The rows of a table with doc_id and text whose document is the smallest of its component; rows of one doc_id stay or go together."""
-    stay = similar(spark, df).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return df.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+    stay = similar(spark, df).where("doc_id = component_id").select("doc_id").distinct()
+    return df.alias("d").join(stay.alias("s"), F.col("d.doc_id") == F.col("s.doc_id"), "left_semi")

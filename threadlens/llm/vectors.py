@@ -7,9 +7,10 @@ with the next slab's border replicated; slabs of many vectors are cut into parts
 verified in double precision, and a pair counts in the one block where it uses the least of its budget, so the union
 over blocks needs no pairs to be moved: tasks return counts and a spanning forest.
 
-Cases: null, zero and non-finite vectors, and vectors with null components, link with nothing; vectors of different
-lengths do not link; equal vectors are joined once and counted as often as they occur; equal ids are rows of their own
-in the result and one node in the links; an empty table gives an empty result; other columns are ignored.
+Cases: null, zero and non-finite vectors, and vectors with null components, link with nothing, nor do rows without an
+id; vectors of different lengths do not link; equal vectors (by a 128-bit hash) are joined once and counted as often as
+they occur; a cosine of exactly the threshold links; equal ids are rows of their own in the result and one node in the
+links; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, blocked, connected_components, groups, local_roots
+from .common import Kept, blocked, connected_components, cuts_of, groups, let_go, local_roots, parts_for, with_class
 
-THRESHOLD, BLOCK_DIMS, CAP, TILE = 0.9, 16, 12_000, 1024
+THRESHOLD, BLOCK_DIMS, TILE = 0.9, 16, 1024
+#: Rows and bytes of a slab's part; linking pairs that a task holds before it counts them.
+CAP, TASK_BYTES, PAIRS = 12_000, 64 << 20, 500_000
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -102,6 +106,28 @@ def _pairs(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, bl
                     yield p[mine], q[mine]
 
 
+class Links:
+    """Weighted links of each row, and what the links join, counted a bounded number of pairs at a time."""
+
+    def __init__(self, weight: np.ndarray):
+        self.weight, self.n, self.root = weight, np.zeros(len(weight)), np.arange(len(weight))
+        self.held, self.size = [], 0
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        self.held.append((p, q))
+        self.size += len(p)
+        if self.size >= PAIRS:
+            self.count()
+
+    def count(self) -> None:
+        if self.size:
+            p, q = (np.concatenate(z) for z in zip(*self.held))
+            rows = len(self.n)
+            self.n += np.bincount(p, weights=self.weight[q], minlength=rows) + np.bincount(q, weights=self.weight[p], minlength=rows)
+            self.root = local_roots(np.r_[p, np.arange(rows)], np.r_[q, self.root], rows)
+        self.held, self.size = [], 0
+
+
 def _join(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (dims, block, _, i, j), table in groups(batches, ("dims", "block", "slab", "i", "j")):
@@ -120,16 +146,18 @@ def _join(threshold: float):
             edge = [np.flatnonzero(border & (part == k)) for k in (i, j)]
             # Two vectors of the next slab are joined there, and two of one part in that part's own task.
             sides = [(home[0], home[0]), (home[0], edge[0])] if i == j else [(home[0], home[1]), (home[0], edge[1]), (edge[0], home[1])]
-            found = [pair for a, b in sides for pair in _pairs(x, y, a, b, block, blocks, threshold)]
-            if not found:
+            links = Links(weight)
+            for a, b in sides:
+                for p, q in _pairs(x, y, a, b, block, blocks, threshold):
+                    links.add(p, q)
+            links.count()
+            hit = np.flatnonzero(links.n)
+            if not len(hit):
                 continue
-            p, q = (np.concatenate(z) for z in zip(*found))
-            n = np.bincount(p, weights=weight[q], minlength=len(ids)) + np.bincount(q, weights=weight[p], minlength=len(ids))
-            rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-            by_rank = np.sort(ids, kind="stable")
-            root = by_rank[local_roots(rank[p], rank[q], len(ids))[rank]]
-            hit = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit].astype(np.int64)), pa.array(root[hit])], names=["vec_id", "n", "root"])
+            least = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(least, links.root, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links.n[hit].astype(np.int64)), pa.array(least[links.root[hit]])], names=["vec_id", "n", "root"])
+        let_go()
 
     return run
 
@@ -149,20 +177,28 @@ def near(spark: SparkSession, df: DataFrame, threshold: float = THRESHOLD, id_co
                 lists = [None if v is None else np.asarray(v, "<f8") + 0.0 for v in part.column("v").to_pylist()]  # -0 becomes 0
                 # Scaled first, so that the squares of very large or small numbers stay finite.
                 data = [None if v is None else (v / np.abs(v).max()).astype("<f8").tobytes() for v in lists]
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([None if v is None else len(v) for v in lists], pa.int64()), pa.array(data, pa.binary())], names=["vec_id", "dims", "body"])
-
-    whole = kept.keep("whole", rows.mapInArrow(bodies, "vec_id long, dims long, body binary"))
-    classes = whole.where("body is not null").groupBy("dims", "body").agg(F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("weight"))
-    heads = kept.keep("heads", classes.select(F.col("head").alias("vec_id"), "dims", "weight", "body"))
-    slabs = heads.mapInArrow(_place(threshold), "dims long, block long, slab long, border boolean, vec_id long, weight long, body binary")
-    keys = ["dims", "block", "slab"]
-    tasks = blocked(kept, "large", slabs, keys, "vec_id", cap)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64)
-    found = tasks.repartition(parts, *keys, "i", "j").sortWithinPartitions(*keys, "i", "j").mapInArrow(_join(threshold), "vec_id long, n long, root long")
+                sig = [None if d is None else xxhash.xxh3_128_intdigest(d) for d in data]
+                halves = [pa.array([None if s is None else f(s) - (1 << 63) for s in sig], pa.int64()) for f in (lambda s: s >> 64, lambda s: s & ((1 << 64) - 1))]
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([None if v is None else len(v) for v in lists], pa.int64()), *halves, pa.array(data, pa.binary())], names=["vec_id", "dims", "sig_a", "sig_b", "body"])
+
+    whole = kept.keep("whole", rows.mapInArrow(bodies, "vec_id long, dims long, sig_a long, sig_b long, body binary"))
+    sound = F.col("body").isNotNull() & F.col("vec_id").isNotNull()
+    keys = ["dims", "sig_a", "sig_b"]
+    classes = whole.where(sound).groupBy(*keys).agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), F.first("body").alias("body"))
+    heads = kept.keep("heads", classes)
+    kept.drop("rows")
+    slabs = heads.select("vec_id", "dims", "weight", "body").mapInArrow(_place(threshold), "dims long, block long, slab long, border boolean, vec_id long, weight long, body binary")
+    slab = ["dims", "block", "slab"]
+    tasks = blocked(kept.keep("large", cuts_of(slabs, slab, cap, F.length("body"), TASK_BYTES)), slabs, slab, "vec_id")
+    parts = max(parts_for(spark, heads), 64)
+    found = tasks.repartition(parts, *slab, "i", "j").sortWithinPartitions(*slab, "i", "j").mapInArrow(_join(threshold), "vec_id long, n long, root long")
     found = kept.keep("found", found)
     components = connected_components(spark, found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), kept)
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    per_class = heads.select("dims", "body", F.col("vec_id").alias("head"), "weight").join(counts.withColumnRenamed("vec_id", "head"), "head", "left").join(components.withColumnRenamed("id", "head"), "head", "left")
-    out = whole.join(per_class, ["dims", "body"], "left").select(
-        "vec_id", F.coalesce(F.col("n") + F.col("weight") - 1, F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "head", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    # Joined once a class, then to the vectors.
+    per_class = heads.select(*keys, F.col("vec_id").alias("head"), "weight").join(counts.withColumnRenamed("vec_id", "head"), "head", "left").join(components.withColumnRenamed("id", "head"), "head", "left")
+    per_class = kept.keep("classes", per_class.select(*keys, "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "head").alias("component_id")))
+    kept.drop_all_but("whole", "classes")
+    bare = whole.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = with_class(whole.where(sound).select("vec_id", *keys), per_class, keys).select("vec_id", "n_links", "component_id").union(bare)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
