@@ -5,9 +5,11 @@ multinomial source counts from what the targets leave over, and the j-th slot of
 its j div n-th epoch, perm being a keyed Feistel permutation of the source's n blocks. Slots and blocks are joined by
 (source, index). A block is taken at most once an epoch, so no document exceeds the cap.
 
-Cases: null text counts no words, a null source is a source of its own (last); empty and repeated rows and equal ids
-keep their own place in the stream; without words all targets are 0; an empty table gives an empty result. Sources are
-few (a table of them is held by the driver); documents are not.
+Cases: null text counts no words, a null source is a source of its own (last); a text of any length is many blocks, and
+a document's blocks are numbers until they are joined; empty and repeated rows and equal ids keep their own place in the
+stream, in the order of their sizes; without words all targets are 0; an empty table gives an empty result; other columns
+may have any name. Sources are few (a table of them is held by the driver); documents are not, and doc_id tells them
+apart: rows of one doc_id are ordered in one task.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Kept, arrow_map, attached_rows, in_batches, mix64, parts_for, raw
+from .common import Kept, arrow_map, attached_rows, in_batches, let_go, mix64, parts_for, raw
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 #: Words of a block; sources of under 64 such blocks get shorter ones. Slots of an output shard, and most shards.
 BLOCK, LEAST_BLOCKS, SHARD_SLOTS, MOST_SHARDS = 32, 64, 4096, 4096
+#: Slots that one row is expanded to at a time, and slots of a task that expands them.
+RUN, TASK_SLOTS = 4096, 500_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -136,8 +140,11 @@ def mix(spark: SparkSession, df: DataFrame, seed: int = 1) -> tuple[DataFrame, D
     inside = Window.partitionBy("k", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["k", "bucket"]).withColumn("at", F.col("base") + F.col("within"))
 
-    rows = spark.createDataFrame(deal(plans, seed), "shard int, k int, first long, n long").repartition("shard", "k")
-    slots = rows.join(F.broadcast(sources.select("k", "blocks")), "k").select("shard", "k", "blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("j"))
+    # Runs of slots are dealt out before they are expanded: the table they come from is tiny.
+    runs = spark.createDataFrame(deal(plans, seed), "shard int, k int, first long, n long").select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")).alias("run"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(p.slots for p in plans) // TASK_SLOTS)
+    runs = runs.select("shard", "k", "run", F.expr(f"first + run * {RUN}").alias("low"), F.expr(f"first + least(n, (run + 1) * {RUN}) - 1").alias("high")).repartition(tasks, "shard", "k", "run")
+    slots = runs.join(F.broadcast(sources.select("k", "blocks")), "k").select("shard", "k", "blocks", F.explode(F.expr("sequence(low, high)")).alias("j"))
     epoch = F.expr("j div blocks")
     slots = slots.select("shard", "k", "j", epoch.alias("epoch"), _permuted(F.expr("j % blocks"), F.col("blocks"), F.xxhash64("k", epoch, F.lit(seed))).alias("index"))
     times = slots.groupBy("k", "index").agg(F.count(F.lit(1)).alias("times"))
@@ -155,40 +162,44 @@ def mixed(spark: SparkSession, df: DataFrame, seed: int = 1) -> DataFrame:
     """The mix as rows of the table itself (doc_id, text, source and any other columns).
 
     A document gives a row for each epoch in which words of it are taken; the row's text is those words in order, and
-    n_chars, if there is such a column, its length. Rows of one doc_id take the places of their size one by one.
+    n_chars, if there is such a column of whole numbers, its length. Rows of one doc_id take the places of their size one by one.
     """
     spans = mix(spark, df, seed)[2]
-    side = ["k", "at", "size", "epoch", "low", "high"]
-    names = [f"_{c}" for c in side]
-    texts = df.select("*", F.lit(1).alias("kind"), *[F.lit(None).cast("long").alias(n) for n in names])
-    pieces = spans.select("doc_id", F.lit(0).alias("kind"), *[F.col(c).cast("long").alias(n) for c, n in zip(side, names)])
+    side = ("k", "at", "size", "epoch", "low", "high")
+    # The table's own columns travel in one, so that no name of theirs can clash.
+    whole = F.struct(*[df[f"`{c}`"] for c in df.columns])
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in side], whole.alias("row"))
+    pieces = spans.select("doc_id", F.lit(0).alias("kind"), *[F.col(c).cast("long").alias(c) for c in side], F.lit(None).cast(df.schema).alias("row"))
     parts = parts_for(spark, df)
-    rows = texts.unionByName(pieces, allowMissingColumns=True).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind")
+    rows = texts.union(pieces).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind")
     schema = to_arrow_schema(df.schema)
+    counted = {f.name for f in schema if f.name == "n_chars" and pa.types.is_integer(f.type)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             last, used = None, set()
-            for batch, t, found in attached_rows(batches, tuple(names)):
+            for batch, t, found in attached_rows(batches, side):
                 doc = batch.column("doc_id")[t].as_py()
                 if last != doc:
                     last, used = doc, set()
-                if not len(found["_k"]):
+                if not len(found["k"]):
                     continue
-                words = (batch.column("text")[t].as_py() or "").encode().split()
-                mine = found["_size"] == len(words)
-                free = sorted({*zip(found["_k"][mine].tolist(), found["_at"][mine].tolist())} - used)
+                row = batch.column("row")[t].as_py()
+                words = (row["text"] or "").encode().split()
+                mine = found["size"] == len(words)
+                free = sorted({*zip(found["k"][mine].tolist(), found["at"][mine].tolist())} - used)
                 if not free:
                     continue
                 used.add(free[0])
-                mine &= (found["_k"] == free[0][0]) & (found["_at"] == free[0][1])
-                for epoch in np.unique(found["_epoch"][mine]).tolist():
-                    now = np.flatnonzero(mine & (found["_epoch"] == epoch))
-                    now = now[np.argsort(found["_low"][now])]
-                    text = b" ".join([w for a, b in zip(found["_low"][now].tolist(), found["_high"][now].tolist()) for w in words[a:b]]).decode()
-                    new = {"text": text, "n_chars": len(text)}
-                    yield tuple(new[c] if c in new else batch.column(c)[t].as_py() for c in schema.names)
+                mine &= (found["k"] == free[0][0]) & (found["at"] == free[0][1])
+                for epoch in np.unique(found["epoch"][mine]).tolist():
+                    now = np.flatnonzero(mine & (found["epoch"] == epoch))
+                    now = now[np.argsort(found["low"][now])]
+                    text = b" ".join([w for a, b in zip(found["low"][now].tolist(), found["high"][now].tolist()) for w in words[a:b]]).decode()
+                    new = {"text": text} | dict.fromkeys(counted, len(text))
+                    yield tuple(new[c] if c in new else row[c] for c in schema.names)
 
         yield from in_batches(out(), schema)
+        let_go()
 
     return rows.mapInArrow(run, df.schema)
