@@ -5,12 +5,14 @@ suffixes always lie in one document, and prefix doubling re-sorts only suffixes
 suffixes' longest common prefixes delimit the maximal repeated substrings; their spans are united, and the covered
 fraction and the longest repeat are limited.
 
-Cases: null, empty or blank text has no words and fails (n_words < 20); ties and repeated rows are judged row by row;
-an empty table gives an empty result; other columns are ignored.
+Cases: null, empty or blank text has no words and fails (n_words < 20); a very long text is a slice of its own, whose words
+are numbered one by one and whose prefixes are measured in text order, so memory stays at a few numbers a word; ties and
+repeated rows are judged row by row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,41 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: The method's own limits: repeats of min_repeat words or more may cover so much, and none may be longer.
 MIN_REPEAT, MAX_COVERED_PERCENT, MAX_LONGEST, MAX_LONGEST_PERCENT = 6, 30, 64, 15
 
+#: Bytes of ranks kept for measuring prefixes by level; beyond them prefixes are measured in text order. Bytes of a text
+#: that is cut into words in one go.
+LEVEL_BYTES, LONG_TEXT = 64 << 20, 16 << 20
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
-def repeat_lengths(ids: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+
+def prefixes_in_order(ids: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Longest common prefix of each of the sorted suffixes pos with the one before it.
+
+    In text order a suffix shares with its neighbour at most one word less than the suffix before it did.
+    """
+    before = np.full(len(ids), -1, np.int64)
+    before[pos[1:]] = pos[:-1]
+    ends = np.searchsorted(doc, doc, side="right")
+    length, shared = np.zeros(len(ids), np.int64), 0
+    for i in np.sort(pos).tolist():
+        j = int(before[i])
+        # The neighbour of a suffix that is not among these shares too little to build on.
+        shared = max(0, shared - 1) if i and before[i - 1] >= 0 else 0
+        if j < 0 or doc[i] != doc[j]:
+            shared = 0
+            continue
+        room, step = int(min(ends[i] - i, ends[j] - j)), 16
+        while shared < room:
+            n = min(step, room - shared)
+            same = ids[i + shared : i + shared + n] == ids[j + shared : j + shared + n]
+            if not same.all():
+                shared += int(same.argmin())
+                break
+            shared, step = shared + n, 2 * step
+        length[i] = shared
+    return length[pos[1:]]
+
+
+def repeat_lengths(ids: np.ndarray, doc: np.ndarray, least: int, level_bytes: int = LEVEL_BYTES) -> np.ndarray:
     """For each position, the longest prefix of its suffix that also starts elsewhere in the document.
 
     Lengths under ``least`` come back as 0. ids and doc are equally long; doc is non-decreasing.
@@ -45,7 +80,8 @@ def repeat_lengths(ids: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
     first = np.flatnonzero(start)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(first, np.diff(np.r_[first, n]))
-    levels, h = [rank.copy()], 1
+    small = np.int32 if n < 1 << 31 else np.int64
+    levels, h = [rank.astype(small)], 1
     sizes = np.diff(np.r_[first, n])
     active = order[np.repeat(sizes, sizes) > 1]
     # All that repeat over the largest power of two within `least` words; only their prefixes are measured.
@@ -67,7 +103,7 @@ def repeat_lengths(ids: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
         sub = np.maximum.accumulate(np.where(new, index, 0))
         rank[a] = r + (sub - group)
         h *= 2
-        levels.append(rank.copy())
+        levels = [*levels, rank.astype(small)] if levels and (len(levels) + 1) * levels[0].nbytes <= level_bytes else []
         sizes = np.diff(np.r_[at, len(a)])
         active = a[np.repeat(sizes, sizes) > 1]
         if watched is None and (h * 2 > least or not len(active)):
@@ -76,10 +112,9 @@ def repeat_lengths(ids: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
         return out
     pos = watched[np.argsort(rank[watched], kind="stable")]
     i, j = pos[:-1].copy(), pos[1:].copy()
-    lcp = np.zeros(len(i), np.int64)
-    live = np.ones(len(i), bool)
+    lcp = np.zeros(len(i), np.int64) if levels else prefixes_in_order(ids, doc, pos)
     for level in range(len(levels) - 1, -1, -1):
-        ok = live & (i < n) & (j < n)
+        ok = (i < n) & (j < n)
         same = np.zeros(len(i), bool)
         same[ok] = levels[level][i[ok]] == levels[level][j[ok]]
         step = 1 << level
@@ -120,10 +155,14 @@ def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
     known = number.setdefault
     counts, letters, ids = [], [], []
     for text in texts:
-        words = text.split()
-        counts.append(len(words))
-        letters.append(sum(map(len, words)))
-        ids.append(np.fromiter((known(w, len(number)) for w in words), np.int64, len(words)))
+        if len(text) > LONG_TEXT:  # no list of all its words
+            ids.append(np.fromiter((known(m[0], len(number)) for m in _WORD.finditer(text)), np.int64))
+            letters.append(len(text.translate(None, b"\x20\x09\x0a\x0b\x0c\x0d")))
+        else:
+            words = text.split()
+            letters.append(sum(map(len, words)))
+            ids.append(np.fromiter((known(w, len(number)) for w in words), np.int64, len(words)))
+        counts.append(len(ids[-1]))
     n_words = np.array(counts, np.int64)
     docs = len(texts)
     doc = np.repeat(np.arange(docs), n_words)
