@@ -11,7 +11,7 @@
 5. Each document drops the reported words.
 
 Cases: null text has no words; documents of under 13 words stay as they are; a document's own repeats and repeated rows
-of one doc_id do not count as earlier copies; texts of any length are streamed; an empty table gives an empty result;
+of one doc_id do not count as earlier copies, nor do rows without a doc_id; texts of any length are cut into excerpts; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import Kept, WordHashes, arrow_map, attached, gram_hashes, in_batches, meetings, packed_keys, parts_for, pick, raw
 
 WINDOW, GRAM = 13, 5
-#: Words of excerpts that one automaton's task holds; larger groups are sliced.
-SLICE_WORDS = 200_000
+#: Words of excerpts that one automaton's task holds; larger groups are sliced. Windows of an excerpt, which is cut beyond.
+SLICE_WORDS, EXCERPT = 200_000, 20_000
 
 
 def anchor_positions(grams: np.ndarray) -> np.ndarray:
@@ -46,7 +46,7 @@ def _anchors(hashes: WordHashes, batch: pa.RecordBatch) -> pa.RecordBatch:
     keys, docs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for doc, text in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text"))):
         grams = gram_hashes(hashes.of(text.split()), GRAM)
-        at = anchor_positions(grams)
+        at = anchor_positions(grams) if doc is not None else ()
         if len(at):
             found = np.unique(grams[at]).view(np.int64)
             keys.append(found)
@@ -89,7 +89,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit = known[i] == mine
                 src = np.where(hit, first[i], -1)
                 edge = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1]) | (src[1:] != src[:-1])]) if len(hit) else []
-                runs = [(a, b, int(src[a])) for a, b in zip(edge, [*edge[1:], len(hit)]) if hit[a]]
+                runs = [(c, min(b, c + EXCERPT), int(src[a])) for a, b in zip(edge, [*edge[1:], len(hit)]) if hit[a] for c in range(a, b, EXCERPT)]
             uid = _signed(text)
             for a, b, s in runs:
                 part = words[a : b + WINDOW - 1]
@@ -176,7 +176,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-_WINDOWS = pa.schema([("src", pa.int64()), ("bucket", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("body", pa.binary())])
+_WINDOWS = pa.schema([("src", pa.int64()), ("bucket", pa.int64()), ("slice", pa.int32()), ("hash", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("body", pa.binary())])
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     else:
                         seen[0], seen[1] = min(seen[0], r["doc_id"]), max(seen[1], r["doc_id"])
             for h, (a, b, words) in found.items():
-                yield group[0]["src"], group[0]["bucket"], h, a, b, b" ".join(words)
+                yield group[0]["src"], group[0]["bucket"], group[0]["slice"], h, a, b, b" ".join(words)
 
     return in_batches(rows(), _WINDOWS, 20_000)
 
@@ -267,9 +267,10 @@ def dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
     large = kept.keep("large", sized(pieces, "src", "bucket").select("src", "bucket", F.ceil(F.col("n") / slice_words).cast("int").alias("slices")))
     dealt = small.union(pieces).join(large, ["src", "bucket"], "left").select("src", "bucket", F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), F.col("slices")), F.lit(0)).cast("int").alias("slice"),
         F.col("slices").isNotNull().alias("sliced"), F.lit(1).alias("kind"), "doc_id", "uid", "start", null("long").alias("first"), "body")
-    windows = dealt.where("sliced").repartition(parts, "src", "bucket", "slice").sortWithinPartitions("src", "bucket", "slice").mapInArrow(_windows, "src long, bucket long, hash long, first long, last long, body binary")
-    agreed = windows.groupBy("src", "bucket", "hash").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("body").alias("body")).where("first <> last")
-    copies = agreed.join(large, ["src", "bucket"]).select("src", "bucket", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), F.lit(True), F.lit(0), null("long"), null("long"), null("long"), "first", "body")
+    windows = dealt.where("sliced").repartition(parts, "src", "bucket", "slice").sortWithinPartitions("src", "bucket", "slice").mapInArrow(_windows, "src long, bucket long, slice int, hash long, first long, last long, body binary")
+    # A window is agreed on across slices, and goes back to those that hold it.
+    agreed = windows.groupBy("src", "bucket", "hash").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("body").alias("body"), F.collect_list("slice").alias("held")).where("first <> last")
+    copies = agreed.select("src", "bucket", F.explode("held").alias("slice"), F.lit(True), F.lit(0), null("long"), null("long"), null("long"), "first", "body")
     spans = dealt.union(copies).repartition(parts, "src", "bucket", "slice").sortWithinPartitions("src", "bucket", "slice", "kind").mapInArrow(_locate, "doc_id long, uid long, start long, end long")
     waiting = split.where("what = 'wait'").select("doc_id", F.lit(1).alias("kind"), null("long").alias("uid"), null("long").alias("start"), null("long").alias("end"), F.col("body").cast("string").alias("text"))
     rows = waiting.union(spans.select("doc_id", F.lit(0), "uid", "start", "end", null("string")))
