@@ -7,7 +7,8 @@ that restart at each segment, and for each segment its document and offset in th
 
 A shard is a bounded run of tokens within an input partition, so memory is bounded and nothing is shuffled; a
 recomputed partition gives the same rows. Cases: null and empty texts have no tokens and take no place; texts of any
-length are split; repeated rows are packed as often as they occur; an empty table gives no rows; other columns are
+length are split; pieces of equal length are placed in the order of the shard; repeated rows are packed as often as they
+occur; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -103,7 +104,10 @@ def pack(df: DataFrame, tokenizer: Callable[[], Callable[[str], np.ndarray]], li
         encode, docs, n, made = tokenizer(), [], 0, TaskContext.get().partitionId() << 36
         for part in slices(batches, max_bytes=1 << 20):
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = encode(text or "").astype(dtype, copy=False)
+                ids = encode(text or "")
+                if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
+                    raise ValueError(f"token id {int(ids.max())} does not fit {dtype}: pack with wide=True")
+                ids = ids.astype(dtype, copy=False)
                 if len(ids):
                     docs.append((doc, ids))
                     n += len(ids)

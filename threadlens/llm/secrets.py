@@ -6,8 +6,9 @@ that the queries use: postings are found in one vectorised pass over the block's
 query, and only candidate documents are verified with the pattern. Rules whose pattern yields no mandatory trigram
 scan every document.
 
-Cases: null text is empty; very long texts are one block; ties and repeated rows are scanned row by row; an empty
-table gives an empty result; other columns are ignored. Offsets are code points, ends exclusive.
+Cases: null text is empty; very long texts are one block; rules that match at one place are listed in their order;
+repeated rows are scanned row by row; an empty table gives an empty result; other columns are ignored. Offsets are code
+points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -218,14 +219,14 @@ def masked(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]
 
 
 def mask(df: DataFrame, rules: tuple[Rule, ...] = RULES, length_col: str = "n_chars") -> DataFrame:
-    """All rows and columns of a table with doc_id and text, secrets masked and the length column, if any, brought up to date."""
+    """All rows and columns of a table with doc_id and text, secrets masked and the length column, if there is one of whole numbers, brought up to date."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").to_pylist()
         found = scan_block([(t or "").encode() for t in texts], rules)
         new = [masked(t, spans, rules) if spans else t for t, spans in zip(texts, found)]
         columns = {"text": pa.array(new, pa.string())}
-        if length_col in batch.schema.names:
+        if length_col in batch.schema.names and pa.types.is_integer(batch.schema.field(length_col).type):
             columns[length_col] = pa.array([len(n) if spans else old for n, spans, old in zip(new, found, batch.column(length_col).to_pylist())], batch.schema.field(length_col).type)
         yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
 

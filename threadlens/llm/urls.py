@@ -7,9 +7,10 @@ the highest order only, so it is worked out once a gram, order by order, and eac
 ratios of its distinct grams. A URL's score is the mean ratio of its characters; the threshold is calibrated on a
 held-out fold of the labelled URLs, over all of its rows; if no fold can be held out, on all of them.
 
-Cases: a null URL or one without "://" has an empty host and path, fits no rule and is scored by its text (an empty
-one scores 0); repeated rows are judged alike; without labelled rows of both kinds the method allows; an empty table
-gives an empty result; other columns are ignored.
+Cases: a URL of any length is counted and scored whole; a score of exactly the threshold is allowed; a null URL or one
+without "://" has an empty host and path, fits no rule and is scored by its text (an empty one scores 0); repeated rows
+are judged alike; without labelled rows of both kinds the method allows; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
