@@ -102,7 +102,9 @@ def test_chunks_any_overlap(spark):
 
 def test_branches(spark):
     cases = {"git worktree add ../p feat/x": ["feat/x"], "git checkout -b one && git switch -c two": ["one", "two"], "git push -u origin b3; git checkout 0123abc": ["b3"], "git checkout origin/x": [], "git checkout a/b.txt": [],
-             "git switch main": [], "gh pr checkout 42": ["42"], "git checkout ../x": []}
+             "git switch main": [], "gh pr checkout 42": ["42"], "git checkout ../x": [],
+             "git worktree add -b new ../p": ["new"], "git worktree add ../p; x -b no": ["x"], "(git  checkout a.b/c; ls)": ["a.b/c"], "git\nswitch -c d-": ["d"], "git checkout -- file": [], "legit checkout x": [],
+             "git worktree add --track ../p y && git push --set-upstream origin y": ["y"], "git checkout \"q\"": [], "": [], "git checkout": []}
     df = spark.createDataFrame([(c,) for c in cases], "c string").select("c", F.array_distinct(projection.branches_in(F.col("c"))).alias("b"))
     assert {r.c: sorted(r.b) for r in df.collect()} == {c: sorted(b) for c, b in cases.items()}
 
@@ -230,6 +232,11 @@ def test_ranges():
     assert ranges.parse_range("since 2024-03-05", now) == (day(5), now, False)
     assert ranges.parse_range("last week", now)[0] == now - timedelta(days=7)
     assert ranges.parse_duration("3d") == timedelta(days=3) and ranges.parse_duration("x") is None
+    sunday = {"monday": 11, "sun": 10, "last sunday": 3, "next sunday": 17, "last fri": 8, "next tue": 12, "mar 5": 5, "5 march 2024": 5, "2 weeks ago": None, "last month": None}
+    for words, d in sunday.items():
+        assert ranges.parse_moment(words, now) == (day(d) if d else now - timedelta(days=14 if "weeks" in words else 29)), words
+    assert ranges.parse_moment("1 year ago", now) == now.replace(year=2023) and ranges.parse_moment("next week", now) == now + timedelta(days=7)
+    assert ranges.parse_moment("2 months ago", now) == now.replace(month=1) and ranges.parse_moment("dec 31 2023", now) == datetime(2023, 12, 31, tzinfo=timezone.utc)
     with pytest.raises(ValueError):
         ranges.parse_range("someday", now)
 
@@ -268,6 +275,27 @@ def test_bm25_against_fts5(spark):
     assert search.bm25(chunks, "?!").count() == 0
 
 
+def test_tokens_are_cut_once(spark):
+    chunks = spark.createDataFrame([(1, "a b a b")], "chunk_id int, text string")
+    counts = search.phrase_counts(chunks, [["a"], ["a", "b"], ["b", "a"], ["c"], ["a", "c"]])
+    assert tuple(counts.first())[1:] == (4, 2, 2, 1, 0, 0)
+    plan = counts.where("f0 > 0 or f1 > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_snippets_against_fts5():
+    rnd = random.Random(5)
+    words = ["foo", "bar", "foo-bar", "kuzu", "x_y", "rare", "plain.", "so:", "one", "two", "three", "end.)", "four"]
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table f using fts5(t)")
+    texts = [" ".join(rnd.choice(words if rnd.random() < 0.4 else words[6:]) for _ in range(rnd.randrange(1, 90))) + rnd.choice(["", ".", "\n"]) for _ in range(300)]
+    db.executemany("insert into f(rowid, t) values (?, ?)", enumerate(texts))
+    for query in ("kuzu rare", '"foo-bar" foo', "bar x_y kuzu"):
+        want = dict(db.execute("select rowid, snippet(f, 0, '«', '»', '…', 12) from f where f match ?", (search.match_expression(query),)))
+        assert len(want) > 50
+        assert {i: search.snippet(texts[i], query) for i in want} == want
+
+
 def test_snippet_marks(spark):
     text = " ".join(f"w{i}" for i in range(30)) + " needle " + " ".join(f"v{i}" for i in range(30))
     got = search.snippet(text, "needle")

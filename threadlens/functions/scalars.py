@@ -75,10 +75,9 @@ def short_cwd(cwd: Column) -> Column:
 
 
 def normal_remote(url: Column) -> Column:
-    """Remotes of one repository, however written, become equal."""
-    u = F.regexp_replace(F.lower(F.trim(url)), r"\.git$", "")
-    u = F.regexp_replace(u, r"git@|ssh://|https://|http://|git://", "")
-    return F.regexp_replace(F.replace(u, F.lit(":"), F.lit("/")), "/+$", "")
+    """Remotes of one repository, however written, become equal: host and path, without scheme, user and ending."""
+    place = F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z]+://)?(?:git@)?(.*?)/*(?:\.git)?$", 1)
+    return F.translate(place, ":", "/")
 
 
 def project_dir(cwd: Column) -> Column:

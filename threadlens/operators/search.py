@@ -1,13 +1,16 @@
 """Hybrid retrieval: BM25 over phrases, nearest vectors, reciprocal-rank fusion, rerank, per-session dedup.
 
-Texts are read once for matching; ranks carry ids and scores only, and texts are joined to the few candidates at the
+Texts are read and cut into tokens once for matching, into a narrow table of counts; ranks carry ids and scores only, and texts are joined to the few candidates at the
 end. A postings table, clustered by term, serves many queries over one corpus without reading it again.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.models import Embedder, Reranker, rerank_column
 from ..functions.scalars import duration_label
+from ..sources.state import written
 
 K1, B, IDF_FLOOR, RRF = 1.2, 0.75, 1e-6, 60
 #: Words that a query leaves out.
@@ -50,11 +54,21 @@ def tokens(text: Column) -> Column:
 
 
 def phrase_count(toks: Column, phrase: list[str]) -> Column:
-    """Occurrences of a phrase in an array of tokens."""
+    """Occurrences of a phrase in an array of tokens, which should be a column that is already there."""
+    alone = F.size(toks) - F.size(F.array_remove(toks, phrase[0]))
     if len(phrase) == 1:
-        return F.size(F.filter(toks, lambda t: t == phrase[0]))
-    from_each = F.filter(F.sequence(F.lit(1), F.greatest(F.size(toks) - len(phrase) + 1, F.lit(1))), lambda i: F.slice(toks, i, len(phrase)) == F.array(*map(F.lit, phrase)))
-    return F.when(F.size(toks) >= len(phrase), F.size(from_each)).otherwise(0)
+        return alone
+    here = lambda i: reduce(and_, [F.get(toks, i + k) == p for k, p in enumerate(phrase)])
+    return F.when(alone > 0, F.size(F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.coalesce(here(i), F.lit(False))))).otherwise(0)
+
+
+def phrase_counts(chunks: DataFrame, terms: list[list[str]], id_col: str = "chunk_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, kept columns, len, f0, f1, ...): tokens of each text and occurrences of each phrase, in one pass.
+
+    The tokens come out of a generator, which the optimizer neither copies into the counts nor pushes filters through.
+    """
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), *keep, F.explode(F.array(tokens(F.col(text_col)))).alias("t"))
+    return rows.select("chunk_id", *keep, F.size("t").alias("len"), *[phrase_count(F.col("t"), p).alias(f"f{i}") for i, p in enumerate(terms)])
 
 
 def _score(f: Column, n: Column, docs: Column, length: Column, average: Column) -> Column:
@@ -64,12 +78,14 @@ def _score(f: Column, n: Column, docs: Column, length: Column, average: Column)
 
 
 def bm25(chunks: DataFrame, query: str, id_col: str = "chunk_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(chunk_id, kept columns, bm25) of every chunk that holds a phrase; smaller is better. Statistics are over all chunks."""
+    """(chunk_id, kept columns, bm25) of every chunk that holds a phrase; smaller is better. Statistics are over all chunks.
+
+    The counts, a few numbers a chunk, are written to the shared folder, for both the statistics and the scores need them.
+    """
     terms = phrases(query)
     if not terms:
         return chunks.select(F.col(id_col).alias("chunk_id"), *keep, F.lit(0.0).alias("bm25")).where(F.lit(False))
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), *keep, tokens(F.col(text_col)).alias("t"))
-    counted = rows.select("chunk_id", *keep, F.size("t").alias("len"), *[phrase_count(F.col("t"), p).alias(f"f{i}") for i, p in enumerate(terms)])
+    counted = written(phrase_counts(chunks, terms, id_col, text_col, keep), "bm25")
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("average"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
     hit = counted.where(" or ".join(f"f{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # stats is one row
     score = sum((_score(F.col(f"f{i}"), F.col(f"n{i}"), F.col("docs"), F.col("len"), F.col("average")) for i in range(len(terms))), F.lit(0.0))
@@ -100,15 +116,9 @@ def bm25_postings(postings: DataFrame, lengths: DataFrame, query: str) -> DataFr
     rows = postings.where(F.col("term").isin(wanted)).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
     none = F.array().cast("array<int>")
 
-    def every(tests: list[Column]) -> Column:
-        out = F.lit(True)
-        for t in tests:
-            out = out & t
-        return out
-
     def count(phrase: list[str]) -> Column:
         at = [F.coalesce(F.try_element_at("m", F.lit(t)), none) for t in phrase]
-        return F.size(F.filter(at[0], lambda i: every([F.array_contains(a, i + k) for k, a in enumerate(at[1:], 1)])))
+        return F.size(F.filter(at[0], lambda i: reduce(and_, [F.array_contains(a, i + k) for k, a in enumerate(at[1:], 1)], F.lit(True))))
 
     counted = rows.select("chunk_id", *[count(p).alias(f"f{i}") for i, p in enumerate(terms)]).where(" or ".join(f"f{i} > 0" for i in range(len(terms))))
     totals = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("average"))
@@ -199,34 +209,50 @@ def enrich(hits: DataFrame, sessions: DataFrame, chunks: DataFrame) -> DataFrame
 
 
 def snippet(text: str, query: str, size: int = 12, marks: tuple[str, str] = ("«", "»"), gap: str = "…") -> str:
-    """The window of `size` tokens with most distinct phrases, preferring sentence starts and early hits, with the hits marked."""
+    """The window of `size` tokens that the full-text index would show, with the phrases in it marked.
+
+    A window is tried from each phrase, centred over the phrases that start in it, and from the start of its sentence; the
+    first occurrence of a phrase in a window is worth 1000, a further one 1, the start of a sentence 100, of the text 120.
+    The first of the best windows is shown.
+    """
     found = [(m.start(), m.end(), fold(m[0])) for m in re.finditer(r"[^\W_]+", text)]
-    hits = []
+    words, hits = [f[2] for f in found], []
     for k, p in enumerate(phrases(query)):
-        hits += [(i, i + len(p), k) for i in range(len(found) - len(p) + 1) if [f[2] for f in found[i : i + len(p)]] == p]
+        hits += [(i, k, len(p)) for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
     hits.sort()
-    starts = {0} | {i for i in range(1, len(found)) if re.search(r"[.:]\s*$", text[found[i - 1][1] : found[i][0]])}
+    if not hits:
+        return text if len(found) <= size else text[: found[size - 1][1]] + gap
+    starts = [i for i in range(len(found)) if i == 0 or re.search(r"[.:][ \t\r\n]+\Z", text[found[i - 1][1] : found[i][0]])]
+
+    def inside(a: int) -> list[tuple[int, int, int]]:
+        return [h for h in hits if a <= h[0] < a + size]
 
-    def score(a: int) -> int:
-        inside = [h for h in hits if a <= h[0] and h[1] <= a + size]
-        return 1000 * len({h[2] for h in inside}) + len(inside) + (120 if a == 0 else 100 if a in starts else 0)
+    def worth(some: list[tuple[int, int, int]]) -> int:
+        return 999 * len({k for _, k, _ in some}) + len(some)
 
-    options = {0}
+    best, a = 0, 0
     for i, _, _ in hits:
-        ends = max((h[1] for h in hits if i <= h[0] and h[1] <= i + size), default=i + 1)
-        options |= {max(0, i - (size - (ends - i)) // 2), max((s for s in starts if s <= i < s + size), default=i)}
-    a = max(sorted(options), key=score, default=0)
-    a = min(a, max(0, len(found) - size))
+        some = inside(i)
+        if (value := worth(some)) > best:
+            spread = some[-1][0] + some[-1][2] - some[0][0]
+            best, a = value, max(0, min(some[0][0] - int((size - spread) / 2), len(found) - size))
+        sentence = starts[bisect_right(starts, i) - 1]
+        if len(found) > size and sentence < i and (value := worth(inside(sentence)) + (100 if sentence else 120)) > best:
+            best, a = value, sentence
     b = min(len(found), a + size)
-    if not found:
-        return text
-    left, right = (0 if a == 0 else found[a][0]), (len(text) if b == len(found) else found[b - 1][1])
-    out, at = [gap] if a else [], left
-    for i, j, _ in hits:
-        if a <= i and j <= b and found[i][0] >= at:
-            out += [text[at : found[i][0]], marks[0], text[found[i][0] : found[j - 1][1]], marks[1]]
-            at = found[j - 1][1]
-    return "".join([*out, text[at:right], gap if b < len(found) else ""])
+    spans: list[list[int]] = []  # of phrases that start in the window, overlapping ones united
+    for i, _, n in hits:
+        if spans and i < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], i + n)
+        else:
+            spans.append([i, i + n])
+    out, at = [gap] if a else [], found[a][0] if a else 0
+    for i, j in spans:
+        if a <= i < b:
+            first, last = found[i][0], found[min(j, b) - 1][1]
+            out += [text[at:first], marks[0], text[first:last], marks[1]]
+            at = last
+    return "".join([*out, text[at:] if b == len(found) else text[at : found[b - 1][1]] + gap])
 
 
 def snippet_column(query: str):

@@ -369,7 +369,7 @@ select session_id, row_number() over (partition by session_id order by seq) - 1
 select substr(cwd, 4) as project, count(*) as sessions, sum(turn_count)::bigint as turns, min(started_at) as first_at, max(last_active_at) as last_at from hit group by cwd""",
     "session_list": f"""with recursive {_SESSIONS_CHUNKS}, counts as (select session_id, count(*) as c from v_chunks group by session_id),
 rows as (select *, last_active_at - started_at as s, coalesce(c, 0) as chunk_count from v_sessions left join counts on session_id = id), labelled as (select *, {_LABEL} as duration from rows)
-select id, chunk_count, duration, turn_count || 't' || case when duration <> '' then ' · ' || duration else '' end || case when cost_usd >= 10 then ' · $' || cast(round_even(cost_usd, 0) as bigint) when cost_usd > 0.005 then ' · $' || printf('%.2f', cost_usd) else '' end as blurb,
+select id, chunk_count, duration, turn_count || 't' || case when duration <> '' then ' · ' || duration else '' end || case when cost_usd >= 10 then ' · $' || cast(round(cost_usd) as bigint) when cost_usd > 0.005 then ' · $' || printf('%.2f', cost_usd) else '' end as blurb,
   case status when 'completed' then '✓' when 'archived' then '·' else ' ' end as icon,
   coalesce(summary_title, summary_short, case when length(first_user_text) > 90 then replace(substr(first_user_text, 1, 90), chr(10), ' ') || '…' else replace(first_user_text, chr(10), ' ') end, '(no prompt)') as title, cwd as short_cwd from labelled""",
     "session_detail": f"with {views.SESSIONS} select first_user_text, last_user_text, array_to_string(derived_branches, ',') as branches from v_sessions where id = '12'",

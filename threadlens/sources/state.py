@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return given
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows through a table of their own in the shared folder, so that several uses compute them once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_marker(path: str) -> datetime | None:
     """When the last report ran; None if it never did or the file cannot be read."""
     try:
