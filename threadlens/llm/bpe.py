@@ -5,8 +5,8 @@ scanning, its boundary is deleted, and only the two neighbouring ranks are looke
 the length, so a piece of more than LONG symbols (text without spaces) keeps its ranks in a heap over linked parts
 instead; the merges are the same.
 
-The vocabulary file's path is a parameter. A task remembers words while they fit in a fixed number of bytes and lets them
-go when it ends. Cases: null text is empty and gives no tokens; texts of any length are split at white space, and a long
+The vocabulary file's path is a parameter. A task remembers a bounded number of words and lets them go when it
+ends. Cases: null text is empty and gives no tokens; texts of any length are split at white space, and a long
 unbroken word costs n log n; of equal ranks the leftmost pair merges first; repeated rows give repeated results; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -28,54 +28,54 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, pick
 
-NO_RANK, LONG = 1 << 60, 256
+#: Bits of a symbol's number; symbols of a piece that is scanned.
+BITS, LONG = 24, 256
+MASK, NO_RANK = (1 << BITS) - 1, 1 << 60
 #: White space as the vocabulary's pattern has it. str.split() also cuts at U+001C to U+001F, which are not in it.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-def merge_parts(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merge adjacent symbols by least rank, leftmost first, until no pair has a rank."""
-    if len(symbols) < 2:
-        return symbols
-    if len(symbols) > LONG:
-        return merge_long(symbols, ranks)
-    parts = list(symbols)
-    get = ranks.get
-    pair_rank = [get(p, NO_RANK) for p in zip(parts, parts[1:])]
-    while pair_rank:
-        low = min(pair_rank)
+def merge_parts(parts: list[int], merges: dict[int, int]) -> list[int]:
+    """Merge adjacent parts by least rank, leftmost first, until no pair has a rank.
+
+    Parts are numbers of symbols; merges has rank << BITS | merged part by left part << BITS | right part.
+    """
+    if len(parts) > LONG:
+        return merge_long(parts, merges)
+    get = merges.get
+    ranks = [get(a << BITS | b, NO_RANK) for a, b in zip(parts, parts[1:])]
+    while ranks:
+        low = min(ranks)
         if low == NO_RANK:
             break
-        i = pair_rank.index(low)
-        parts[i] += parts[i + 1]
-        del parts[i + 1], pair_rank[i]
-        if i < len(pair_rank):
-            pair_rank[i] = get((parts[i], parts[i + 1]), NO_RANK)
+        i = ranks.index(low)
+        parts[i] = new = low & MASK
+        del parts[i + 1], ranks[i]
+        if i < len(ranks):
+            ranks[i] = get(new << BITS | parts[i + 1], NO_RANK)
         if i:
-            pair_rank[i - 1] = get((parts[i - 1], parts[i]), NO_RANK)
+            ranks[i - 1] = get(parts[i - 1] << BITS | new, NO_RANK)
     return parts
 
 
-def merge_long(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+def merge_long(parts: list[int], merges: dict[int, int]) -> list[int]:
     """The same merges for a long piece: a heap of (rank, place) over linked parts; entries that no longer hold are passed over."""
-    n, get = len(symbols), ranks.get
-    parts: list[str | None] = list(symbols)
+    n, get, gone = len(parts), merges.get, -1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := get(p)) is not None]
+    heap = [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := get(a << BITS | b)) is not None]
     heapify(heap)
     while heap:
         r, i = heappop(heap)
-        if parts[i] is None or (j := after[i]) == n or get((parts[i], parts[j])) != r:
+        if parts[i] == gone or (j := after[i]) == n or get(parts[i] << BITS | parts[j]) != r:
             continue
-        parts[i] += parts[j]
-        parts[j], after[i] = None, after[j]
+        parts[i], parts[j], after[i] = r & MASK, gone, after[j]
         if after[i] < n:
             before[after[i]] = i
         for a in (before[i], i):
-            if a >= 0 and (b := after[a]) < n and (new := get((parts[a], parts[b]))) is not None:
+            if a >= 0 and (b := after[a]) < n and (new := get(parts[a] << BITS | parts[b])) is not None:
                 heappush(heap, (new, a))
-    return [p for p in parts if p is not None]
+    return [p for p in parts if p != gone]
 
 
 def byte_letters() -> list[str]:
@@ -94,27 +94,36 @@ class WordBpe:
         model = spec["model"]
         self.vocab = model["vocab"]
         self.names = {i: s for s, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.ranks = {}
-        for i, pair in enumerate(model["merges"]):
-            self.ranks.setdefault(tuple(pair) if isinstance(pair, list) else tuple(pair.split(" ")), i)
+        # Symbols by number: the vocabulary's ids, and what only merges name behind them.
+        number = dict(self.vocab)
+        of = lambda symbol: number.setdefault(symbol, len(number) + extra)
+        extra = max(self.vocab.values(), default=0) + 1
+        self.merges: dict[int, int] = {}
+        for rank, pair in enumerate(model["merges"]):
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            self.merges.setdefault(of(left) << BITS | of(right), rank << BITS | of(left + right))
         self.suffix = model.get("end_of_word_suffix") or ""
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pieces = regex.compile(splits[0]["pattern"]["Regex"], regex.V0)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.letters = byte_letters()
+        # The first number of each byte's letter, inside a piece and at its end.
+        letters = byte_letters()
+        self.inner, self.last = [of(c) for c in letters], [of(c + self.suffix) for c in letters]
+        self.written = {i: (str(i), token) for token, i in self.vocab.items()}
 
-    def _tokens(self, piece: str) -> list[str]:
-        symbols = [self.letters[b] for b in piece.encode()]
-        symbols[-1] += self.suffix
-        return [s for s in merge_parts(symbols, self.ranks) if s in self.vocab]
-
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Count, ids and tokens of a word without white space; ids and tokens joined by a space."""
+    def normal(self, word: str) -> str:
         norm = word if word.isascii() else unicodedata.normalize("NFC", word)
-        norm = norm.lower() if norm.isascii() else "".join([c.lower() for c in norm])
-        tokens = [t for piece in self.pieces.findall(norm) for t in self._tokens(piece)]
-        return len(tokens), " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens)
+        return norm.lower() if norm.isascii() else "".join([c.lower() for c in norm])
+
+    def piece(self, piece: str) -> tuple[int, str, str]:
+        """Count, ids and tokens of a piece of a normal word; ids and tokens joined by a space."""
+        data, inner = piece.encode(), self.inner
+        parts = [inner[b] for b in data]
+        parts[-1] = self.last[data[-1]]
+        tokens = [w for p in merge_parts(parts, self.merges) if (w := self.written.get(p))]
+        ids, texts = zip(*tokens) if tokens else ((), ())
+        return len(tokens), " ".join(ids), " ".join(texts)
 
     def digest_parts(self, text: str, known: "Remembered | None" = None) -> tuple[int, str, str]:
         """Number of tokens, decimal ids joined by a space, decoded text."""
@@ -140,38 +149,44 @@ class WordBpe:
 
 
 class Remembered:
-    """Encoded words in two generations of so many bytes; what the older one still holds costs one more look-up.
+    """Encoded words and the pieces they are made of, in two generations; what the older one still holds costs more look-ups.
 
-    Words of more than LONGEST characters are rare and large, and are encoded each time.
+    A word that is one normal piece is the same entry as the piece. Strings of more than LONGEST characters are rare and
+    large, and are not held: an entry has at most a kilobyte, and a third of one on average.
     """
 
-    BYTES, LONGEST, OVERHEAD = 16 << 20, 64, 400
+    MOST, LONGEST = 100_000, 64
 
     def __init__(self, bpe: WordBpe):
-        self.bpe, self.held = bpe, 0
+        self.bpe = bpe
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
 
-    def _word(self, word: str) -> tuple[int, str, str]:
-        entry = self.old.get(word) or self.bpe.word(word)
-        if len(word) <= self.LONGEST:
-            self.held += self.OVERHEAD + len(word) + len(entry[1]) + len(entry[2])
-            if self.held > self.BYTES:
-                self.old, self.young, self.held = self.young, {}, 0
-            self.young[word] = entry
+    def _put(self, key: str, entry: tuple[int, str, str]) -> tuple[int, str, str]:
+        if len(key) <= self.LONGEST:
+            if len(self.young) >= self.MOST:
+                self.old, self.young = self.young, {}
+            self.young[key] = entry
         return entry
 
+    def _piece(self, piece: str) -> tuple[int, str, str]:
+        return self.young.get(piece) or self._put(piece, self.old.get(piece) or self.bpe.piece(piece))
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        entry = self.old.get(word) or self.young.get(word)
+        if entry is None:
+            pieces = self.bpe.pieces.findall(self.bpe.normal(word))
+            if len(pieces) == 1:
+                entry = self._piece(pieces[0])
+            else:
+                some = [p for p in map(self._piece, pieces) if p[0]]
+                entry = sum([p[0] for p in some]), " ".join([p[1] for p in some]), " ".join([p[2] for p in some])
+        return self._put(word, entry)
+
     def words(self, text: str) -> list[tuple[int, str, str]]:
         words = text.split() if not _ODD_SPACE.search(text) else [w for w in _SPACE.split(text) if w]
-        young = self.young  # replaced when it is full, hence looked up through the object
-        out = []
-        for w in words:
-            entry = young.get(w)
-            if entry is None:
-                entry = self._word(w)
-                young = self.young
-            out.append(entry)
-        return out
+        get, new = self.young.get, self._word
+        return [get(w) or new(w) for w in words]
 
 
 @lru_cache(maxsize=1)
