@@ -154,6 +154,21 @@ def test_ingest_two_roots(spark, tmp_path):
     assert run()["excluded"] == 1
     assert [r.id for r in tables.read("sessions").collect()] == ["sb"]
     assert "sa" in {r.session_id for r in tables.read("session_usage").collect()}  # usage outlives the session
+    found = ingest.lexical(spark, base, "more").collect()  # from the postings, which follow the chunks
+    assert [r.session_id for r in found] == ["sb"] and ingest.lexical(spark, base, "hello").count() == 1
+    assert tables.read("lengths").count() == tables.read("chunks").count() == 1 and tables.version() == store.Store.VERSION
+    with tables.lock() as first, tables.lock() as second:
+        assert first and not second and run() == {"skipped": 1}
+    with tables.lock(), tables.lock(lease=-1) as late:
+        assert late
+    counts = ingest.refresh(spark, base, ingest.Options(roots), models.HashingEmbedder, lambda: lambda p: '{"title":"t","short":"s","long":"l"}')
+    assert counts["files"] == 0 and tables.read("chunk_vectors").count() == 1 and tables.read("sessions").first().summary_title is None
+    tables.write("sessions", tables.read("sessions").withColumns({"summary_short": F.lit("old"), "summary_turn_count": F.lit(0)}))
+    ingest.refresh(spark, base, ingest.Options(roots), None, lambda: lambda p: '{"title":"t","short":"s","long":"l"}')
+    assert tables.read("sessions").first().summary_title == "t"
+    (tmp_path / "store" / "_version-99").touch()
+    with pytest.raises(ValueError):
+        store.Store(spark, base)
     raw = export.raw_lines(read_a(spark, tmp_path / "b"), f"file://{tmp_path}/b/proj/sb.jsonl").collect() or export.raw_lines(read_a(spark, tmp_path / "b"), f"file:{tmp_path}/b/proj/sb.jsonl").collect()
     assert len(raw) == 3 and "more" in raw[1].line
 
@@ -329,6 +344,28 @@ def test_exports(spark, tmp_path):
     assert json.loads(export.json_document(meta, chunks).first().document)["chunks"][0]["start_seq"] == 0
 
 
+def test_export_formats(spark, tmp_path):
+    write(tmp_path / "p" / "s.jsonl", [user("ask"), assistant(text("say"))])
+    files = read_a(spark, tmp_path)
+    e = projection.session_keys(transcripts.events(files)).where("path like '%s.jsonl'")
+    chunks, s = projection.chunks(projection.turns_a(e)), sessions_df(spark, [{"id": "s", "project_path": "p", "source_path": "/gone"}])
+    root = files.first().path.removesuffix("/p/s.jsonl")
+    get = lambda fmt, sid="s": export.document(fmt, sid, s, chunks, e, files, root).collect()
+    assert "## User" in get("md")[0].document and get("markdown") == get("md") and get("prose")[0].document.startswith("--- chunk") and '"chunks":[{' in get("json")[0].document
+    assert len(get("jsonl")) == 2
+    for fmt, sid in (("pdf", "s"), ("md", "nobody")):
+        with pytest.raises(ValueError):
+            get(fmt, sid)
+
+
+def test_command_runner():
+    ask = models.command_runner(["sh", "-c", 'echo "{\\"result\\": \\"$0!\\"}"'])()
+    assert ask("hi") == "hi!" and models.command_runner(["echo"])()("plain") == "plain\n"
+    for argv, limit in ((["sh", "-c", "exit 3"], 5), (["sh", "-c", "sleep 9"], 0.2)):
+        with pytest.raises(Exception):
+            models.command_runner(argv, limit)()("x")
+
+
 def test_streams(spark, tmp_path):
     seen = []
     write(tmp_path / "in" / "p" / "a.jsonl", [user("x")])

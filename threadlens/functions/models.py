@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import subprocess
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -106,6 +108,24 @@ def route(allowed_tools: list[str], default: Callable, with_tools: Callable) ->
     return with_tools if allowed_tools else default
 
 
+def command_runner(argv: list[str], timeout: float = 300.0) -> Callable[[], Callable[[str], str]]:
+    """A runner that hands each prompt to a program and reads its answer: the "result" of a JSON envelope, else the output.
+
+    A program that fails or takes longer than the timeout is ended and gives no answer.
+    """
+
+    def ask(prompt: str) -> str:
+        done = subprocess.run([*argv, prompt], capture_output=True, text=True, timeout=timeout, stdin=subprocess.DEVNULL, check=True)
+        try:
+            envelope = json.loads(done.stdout)
+        except ValueError:
+            return done.stdout
+        result = envelope.get("result") if isinstance(envelope, dict) else None
+        return result if isinstance(result, str) else done.stdout
+
+    return lambda: ask
+
+
 def run_prompts(df: DataFrame, prompt_col: str, out_col: str, runner: Callable[[], Callable[[str], str]], concurrency: int = 4) -> DataFrame:
     """Answers of a runner for each row, at most `concurrency` tasks at a time; null where the runner fails."""
 

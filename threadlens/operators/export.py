@@ -61,4 +61,27 @@ def source_path(stored: Column, stored_exists: Column, root: Column, project: Co
     return F.when(stored_exists, stored).otherwise(F.concat(root, F.lit("/"), project, F.lit("/"), session, F.lit(".jsonl")))
 
 
+def resolve_source(sessions: DataFrame, listing: DataFrame, root: str, session_id: str) -> str:
+    """Where a session's transcript is, by the files that are listed; a session that is not indexed is an error."""
+    there = listing.select(F.col("path").alias("source_path"), F.lit(True).alias("_there"))
+    row = sessions.where(F.col("id") == session_id).join(there, "source_path", "left")
+    found = row.select(source_path(F.col("source_path"), F.coalesce("_there", F.lit(False)), F.lit(root), F.col("project_path"), F.col("id"))).first()
+    if found is None:
+        raise ValueError(f"session not in index: {session_id}")
+    return found[0]
+
+
+def document(fmt: str, session_id: str, sessions: DataFrame, chunks: DataFrame, events: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
+    """One session in a format: md or markdown, json, prose as (session_id, document), jsonl as the source's (seq, line)."""
+    if fmt not in FORMATS:
+        raise ValueError(f"unknown format {fmt}; one of {', '.join(FORMATS)}")
+    path = resolve_source(sessions, files, root, session_id)
+    if fmt == "jsonl":
+        return raw_lines(files, path)
+    if fmt in ("md", "markdown"):
+        return markdown(events.where(F.col("session_id") == session_id))
+    own = chunks.where(F.col("session_id") == session_id)
+    return prose(own) if fmt == "prose" else json_document(sessions.where(F.col("id") == session_id), own)
+
+
 FORMATS = ("md", "markdown", "json", "jsonl", "prose")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.models import Embedder, embed_table
 from ..schemas import PROVIDER_A, PROVIDER_B
 from ..sources import transcripts
-from . import projection, store, usage
+from . import enrich, listings, projection, search, store, usage
 
 
 @dataclass(frozen=True)
@@ -33,8 +36,8 @@ class Projected:
     usage: DataFrame
 
 
-def project(files: DataFrame, exclusions: dict | None = None) -> Projected:
-    events = projection.session_keys(transcripts.events(files))
+def project(files: DataFrame, exclusions: dict | None = None, events: DataFrame | None = None) -> Projected:
+    events = projection.session_keys(transcripts.events(files)) if events is None else events
     # Several files of one session: the last by time counts.
     paths = events.select("session_id", "path").distinct().join(files.select("path", "mtime_unix"), "path")
     events = events.join(store.latest_file(paths).select("path"), "path", "left_semi")
@@ -55,32 +58,72 @@ def project(files: DataFrame, exclusions: dict | None = None) -> Projected:
 def ingest(spark: SparkSession, base: str, options: Options) -> dict[str, int] | DataFrame:
     """One incremental run. Returns counters, or with dry_run the sessions it would write, previewed.
 
-    Unchanged files are skipped by their cursors; a changed file's session is replaced whole, a session now left out is
-    pruned with its usage kept, and one without turns keeps its old row.
+    Unchanged files are skipped by their cursors, without being opened; a changed file's session is replaced whole, a
+    session now left out is pruned with its usage kept, and one without turns keeps its old row. Files are parsed once, into
+    a table of events that everything else is projected from. While another run writes, nothing is done: {"skipped": 1}.
     """
     tables = store.Store(spark, base)
-    listing = transcripts.transcript_files(spark, options.roots_a, options.root_b)
+    listing = transcripts.transcript_files(spark, options.roots_a, options.root_b, content=False)
     todo = listing if options.full or options.metadata_only else transcripts.changed(listing, tables.read("files"))
     todo = transcripts.limited(todo, options.limit)
-    found = project(todo, options.exclusions)
     if options.dry_run:
+        found = project(transcripts.contents(spark, options.roots_a, options.root_b, todo), options.exclusions)
         return found.sessions.join(found.chunks.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("chunks"), F.substring(F.min_by("text", "start_seq"), 1, 600).alias("preview")), "id", "left")
-    # Each written table is read back by the next steps, so nothing is projected twice from the files.
-    old = {t: tables.read(t) for t in ("sessions", "chunks", "chunk_vectors", "session_usage", "files")}
-    found.outcome.write.mode("overwrite").parquet(f"{base}/_outcome")
-    outcome = spark.read.schema(found.outcome.schema).parquet(f"{base}/_outcome")
-    gone = outcome.where("drop")
-    pruned = store.delete_sessions(old, gone)
-    sessions = store.merge_sessions(pruned["sessions"], found.sessions)
-    spent = store.replace_by_session(pruned["session_usage"], found.usage, found.usage.select("session_id"))
-    tables.write("session_usage", spent)
-    tables.write("sessions", usage.session_cost(sessions, tables.read("session_usage")))
-    if not options.metadata_only:
-        done = outcome.where("last_seq >= 0")
-        old_ids = pruned["chunks"].join(done.select("session_id"), "session_id", "left_semi").select(F.col("id").alias("chunk_id"))
-        tables.write("chunk_vectors", pruned["chunk_vectors"].join(old_ids, "chunk_id", "left_anti"))
-        tables.write("chunks", store.replace_by_session(pruned["chunks"], found.chunks, done))
-        cursors = todo.drop("value").join(outcome.select("path", "last_seq", "session_id"), "path", "left").select("path", "size", "mtime_unix", F.col("size").alias("last_offset"), F.coalesce("last_seq", F.lit(-1)).alias("last_seq"), "session_id")
-        tables.write("files", store.latest_wins(old["files"], cursors, ["path"]))
-    counts = outcome.agg(F.count(F.lit(1)).alias("files"), F.count_if("drop").alias("excluded"), F.count_if(F.col("last_seq") == -1).alias("empty"), F.count_if(F.col("last_seq") >= 0).alias("sessions")).first()
-    return counts.asDict()
+    with tables.lock() as held:
+        return _ingest(spark, tables, options, todo) if held else {"skipped": 1}
+
+
+def _ingest(spark: SparkSession, tables: store.Store, options: Options, todo: DataFrame) -> dict[str, int]:
+    run = f"_run-{uuid.uuid4().hex}"
+
+    def once(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{tables.base}/{run}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{tables.base}/{run}/{name}")
+
+    try:
+        todo = once("todo", todo.drop("value"))
+        parsed = once("events", projection.session_keys(transcripts.events(transcripts.contents(spark, options.roots_a, options.root_b, todo))))
+        found = project(todo, options.exclusions, parsed)
+        outcome, chunks = once("outcome", found.outcome), once("chunks", found.chunks)
+        old = {t: tables.read(t) for t in ("sessions", "chunks", "chunk_vectors", "postings", "lengths", "session_usage", "files")}
+        pruned = store.delete_sessions(old, outcome.where("drop"))
+        tables.write("session_usage", store.replace_by_session(pruned["session_usage"], found.usage, found.usage))
+        tables.write("sessions", usage.session_cost(store.merge_sessions(pruned["sessions"], found.sessions), tables.read("session_usage")))
+        if not options.metadata_only:
+            done = outcome.where("last_seq >= 0")
+            old_ids = pruned["chunks"].join(done.select("session_id"), "session_id", "left_semi").select(F.col("id").alias("chunk_id"))
+            left = {t: pruned[t].join(old_ids, "chunk_id", "left_anti") for t in ("chunk_vectors", "postings", "lengths")}
+            postings, lengths = search.build_postings(chunks, "id")
+            tables.write("chunk_vectors", left["chunk_vectors"])
+            tables.write("postings", left["postings"].unionByName(postings).repartitionByRange("term").sortWithinPartitions("term"))
+            tables.write("lengths", left["lengths"].unionByName(lengths))
+            tables.write("chunks", store.replace_by_session(pruned["chunks"], chunks, done))
+            cursors = todo.join(outcome.select("path", "last_seq", "session_id"), "path", "left").select("path", "size", "mtime_unix", F.col("size").alias("last_offset"), F.coalesce("last_seq", F.lit(-1)).alias("last_seq"), "session_id")
+            tables.write("files", store.latest_wins(old["files"], cursors, ["path"]))
+        counts = outcome.agg(F.count(F.lit(1)).alias("files"), F.count_if("drop").alias("excluded"), F.count_if(F.col("last_seq") == -1).alias("empty"), F.count_if(F.col("last_seq") >= 0).alias("sessions")).first()
+        return counts.asDict()
+    finally:
+        tables.delete(run)
+
+
+def refresh(spark: SparkSession, base: str, options: Options, embedder: Callable[[], Embedder] | None = None, runner: Callable | None = None, model: str = "") -> dict[str, int]:
+    """Ingest, then embed the chunks without a vector of this model, then, where summaries are in use, renew the stale ones."""
+    counts = ingest(spark, base, options)
+    tables = store.Store(spark, base)
+    if embedder is not None and "skipped" not in counts:
+        vectors, model_id = tables.read("chunk_vectors"), embedder().model_id
+        bare = tables.read("chunks").join(vectors.where(F.col("model_id") == model_id).select(F.col("chunk_id").alias("id")), "id", "left_anti")
+        tables.write("chunk_vectors", store.upsert_vectors(vectors, embed_table(bare, "id", "text", embedder).withColumn("embedded_at", F.current_timestamp())))
+    if runner is not None and "skipped" not in counts and listings.any_summary(tables.read("sessions")):
+        sessions = tables.read("sessions")
+        stale = listings.active_without_summary(sessions).select("id")
+        new = enrich.summarise(sessions.join(stale, "id", "left_semi"), tables.read("chunks"), runner, model)
+        tables.write("sessions", store.latest_wins(sessions, new.select(*sessions.columns), ["id"]))
+    return counts
+
+
+def lexical(spark: SparkSession, base: str, query: str, **more) -> DataFrame:
+    """BM25 ranks over a store, from its postings: the chunks' texts are not read."""
+    tables = store.Store(spark, base)
+    sessions = tables.read("sessions").withColumnRenamed("id", "session_id")
+    return search.lexical(tables.read("chunks").withColumnRenamed("id", "chunk_id"), sessions, query, scores=search.bm25_postings(tables.read("postings"), tables.read("lengths"), query), **more)

@@ -6,21 +6,52 @@ merges are DataFrame operations, so each is one join by key.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import truncate
 from ..schemas import KEYS, PROVIDER_A, TABLES
+from .usage import session_cost
 
 
 class Store:
-    VERSION = 1
+    """Tables below a folder of any Hadoop file system; made by a newer version of this code, they are refused."""
+
+    #: 2: postings and lengths beside the chunks.
+    VERSION = 2
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if (made := self.version()) > self.VERSION:
+            raise ValueError(f"the store is of version {made}, this code reads up to {self.VERSION}")
+
+    def version(self) -> int:
+        """The largest version stamped, 0 in a new or older store; its tables' missing columns read as null."""
+        found = self._fs.globStatus(self._path(f"{self.base}/_version-*")) or []
+        return max((int(s.getPath().getName().rsplit("-", 1)[1]) for s in found), default=0)
+
+    @contextmanager
+    def lock(self, lease: float = 6 * 3600) -> Iterator[bool]:
+        """Whether this run is the one writer: a file that only one can create. A lock older than the lease is a dead run's."""
+        path = self._path(f"{self.base}/_lock")
+        if self._fs.exists(path) and self._fs.getFileStatus(path).getModificationTime() < (time.time() - lease) * 1000:
+            self._fs.delete(path, False)
+        held = self._fs.createNewFile(path)
+        try:
+            yield held
+        finally:
+            if held:
+                self._fs.delete(path, False)
+
+    def delete(self, folder: str) -> None:
+        self._fs.delete(self._path(f"{self.base}/{folder}"), True)
 
     def _versions(self, table: str) -> list[int]:
         folder = self._path(f"{self.base}/{table}")
@@ -41,6 +72,7 @@ class Store:
         new = versions[-1] + 1 if versions else 1
         wanted = self.spark.createDataFrame([], TABLES[table]).schema
         df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]).write.mode("overwrite").parquet(f"{self.base}/{table}/v{new}")
+        self._fs.createNewFile(self._path(f"{self.base}/_version-{self.VERSION}"))
         for v in versions[:-1]:  # one earlier version stays for readers that have begun
             self._fs.delete(self._path(f"{self.base}/{table}/v{v}"), True)
 
@@ -85,11 +117,10 @@ def replace_by_session(old: DataFrame, new: DataFrame, touched: DataFrame, key:
 
 
 def delete_sessions(tables: dict[str, DataFrame], gone: DataFrame, keep_usage: bool = True) -> dict[str, DataFrame]:
-    """Sessions with their chunks and vectors; usage outlives them unless asked otherwise."""
+    """Sessions with their chunks, and the chunks' vectors and postings; usage outlives them unless asked otherwise."""
     ids = gone.select(F.col("session_id")).distinct()
     dead = tables["chunks"].join(ids, "session_id", "left_semi").select(F.col("id").alias("chunk_id"))
-    out = dict(tables)
-    out["chunk_vectors"] = tables["chunk_vectors"].join(dead, "chunk_id", "left_anti")
+    out = dict(tables) | {t: tables[t].join(dead, "chunk_id", "left_anti") for t in ("chunk_vectors", "postings", "lengths") if t in tables}
     out["chunks"] = tables["chunks"].join(ids, "session_id", "left_anti")
     out["sessions"] = tables["sessions"].join(ids.withColumnRenamed("session_id", "id"), "id", "left_anti")
     if not keep_usage:
@@ -97,6 +128,12 @@ def delete_sessions(tables: dict[str, DataFrame], gone: DataFrame, keep_usage: b
     return out
 
 
+def replace_usage(usage: DataFrame, sessions: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usage, sessions): the new rows' sessions lose their old usage, and every session's cost is its rows' sum."""
+    spent = replace_by_session(usage, new, new)
+    return spent, session_cost(sessions, spent)
+
+
 def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
     return latest_wins(old, new, KEYS["chunk_vectors"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -270,6 +271,81 @@ def remote_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "customer").select("c_custkey", scalars.normal_remote(url).alias("remote"))
 
 
+def session_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, c = views.sessions(spark, sf_dir), _chunks(spark, sf_dir, 300)
+    tables = {"sessions": s, "chunks": c, "chunk_vectors": c.select(F.col("id").alias("chunk_id")), "lengths": c.select(F.col("id").alias("chunk_id")), "session_usage": s.select(F.col("id").alias("session_id"))}
+    left = store.delete_sessions(tables, s.where(F.col("id").cast("long") % 6 == 1).select(F.col("id").alias("session_id")))
+    counts = [t.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n")) for name, t in sorted(left.items())]
+    return reduce(DataFrame.union, counts)
+
+
+def usage_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = _rollup(spark, sf_dir)
+    new = old.where(F.col("session_id").cast("long") % 3 == 0).groupBy("session_id").agg(F.lit("again").alias("model"), F.round(2 * F.sum("cost_usd"), 4).alias("cost_usd"))
+    spent, sessions = store.replace_usage(old, old.select(F.col("session_id").alias("id")).distinct(), new)
+    rows = spent.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("models"))
+    return sessions.join(rows, "id").select("id", "models", F.round("cost_usd", 6).alias("cost_usd"))
+
+
+def cursor_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = views.events(spark, sf_dir).groupBy("path").agg(F.sum(F.length("text")).alias("size"), F.max("seq").cast("long").alias("last_seq"))
+    new = files.where("size % 2 = 0").select(F.concat(F.when(F.col("size") % 3 == 0, "/new").otherwise(""), "path").alias("path"), (F.col("size") + 1).alias("size"), F.lit(-1).cast("long").alias("last_seq"))
+    return store.latest_wins(files, new, ["path"])
+
+
+def summary_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n = views.sessions(spark, sf_dir), F.col("id").cast("long")
+    new = F.struct(F.concat(F.lit("T"), "id").alias("title"), F.lit("S").alias("short"), F.lit("L").alias("long"))
+    rows = store.set_summaries(s, s.where(n % 2 == 0).select(F.col("id").alias("session_id"), F.when(n % 4 != 0, new).alias("summary")), "m", F.lit(NOW))
+    return rows.select("id", "summary_title", "summary_short", "summary_long", "summary_model", long("summary_turn_count"))
+
+
+def slash_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = views.table(spark, sf_dir, "conversations")
+    tag = F.concat(F.lit("<command-name>"), F.when(F.col("turn") % 2 == 0, "/").otherwise(""), F.lit("do</command-name>\n<command-args>a\nb</command-args> "))
+    text = F.when(F.col("turn") % 3 == 0, tag).when(F.col("turn") % 3 == 1, F.concat(tag, "text")).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", scalars.slash_command(text).alias("prompt"))
+
+
+def summary_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_custkey")
+    text = F.concat(F.lit('x {"title": " t'), n.cast("string"), F.lit('", "short": "'), F.when(n % 3 == 0, " ").otherwise("s"), F.lit('", "long": "l {} "'), F.when(n % 4 == 0, "").otherwise("}"))
+    got = views.table(spark, sf_dir, "customer").select("c_custkey", scalars.summary(text).alias("s"))
+    return got.select("c_custkey", "s.title", "s.short", "s.long")
+
+
+def session_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_custkey")
+    cwd = F.when(n % 7 != 0, F.concat(F.lit("/w/"), F.repeat(F.lit("it's.a_b/"), (n % 6).cast("int")), "c_name"))
+    sid = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(n.cast("string"), (11 + n % 2).cast("int"), F.lit("0")))
+    return views.table(spark, sf_dir, "customer").select("c_custkey", scalars.project_dir(cwd).alias("folder"), scalars.short_cwd(cwd).alias("short"), scalars.is_session_id(sid).alias("is_id"), scalars.resume_command(cwd, sid, "go").alias("resume"))
+
+
+def hit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.sessions(spark, sf_dir).withColumnRenamed("id", "session_id")
+    hits = s.where("turn_count % 2 = 0 or session_id like '%7'").select("session_id", "turn_count")
+    return search.enrich(hits, s, _chunks(spark, sf_dir, 300)).select("session_id", long("turn_count"), long("chunk_count"), "duration")
+
+
+def related_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.sessions(spark, sf_dir).select("id", search.related_query(*map(F.col, ("summary_title", "summary_short", "first_user_text", "last_user_text"))).alias("query"))
+
+
+def snippet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "documents").select("doc_id", search.snippet_display(F.col("text")).alias("shown"))
+
+
+def show_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, chunks = listings.show(views.sessions(spark, sf_dir), _chunks(spark, sf_dir, 300), "1")
+    return chunks.join(s.select(F.col("id").alias("session_id"), "status"), "session_id").select("session_id", "status", long("start_seq"), long("end_seq"))
+
+
+def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("session_id").cast("long")
+    e = views.events(spark, sf_dir).withColumns({"entrypoint": F.when((n % 9 == 0) & (F.col("seq") > 1), "SDK-run").when(n % 9 == 1, "cli"), "prompt_source": F.when(n % 11 == 0, "Sdk"), "subagent": F.lit(False)})
+    return projection.excluded(e, projection.turns_a(e), openers=("W", "D"), commands=("the ", "in "), loop=("a", "b"))
+
+
 def _stream(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Run a stream over the events table to its end; results are written to the shared folder and read back."""
     run, path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", f"{sf_dir}/events.parquet"
@@ -301,6 +377,10 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch_counts(_stream(spark, sf_dir, lambda events: streams.deduplicated(events, ["user_id", "event_type"], "36500 days"), "append"))
 
 
+def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, sf_dir, lambda events: streams.session_windows(events, "6 hours"), "complete").select(seconds("start"), seconds("end"), "user_id", "n")
+
+
 def _batch_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("users"))
 
@@ -399,6 +479,39 @@ select path, size from files where size % 3 = 0 or mtime % 4 = 1""",
     "remote_names": "select c_custkey, 'host.org/' || lower(c_mktsegment) as remote from customer",
     "stream_events_tumbling": "select cast(floor(epoch(ts) / 86400) * 86400 as bigint) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2",
     "stream_events_sliding": "with w as (select cast(floor(epoch(ts) / 86400) * 86400 as bigint) as day, event_type from events), b as (select day as start, event_type from w union all select day - 86400, event_type from w) select start, event_type, count(*) as n from b group by 1, 2",
+    "stream_bursts": """with a as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as before from events),
+b as (select *, sum(case when before is null or ts - before > interval 6 hours then 1 else 0 end) over (partition by user_id order by ts) as burst from a)
+select cast(floor(epoch(min(ts))) as bigint) as start, cast(floor(epoch(max(ts))) as bigint) + 21600 as "end", user_id, count(*) as n from b group by user_id, burst""",
+    "session_delete": f"""with recursive {_SMALL_CHUNKS}, left_over as (select count(*) as c from v_chunks where session_id::bigint % 6 <> 1)
+select 'chunk_vectors' as "table", c as n from left_over union all select 'chunks', c from left_over union all select 'lengths', c from left_over union all select 'session_usage', count(*) from v_sessions union all select 'sessions', count(*) from v_sessions where n % 6 <> 1""",
+    "usage_replace": f"""with {views.USAGE}, per as (select session_id as id, count(*) as models, sum(cost_usd) as cost_usd from u_rollup group by session_id)
+select id, case when id::bigint % 3 = 0 then 1 else models end as models, round(case when id::bigint % 3 = 0 then round(2 * cost_usd, 4) else cost_usd end, 6) as cost_usd from per""",
+    "cursor_upsert": f"""with {views.EVENTS}, files as (select '/p/' || (conv_id % 4) || '/' || conv_id || '.jsonl' as path, sum(length(text))::bigint as size, max(seq)::bigint as last_seq from v_events group by conv_id)
+select path, size, last_seq from files where size % 2 <> 0 or size % 3 = 0 union all select case when size % 3 = 0 then '/new' else '' end || path, size + 1, -1 from files where size % 2 = 0""",
+    "summary_update": f"""with {views.SESSIONS}, s as (select *, n % 4 = 2 as fresh from v_sessions)
+select id, case when fresh then 'T' || id else summary_title end as summary_title, case when fresh then 'S' else summary_short end as summary_short, case when fresh then 'L' end as summary_long,
+  case when fresh then 'm' end as summary_model, case when fresh then turn_count else summary_turn_count end as summary_turn_count from s""",
+    "slash_commands": "select conv_id, turn, case turn % 3 when 0 then '/do' when 1 then '/do ' || trim(text, ' ' || chr(9) || chr(10)) else text end as prompt from conversations",
+    "summary_parse": """select c_custkey, case when ok then 't' || c_custkey end as title, case when ok then 's' end as short, case when ok then 'l {}' end as long from (select *, c_custkey % 3 <> 0 and c_custkey % 4 <> 0 as ok from customer)""",
+    "session_labels": """with c as (select c_custkey, case when c_custkey % 7 <> 0 then '/w/' || repeat('it' || chr(39) || 's.a_b/', c_custkey % 6) || c_name end as cwd, '00000000-0000-0000-0000-' || lpad(cast(c_custkey as varchar), cast(11 + c_custkey % 2 as int), '0') as sid from customer)
+select c_custkey, regexp_replace(cwd, '[^A-Za-z0-9]', '-', 'g') as folder, case when cwd is null then '' when length(cwd) > 36 then '…' || right(cwd, 35) else cwd end as short, c_custkey % 2 = 1 as is_id,
+  case when cwd is null then '' else 'cd ' || chr(39) || replace(cwd, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) || ' && ' end || 'go ' || chr(39) || sid || chr(39) as resume from c""",
+    "hit_details": f"""with recursive {_SESSIONS_CHUNKS.replace(views.chunk_fold(projection.TARGET_TOKENS), views.chunk_fold(300))}, counts as (select session_id, count(*) as c from v_chunks group by session_id),
+rows as (select *, last_active_at - started_at as s from v_sessions left join counts on session_id = id where turn_count % 2 = 0 or id like '%7')
+select id as session_id, turn_count, coalesce(c, 0) as chunk_count, {_LABEL} as duration from rows""",
+    "related_text": f"""with {views.SESSIONS}, t as (select id, nullif(trim(summary_title), '') as title, summary_short as short, case when trim(first_user_text) <> '' then first_user_text end as first, case when trim(last_user_text) <> '' then last_user_text end as last from v_sessions)
+select id, concat_ws('. ', title, short, case when title is null and short is null then first end, last) as query from t""",
+    "snippet_texts": """with t as (select doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) as flat from documents) select doc_id, case when length(flat) > 200 then substr(flat, 1, 200) || '…' else flat end as shown from t""",
+    "show_session": f"with recursive {_SMALL_CHUNKS} select session_id, status, start_seq, end_seq from v_chunks join v_sessions on id = session_id where id like '1%'",
+    "exclusions": f"""with {views.TURNS}, t as (select session_id, seq, user_text, lower(user_text) as low, lower(ltrim(user_text)) as head from v_turns),
+seen as (select session_id, bool_or(seq = 0 and (user_text like 'W%' or user_text like 'D%')) as internal, bool_or(seq < 6 and (head like 'the %' or head like 'in %')) as commanded, bool_or(seq < 6 and head like 'a%') as looped, bool_or(seq < 6 and low like '%b%') as referred from t group by session_id),
+l as (select session_id, case when conv_id % 9 = 0 and seq > 1 then 'sdk-run' when conv_id % 9 = 1 then 'cli' end as e, case when conv_id % 11 = 0 then 'sdk' end as p, seq from v_events where type = 'user'),
+launch as (select session_id, arg_min({{'e': e, 'p': p}}, seq) as l from l where e is not null or p is not null group by session_id)
+select session_id, internal, coalesce(l.e like 'sdk%' or l.p = 'sdk', l.e like 'sdk%', l.p = 'sdk', false) or commanded or (looped and referred) as automated from seen left join launch using (session_id)""",
+    "related_rank": f"""with {BM25.replace("where status <> 'completed' ", "")}, {KNN.replace(" where status <> 'completed'", "")}, {FUSED}, pool as (select * from f_all order by fused desc, fts_rank nulls last, vec_rank nulls last limit {POOL}),
+hits as (select p.*, session_id, row_number() over (partition by session_id order by fused desc, fts_rank nulls last, vec_rank nulls last) as k from pool p join c_chunks using (chunk_id) where session_id is not null),
+placed as (select *, row_number() over (order by fused desc, fts_rank nulls last, vec_rank nulls last) as pos from hits where k = 1)
+select session_id, length(session_id) % 2 = 1 as same_repo, pos from placed where pos <= 14 and session_id <> 'src3' order by same_repo desc, pos limit 8""",
     "stream_dedup": "select event_type, count(distinct user_id) as users from events group by event_type",
 }
 
@@ -408,6 +521,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         hybrid_search, bm25_topk, bm25_dedup, bm25_from_postings, knn_topk, rrf_hybrid, hybrid_snippets, rerank_overlap, related_rank, embedded, turns, turn_tokens, turns_rollout, chunk_bounds,
         chunk_bounds_small, session_meta, last_active, usage_dedup, usage_rollup, session_cost, usage_totals, recent_by_project, session_list, session_detail, recent_open, prefix_lookup, browse_filter,
         triage_candidates, needs_summary, summarise_candidates, duration_label, transcript_tail, transcript_head, prompt_render, verdict_parse, status_apply, manual_status, session_merge, incremental_skip,
-        export_prose, export_json, branch_names, remote_names, stream_events_tumbling, stream_events_sliding, stream_dedup,
+        export_prose, export_json, branch_names, remote_names, stream_events_tumbling, stream_events_sliding, stream_dedup, stream_bursts, session_delete, usage_replace, cursor_upsert, summary_update,
+        slash_commands, summary_parse, session_labels, hit_details, related_text, snippet_texts, show_session, exclusions,
     )
     return {f.__name__: f for f in every}

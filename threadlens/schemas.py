@@ -9,13 +9,17 @@ CHUNK_VECTORS = "chunk_id long, embedding array<float>, model_id string, dim int
 FILES = "path string, size long, mtime_unix long, last_offset long, last_seq int, session_id string"
 SESSION_USAGE = """session_id string, model string, turns int, input_tokens long, output_tokens long, cache_read_tokens long,
 cache_write_tokens long, cost_usd double, updated_at timestamp"""
+POSTINGS = "term string, chunk_id long, positions array<int>"
+LENGTHS = "chunk_id long, len int"
 CLASSIFICATIONS = "session_id string, recipe_id string, ts timestamp, status string, evidence string, model string, raw_json string"
 
 TABLES = {
     "sessions": SESSIONS, "chunks": CHUNKS, "chunk_vectors": CHUNK_VECTORS, "files": FILES, "session_usage": SESSION_USAGE, "classifications": CLASSIFICATIONS,
+    "postings": POSTINGS, "lengths": LENGTHS,
 }
 KEYS = {
     "sessions": ["id"], "chunks": ["id"], "chunk_vectors": ["chunk_id"], "files": ["path"], "session_usage": ["session_id", "model"], "classifications": ["session_id", "recipe_id"],
+    "postings": ["term", "chunk_id"], "lengths": ["chunk_id"],
 }
 
 #: The two transcript providers. Format A is one file per session under a project folder, format B dated rollouts.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,30 +27,51 @@ def account_roots(primary: str, registry: str | None = None, primary_is_default:
 FILES = "value string, path string, size long, mtime_unix long, provider string, account string"
 
 
-def _files(spark: SparkSession, path: str, provider: str, account: str, content: bool, **options: str) -> DataFrame:
-    reader = spark.read.format("text").option("wholetext", True).options(**options)
+def _files(spark: SparkSession, path: str, provider: str, account: str, content: bool, only: list[str] | None = None, **options: str) -> DataFrame | None:
+    """None if nothing is at the path. Without content, files are listed and not opened."""
+    reader = spark.read.format("text").option("wholetext", True) if content else spark.read.format("binaryFile")
     meta = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.unix_timestamp("_metadata.file_modification_time").alias("mtime_unix")]
-    df = reader.load(path).select("value" if content else F.lit(None).cast("string").alias("value"), *meta)
+    try:
+        df = reader.options(**options).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if only is not None:  # prunes files when the scan is planned
+        df = df.where(F.col("_metadata.file_path").isin(only))
+    df = df.select("value" if content else F.lit(None).cast("string").alias("value"), *meta)
     return df.withColumns({"provider": F.lit(provider), "account": F.lit(account)})
 
 
-def transcript_files(spark: SparkSession, roots_a: list[tuple[str, str]], root_b: str | None = None, content: bool = True) -> DataFrame:
+def transcript_files(spark: SparkSession, roots_a: list[tuple[str, str]], root_b: str | None = None, content: bool = True, only: list[str] | None = None) -> DataFrame:
     """One row a file: format A exactly one folder below each root, format B's rollout-*.jsonl at any depth.
 
-    A transcript is one session and one row; missing roots give no rows.
+    A transcript is one session and one row; missing roots give no rows. `only` keeps the files of these paths.
     """
-    found = [_files(spark, f"{root}/*/*.jsonl", PROVIDER_A, account, content) for account, root in roots_a if any(Path(root).glob("*/*.jsonl"))]
-    if root_b and any(Path(root_b).rglob("rollout-*.jsonl")):
-        found.append(_files(spark, root_b, PROVIDER_B, "legacy", content, recursiveFileLookup="true", pathGlobFilter="rollout-*.jsonl"))
+    found = [_files(spark, f"{root}/*/*.jsonl", PROVIDER_A, account, content, only) for account, root in roots_a]
+    if root_b:
+        found.append(_files(spark, root_b, PROVIDER_B, "legacy", content, only, recursiveFileLookup="true", pathGlobFilter="rollout-*.jsonl"))
     out = spark.createDataFrame([], FILES)
     for df in found:
-        out = out.unionByName(df)
+        out = out.unionByName(df) if df is not None else out
     return out
 
 
+#: Changed files that are read by name; of more the folders are read whole.
+BY_NAME = 10_000
+
+
+def contents(spark: SparkSession, roots_a: list[tuple[str, str]], root_b: str | None, listed: DataFrame) -> DataFrame:
+    """The listed files with their content; one that has changed since it was listed is left to the next run."""
+    paths = [r.path for r in listed.select("path").limit(BY_NAME + 1).collect()]
+    files = transcript_files(spark, roots_a, root_b, only=paths if len(paths) <= BY_NAME else None)
+    return files.join(listed.select("path", "size", "mtime_unix"), ["path", "size", "mtime_unix"], "left_semi")
+
+
 def all_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """Every *.jsonl below a root, sidechains included, for the usage scan; the session is the file's stem."""
     df = _files(spark, root, PROVIDER_A, "legacy", True, recursiveFileLookup="true", pathGlobFilter="*.jsonl")
+    df = spark.createDataFrame([], FILES) if df is None else df
     return df.withColumn("session_id", file_stem(F.col("path")))
 
 

@@ -17,7 +17,7 @@ def event_stream(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame
 
 
 def tumbling(events: DataFrame, size: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Events and their value by window and type; late rows beyond the watermark are dropped."""
+    """Events and their value by window and type; late rows beyond the watermark are dropped, unless the stream's output is complete."""
     rows = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
     return rows.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "value")
 
