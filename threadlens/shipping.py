@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,10 +24,10 @@ def ship(spark: SparkSession) -> None:
     """Send the package's sources to the session's workers, once, unless they have it."""
     if installed() or spark.conf.get("spark.threadlens.shipped", None):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        path = f"{folder}/threadlens.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted((ROOT / "threadlens").rglob("*.py")):
-                z.write(f, f.relative_to(ROOT))
-        spark.sparkContext.addPyFile(path)  # copied by the driver when it is added
+    folder = tempfile.mkdtemp(prefix="threadlens-")  # the driver serves the file from there as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/threadlens.zip", "w") as z:
+        for f in sorted((ROOT / "threadlens").rglob("*.py")):
+            z.write(f, f.relative_to(ROOT))
+    spark.sparkContext.addPyFile(f"{folder}/threadlens.zip")
     spark.conf.set("spark.threadlens.shipped", "true")
