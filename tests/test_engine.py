@@ -389,3 +389,12 @@ def test_stream_dedup_is_a_stream(spark, tmp_path, monkeypatch):
     table.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     got = {r.event_type: r.users for r in queries.stream_dedup(spark, str(tmp_path)).collect()}
     assert kinds == [True] and got == {"a": 8, "b": 8}
+
+
+def test_utc_text(spark):
+    df = spark.createDataFrame([(1704067200,), (None,)], "s long").select(F.timestamp_seconds("s").alias("t"))
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert [r[0] for r in df.select(scalars.utc_text("t")).collect()] == ["2024-01-01 00:00:00Z", ""]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -23,6 +23,12 @@ def truncate(c: Column, n: int, ellipsis: str = "") -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(ellipsis))).otherwise(c)
 
 
+def utc_text(c: str) -> Column:
+    """A moment as text in UTC, whatever the session's time zone; "" without one."""
+    there = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz"))
+    return F.coalesce(F.date_format(there, "yyyy-MM-dd HH:mm:ss'Z'"), F.lit(""))
+
+
 def slash_command(text: Column) -> Column:
     """A wrapped slash command becomes "/name rest"; other text stays."""
     name = F.regexp_extract(text, _COMMAND_NAME, 1)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import run_prompts
-from ..functions.scalars import candidate_branches, summary, verdict
+from ..functions.scalars import candidate_branches, summary, utc_text, verdict
 from . import store
 
 
@@ -36,10 +36,9 @@ _VARIABLE = re.compile(r"\{\{\s*(\w+)\s*(?:\|\s*truncate\((\d+)\))?\s*\}\}")
 def variables() -> dict[str, Column]:
     """The twelve values a template may name, from a session joined with its transcript."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    when = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss'Z'"), F.lit(""))
     return {
         "session_id": F.col("id"), "cwd": text("cwd"), "git_branch": text("git_branch"), "derived_branches": F.coalesce(F.array_join("derived_branches", ", "), F.lit("")),
-        "candidate_branches": F.array_join(candidate_branches(F.col("git_branch"), F.col("derived_branches")), ", "), "started_at": when("started_at"), "ended_at": when("ended_at"),
+        "candidate_branches": F.array_join(candidate_branches(F.col("git_branch"), F.col("derived_branches")), ", "), "started_at": utc_text("started_at"), "ended_at": utc_text("ended_at"),
         "message_count": text("message_count"), "turn_count": text("turn_count"), "first_user_message": text("first_user_text"), "last_user_message": text("last_user_text"), "transcript": text("transcript"),
     }
 

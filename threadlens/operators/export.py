@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import not_blank
+from ..functions.scalars import not_blank, utc_text
 
 
 def raw_lines(files: DataFrame, path: str) -> DataFrame:
@@ -33,7 +33,7 @@ def json_document(sessions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _heading(who: str) -> Column:
-    return F.concat(F.lit(f"\n## {who}  _"), F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss'Z'"), F.lit("")), F.lit("_\n\n"))
+    return F.concat(F.lit(f"\n## {who}  _"), utc_text("ts"), F.lit("_\n\n"))
 
 
 def markdown(events: DataFrame) -> DataFrame:

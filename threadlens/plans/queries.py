@@ -512,6 +512,10 @@ select session_id, internal, coalesce(l.e like 'sdk%' or l.p = 'sdk', l.e like '
 hits as (select p.*, session_id, row_number() over (partition by session_id order by fused desc, fts_rank nulls last, vec_rank nulls last) as k from pool p join c_chunks using (chunk_id) where session_id is not null),
 placed as (select *, row_number() over (order by fused desc, fts_rank nulls last, vec_rank nulls last) as pos from hits where k = 1)
 select session_id, length(session_id) % 2 = 1 as same_repo, pos from placed where pos <= 14 and session_id <> 'src3' order by same_repo desc, pos limit 8""",
+    "rerank_overlap": f"""with {BM25}, words as (select r.*, text, list_slice(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), 1, 500) as w from b_ranked r join c_chunks using (chunk_id)),
+scored as (select *, len(list_intersect(list_distinct(w), ['is', 'worthless', 'pathetic', 'of', 'the', 'token', 'password', 'éré'])) / 8.0::double as score, count(*) over (partition by session_id) as matched from words),
+firsts as (select *, row_number() over (partition by session_id order by score desc, fts_rank) as k from scored), placed as (select *, row_number() over (order by score desc, fts_rank) as pos from firsts where k = 1)
+select pos, chunk_id, session_id, score, matched from placed where pos <= 5""",
     "stream_dedup": "select event_type, count(distinct user_id) as users from events group by event_type",
 }
 
