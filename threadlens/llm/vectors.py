@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import Kept, blocked, connected_components, cuts_of, groups, let_go, local_roots, parts_for, with_class
 
@@ -42,8 +43,9 @@ def blocks_of(dims: int, threshold: float) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), (2 - 2 * threshold) * (b - a) / dims) for a, b in zip(cuts, cuts[1:])]
 
 
-def _unit(data: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), "<f8").reshape(len(data), -1)
+def _unit(data: list[bytes], dims: int) -> np.ndarray:
+    """Unit vectors in double precision of bodies that hold single or double components."""
+    x = np.frombuffer(b"".join(data), f"<f{len(data[0]) // dims}").reshape(len(data), dims).astype("<f8", copy=False)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -55,7 +57,7 @@ def _place(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (dims,), table in groups(iter([batch]), ("dims",)):
-                y = _unit(table["body"].to_pylist()) @ rotation(dims)
+                y = _unit(table["body"].to_pylist(), dims) @ rotation(dims)
                 ids, body, weight = table["vec_id"].combine_chunks(), table["body"].combine_chunks(), table["weight"].combine_chunks()
                 for k, (a, _, budget) in enumerate(blocks_of(dims, threshold)):
                     radius = np.sqrt(budget) + SLACK
@@ -133,7 +135,7 @@ def _join(threshold: float):
         for (dims, block, _, i, j), table in groups(batches, ("dims", "block", "slab", "i", "j")):
             if table.num_rows < 2:
                 continue
-            x = _unit(table["body"].to_pylist())
+            x = _unit(table["body"].to_pylist(), dims)
             y = x @ rotation(dims)
             blocks = blocks_of(dims, threshold)
             ids, border, part = table["vec_id"].to_numpy(), table["border"].to_numpy(), table["part"].to_numpy()
@@ -165,7 +167,9 @@ def _join(threshold: float):
 def near(spark: SparkSession, df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", cap: int = CAP) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     kept = Kept(spark)
-    vector = F.col(vector_col).cast("array<double>")
+    given = df.schema[vector_col].dataType
+    single = isinstance(given, ArrayType) and isinstance(given.elementType, FloatType)
+    vector = F.col(vector_col).cast("array<float>" if single else "array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v"))
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = kept.keep("rows", rows.select("vec_id", F.when(F.coalesce(sound, F.lit(False)), F.col("v")).alias("v")))
@@ -175,8 +179,9 @@ def near(spark: SparkSession, df: DataFrame, threshold: float = THRESHOLD, id_co
             for s in range(0, batch.num_rows, 4096):
                 part = batch.slice(s, 4096)
                 lists = [None if v is None else np.asarray(v, "<f8") + 0.0 for v in part.column("v").to_pylist()]  # -0 becomes 0
-                # Scaled first, so that the squares of very large or small numbers stay finite.
-                data = [None if v is None else (v / np.abs(v).max()).astype("<f8").tobytes() for v in lists]
+                # Squares of single-precision numbers are finite in double precision, so these are moved as they came;
+                # others are scaled first, so that the squares of very large or small numbers stay finite.
+                data = [None if v is None else (v.astype("<f4") if single else v / np.abs(v).max()).tobytes() for v in lists]
                 sig = [None if d is None else xxhash.xxh3_128_intdigest(d) for d in data]
                 halves = [pa.array([None if s is None else f(s) - (1 << 63) for s in sig], pa.int64()) for f in (lambda s: s >> 64, lambda s: s & ((1 << 64) - 1))]
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([None if v is None else len(v) for v in lists], pa.int64()), *halves, pa.array(data, pa.binary())], names=["vec_id", "dims", "sig_a", "sig_b", "body"])
