@@ -70,6 +70,12 @@ def test_vectors(spark):
     assert vectors.near(spark, make([])).collect() == []
 
 
+def test_single_precision_vectors(spark):
+    rows = [(1, [3e38, 3e38]), (2, [1e-45, 1e-45]), (3, [-0.0, 1.0]), (4, [0.0, 1.0]), (5, [float("inf"), 1.0]), (6, [0.0, 0.0]), (7, None)]
+    got = vectors.near(spark, table(spark, rows, [("vec_id", "long"), ("embedding", "array<float>")])).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 0, 6), (7, 0, 7)]
+
+
 def test_urls(spark):
     make = lambda rows: table(spark, rows, [("page_id", "long"), ("url", "string")])
     rows = [(1, None), (None, "http://a.com/x"), (2, ""), (3, "no scheme"), (4, "http://b.net/es/" + "y" * 100_000), (4, "http://b.net/es/" + "y" * 100_000), (5, "http://c.org/q"), (6, "http://c.org/q")]
