@@ -28,7 +28,7 @@ from .common import Kept, blocked, connected_components, cuts_of, groups, let_go
 
 THRESHOLD, BLOCK_DIMS, TILE = 0.9, 16, 1024
 #: Rows and bytes of a slab's part; linking pairs that a task holds before it counts them.
-CAP, TASK_BYTES, PAIRS = 12_000, 64 << 20, 500_000
+CAP, TASK_BYTES, PAIRS = 32_000, 64 << 20, 500_000
 
 
 def rotation(dims: int) -> np.ndarray:
