@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,6 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
             n = max(1, int(np.searchsorted(part, max_bytes, side="right")))
             yield batch.slice(at, n)
             at += n
+        del batch  # not held while the next one is read
 
 
 def raw(column: pa.Array) -> list[bytes]:
@@ -81,6 +83,7 @@ def gram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
 
 def let_go() -> None:
     """Hand freed memory back to the system: workers outlive their tasks, and their neighbours need it."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -88,19 +91,28 @@ def let_go() -> None:
         pass
 
 
+def handing_back(run: Callable) -> Callable:
+    """run, a function for mapInArrow, that lets go of its task's memory when the task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return whole
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType, column: str = "text", max_bytes: int = SLICE_BYTES, state: bool = False) -> DataFrame:
     """mapInArrow of fn, from a batch to batches, over small slices; with state, fn() makes that function in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = fn() if state else fn
-        try:
-            for part in slices(batches, column, max_bytes):
-                yield from one(part)
-        finally:
-            del one
-            let_go()
+        for part in slices(batches, column, max_bytes):
+            yield from one(part)
+            del part
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(handing_back(run), schema)
 
 
 class Kept:
@@ -254,7 +266,7 @@ def meetings(keys: DataFrame, parts: int) -> DataFrame:
             for i in range(0, len(k), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 100_000]) for v in (k, d, f)], names=["key", "doc", "first"])
 
-    return keys.repartition(parts, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, first long")
+    return keys.repartition(parts, "key").sortWithinPartitions("key", "doc").mapInArrow(handing_back(run), "key long, doc long, first long")
 
 
 def packed_keys(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:

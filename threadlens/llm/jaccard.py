@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, WordHashes, arrow_map, attached, blocked, connected_components, cuts_of, gram_hashes, groups, in_batches, let_go, meetings, mix64, packed_keys, parts_for, pick, raw, with_class
+from .common import Kept, WordHashes, arrow_map, attached, blocked, connected_components, cuts_of, gram_hashes, groups, handing_back, in_batches, meetings, mix64, packed_keys, parts_for, pick, raw, with_class
 
 GRAM, PERCENT = 5, 80
 #: Cells of a sketch: at least these, and about one for each four to eight shingles up to 2 ** MOST_BITS.
@@ -280,7 +280,6 @@ def _regions(percent: int):
                     yield from ((a, None, n) for a, n in zip(doc[some].tolist(), region.links[some].tolist()))
 
         yield from in_batches(rows(), schema, 20_000)
-        let_go()
 
     return run
 
@@ -330,15 +329,15 @@ def similar(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col
     members = met.union(met.select("p", F.col("p").alias("doc")).distinct()).join(heads.select("doc", "n", "sketch"), "doc")
     large = kept.keep("large_met", cuts_of(members, ["p"], caps[0], F.length("sketch"), TASK_BYTES))
     tasks = blocked(large, members, ["p"], "doc").repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j")
-    alive = kept.keep("alive", tasks.mapInArrow(_prune(percent), "p long, doc long").distinct())
+    alive = kept.keep("alive", tasks.mapInArrow(handing_back(_prune(percent)), "p long, doc long").distinct())
     kept.drop("met")
     null = lambda kind: F.lit(None).cast(kind)
     weighted = alive.join(heads.select("doc", "weight", "n"), "doc")
     both = docs.select("doc_id", F.lit(1).alias("kind"), null("long").alias("p"), null("long").alias("weight"), "text").union(weighted.select(F.col("doc").alias("doc_id"), F.lit(0), "p", "weight", null("string")))
-    sets = both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(_with_sets, "p long, doc long, weight long, body binary, before binary")
+    sets = both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(handing_back(_with_sets), "p long, doc long, weight long, body binary, before binary")
     large = kept.keep("large", cuts_of(weighted, ["p"], caps[1], 8 * F.col("n"), TASK_BYTES))
     cut = blocked(large, sets, ["p"], "doc")
-    found = kept.keep("found", cut.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "doc").mapInArrow(_regions(percent), "a long, b long, links long"))
+    found = kept.keep("found", cut.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "doc").mapInArrow(handing_back(_regions(percent)), "a long, b long, links long"))
     components = connected_components(spark, found.where("b is not null").select("a", "b"), kept)
     counts = found.where("links is not null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
     # Joined once a class, then to the documents.

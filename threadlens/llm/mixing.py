@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Kept, arrow_map, attached_rows, in_batches, let_go, mix64, parts_for, raw
+from .common import Kept, arrow_map, attached_rows, handing_back, in_batches, mix64, parts_for, raw
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 #: Words of a block; sources of under 64 such blocks get shorter ones. Slots of an output shard, and most shards.
@@ -200,6 +200,5 @@ def mixed(spark: SparkSession, df: DataFrame, seed: int = 1) -> DataFrame:
                     yield tuple(new[c] if c in new else row[c] for c in schema.names)
 
         yield from in_batches(out(), schema)
-        let_go()
 
-    return rows.mapInArrow(run, df.schema)
+    return rows.mapInArrow(handing_back(run), df.schema)

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import pick, slices
+from .common import handing_back, pick, slices
 
 ROW_TOKENS, SHARD_TOKENS = 2048, 2 << 20
 SCHEMA = "pack_id long, n_tokens int, ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, piece_starts array<long>"
@@ -118,7 +118,7 @@ def pack(df: DataFrame, tokenizer: Callable[[], Callable[[str], np.ndarray]], li
         if docs:
             yield _pack(docs, limit, made, dtype)
 
-    return pick(df, id_col, text_col).mapInArrow(run, SCHEMA)
+    return pick(df, id_col, text_col).mapInArrow(handing_back(run), SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

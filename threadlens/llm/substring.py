@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, WordHashes, arrow_map, attached, gram_hashes, in_batches, meetings, packed_keys, parts_for, pick, raw
+from .common import Kept, WordHashes, arrow_map, attached, gram_hashes, handing_back, in_batches, meetings, packed_keys, parts_for, pick, raw
 
 WINDOW, GRAM = 13, 5
 #: Words of excerpts that one automaton's task holds; larger groups are sliced. Windows of an excerpt, which is cut beyond.
@@ -256,23 +256,23 @@ def dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
     null = lambda kind: F.lit(None).cast(kind)
     both = docs.select("doc_id", F.lit(1).alias("kind"), null("long").alias("key"), null("long").alias("first"), "text").union(
         routes.select(F.col("doc").alias("doc_id"), F.lit(0), "key", "first", null("string")))
-    split = kept.keep("split", both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(_split, SPLIT), ("what",))
+    split = kept.keep("split", both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(handing_back(_split), SPLIT), ("what",))
     kept.drop("routes")
     excerpts = split.where("what = 'part'")
     sized = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n_words").alias("n")).where(F.col("n") > slice_words)
     wide = kept.keep("wide", sized(excerpts, "src").select("src", F.ceil(F.col("n") * 4 / slice_words).cast("int").alias("buckets")))
     small = excerpts.join(wide, "src", "left_anti").select(F.col("src"), F.lit(-1).cast("long").alias("bucket"), "doc_id", "uid", "start", "n_words", "body")
     again = excerpts.join(wide, "src").select("src", "buckets", "doc_id", "uid", "start", "body")
-    pieces = kept.keep("pieces", again.repartition(parts).mapInArrow(_recut, "src long, bucket long, doc_id long, uid long, start long, n_words long, body binary"))
+    pieces = kept.keep("pieces", again.repartition(parts).mapInArrow(handing_back(_recut), "src long, bucket long, doc_id long, uid long, start long, n_words long, body binary"))
     large = kept.keep("large", sized(pieces, "src", "bucket").select("src", "bucket", F.ceil(F.col("n") / slice_words).cast("int").alias("slices")))
     dealt = small.union(pieces).join(large, ["src", "bucket"], "left").select("src", "bucket", F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), F.col("slices")), F.lit(0)).cast("int").alias("slice"),
         F.col("slices").isNotNull().alias("sliced"), F.lit(1).alias("kind"), "doc_id", "uid", "start", null("long").alias("first"), "body")
-    windows = dealt.where("sliced").repartition(parts, "src", "bucket", "slice").sortWithinPartitions("src", "bucket", "slice").mapInArrow(_windows, "src long, bucket long, slice int, hash long, first long, last long, body binary")
+    windows = dealt.where("sliced").repartition(parts, "src", "bucket", "slice").sortWithinPartitions("src", "bucket", "slice").mapInArrow(handing_back(_windows), "src long, bucket long, slice int, hash long, first long, last long, body binary")
     # A window is agreed on across slices, and goes back to those that hold it.
     agreed = windows.groupBy("src", "bucket", "hash").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("body").alias("body"), F.collect_list("slice").alias("held")).where("first <> last")
     copies = agreed.select("src", "bucket", F.explode("held").alias("slice"), F.lit(True), F.lit(0), null("long"), null("long"), null("long"), "first", "body")
-    spans = dealt.union(copies).repartition(parts, "src", "bucket", "slice").sortWithinPartitions("src", "bucket", "slice", "kind").mapInArrow(_locate, "doc_id long, uid long, start long, end long")
+    spans = dealt.union(copies).repartition(parts, "src", "bucket", "slice").sortWithinPartitions("src", "bucket", "slice", "kind").mapInArrow(handing_back(_locate), "doc_id long, uid long, start long, end long")
     waiting = split.where("what = 'wait'").select("doc_id", F.lit(1).alias("kind"), null("long").alias("uid"), null("long").alias("start"), null("long").alias("end"), F.col("body").cast("string").alias("text"))
     rows = waiting.union(spans.select("doc_id", F.lit(0), "uid", "start", "end", null("string")))
-    shorter = rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(_drop, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    shorter = rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(handing_back(_drop), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return split.where("what = 'done'").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), null("string").alias("kept_text")).union(shorter)

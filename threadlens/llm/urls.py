@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, groups, parts_for
+from .common import Kept, groups, handing_back, parts_for
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -122,11 +122,11 @@ def scored(spark: SparkSession, kept: Kept, labelled: DataFrame) -> DataFrame:
     """(url, score) of each distinct URL of rows (url, cls): 0 rejected, 1 accepted, -1 only to be scored."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     some = labelled.where("url <> ''")
-    ratios = _ratios(kept.keep("grams", some.mapInArrow(_count, "g long, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))))
+    ratios = _ratios(kept.keep("grams", some.mapInArrow(handing_back(_count), "g long, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))))
     urls = kept.keep("urls", some.select("url").distinct().select("url", F.floor(F.monotonically_increasing_id() / CHUNK).alias("chunk")))
-    told = urls.mapInArrow(_wanted, "chunk long, g long").join(ratios, "g").select("chunk", "g", "ratio", F.lit(None).cast("string").alias("url"))
+    told = urls.mapInArrow(handing_back(_wanted), "chunk long, g long").join(ratios, "g").select("chunk", "g", "ratio", F.lit(None).cast("string").alias("url"))
     both = told.union(urls.select("chunk", F.lit(None).cast("long"), F.lit(None).cast("double"), "url"))
-    return kept.keep("scores", both.repartition(max(parts, parts_for(spark, urls)), "chunk").sortWithinPartitions("chunk").mapInArrow(_score, "url string, score double"))
+    return kept.keep("scores", both.repartition(max(parts, parts_for(spark, urls)), "chunk").sortWithinPartitions("chunk").mapInArrow(handing_back(_score), "url string, score double"))
 
 
 def cut_off(scores: DataFrame) -> float | None:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .common import Kept, blocked, connected_components, cuts_of, groups, let_go, local_roots, parts_for, with_class
+from .common import Kept, blocked, connected_components, cuts_of, groups, handing_back, local_roots, parts_for, with_class
 
 THRESHOLD, BLOCK_DIMS, TILE = 0.9, 16, 1024
 #: Rows and bytes of a slab's part; linking pairs that a task holds before it counts them.
@@ -159,7 +159,6 @@ def _join(threshold: float):
             least = np.full(len(ids), np.iinfo(np.int64).max)
             np.minimum.at(least, links.root, ids)
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links.n[hit].astype(np.int64)), pa.array(least[links.root[hit]])], names=["vec_id", "n", "root"])
-        let_go()
 
     return run
 
@@ -186,17 +185,17 @@ def near(spark: SparkSession, df: DataFrame, threshold: float = THRESHOLD, id_co
                 halves = [pa.array([None if s is None else f(s) - (1 << 63) for s in sig], pa.int64()) for f in (lambda s: s >> 64, lambda s: s & ((1 << 64) - 1))]
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([None if v is None else len(v) for v in lists], pa.int64()), *halves, pa.array(data, pa.binary())], names=["vec_id", "dims", "sig_a", "sig_b", "body"])
 
-    whole = kept.keep("whole", rows.mapInArrow(bodies, "vec_id long, dims long, sig_a long, sig_b long, body binary"))
+    whole = kept.keep("whole", rows.mapInArrow(handing_back(bodies), "vec_id long, dims long, sig_a long, sig_b long, body binary"))
     sound = F.col("body").isNotNull() & F.col("vec_id").isNotNull()
     keys = ["dims", "sig_a", "sig_b"]
     classes = whole.where(sound).groupBy(*keys).agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), F.first("body").alias("body"))
     heads = kept.keep("heads", classes)
     kept.drop("rows")
-    slabs = heads.select("vec_id", "dims", "weight", "body").mapInArrow(_place(threshold), "dims long, block long, slab long, border boolean, vec_id long, weight long, body binary")
+    slabs = heads.select("vec_id", "dims", "weight", "body").mapInArrow(handing_back(_place(threshold)), "dims long, block long, slab long, border boolean, vec_id long, weight long, body binary")
     slab = ["dims", "block", "slab"]
     tasks = blocked(kept.keep("large", cuts_of(slabs, slab, cap, F.length("body"), TASK_BYTES)), slabs, slab, "vec_id")
     parts = max(parts_for(spark, heads), 64)
-    found = tasks.repartition(parts, *slab, "i", "j").sortWithinPartitions(*slab, "i", "j").mapInArrow(_join(threshold), "vec_id long, n long, root long")
+    found = tasks.repartition(parts, *slab, "i", "j").sortWithinPartitions(*slab, "i", "j").mapInArrow(handing_back(_join(threshold)), "vec_id long, n long, root long")
     found = kept.keep("found", found)
     components = connected_components(spark, found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), kept)
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
