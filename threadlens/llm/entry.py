@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, packing, pii, quality, secrets, substring, urls, vectors
+from . import bpe, harmonic, jaccard, mixing, packing, pii, quality, runs, secrets, substring, urls, vectors, whitening
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,8 +76,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), ids=False)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.scan(_table(spark, sf_dir, "documents"), planted=True))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = harmonic.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_packing, op2_jaccard_join, op3_pii_scan, op4_vector_join, op5_url_filter, op6_secret_scan, op7_quality_rules, op8_substring_dedup, op9_source_mixing, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_packing, op2_jaccard_join, op3_pii_scan, op4_vector_join, op5_url_filter, op6_secret_scan, op7_quality_rules, op8_substring_dedup, op9_source_mixing, op10_bpe, op11_periodic_runs, op12_whitening, op13_harmonic_packing)}
 
 
 OP8_SQL = """
