@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -71,12 +72,12 @@ def test_cases(spark):
     rows += [(10 + k, t) for k, t in enumerate(odd)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("ids", "start", "length", "offset", "sequence_id", "kind")})
     path = tokenizer_path("word_bpe_49k.json")
-    for parts in (1, 3):
-        got = harmonic.pack(df.repartition(parts), path)
+    for parts, make in ((1, harmonic.word_ids), (3, harmonic.word_ids), (2, harmonic.text_ids)):
+        got = harmonic.pack(df.repartition(parts), make(path))
         rows_ = [r.asDict() | {"ids_crc32": zlib.crc32(r.ids)} for r in got.collect()]
         check(rows_, [(d, ids(t)) for d, t in rows], 0.02)
         assert [r.asDict() for r in got.collect()] == [r.asDict() for r in got.collect()]
-    assert harmonic.pack(df.limit(0), path).collect() == []
+    assert harmonic.pack(df.limit(0), harmonic.word_ids(path)).collect() == []
     with pytest.raises(ValueError, match="power of two"):
         harmonic.Packer(1000)
 
@@ -111,13 +112,22 @@ def test_bins_hold_a_fixed_number_of_pieces():
         assert sum(len(p[2]) // 4 for b in out + last for p in b) == n
 
 
-def test_chunks_and_forgetting(monkeypatch):
-    text = "".join(random.Random(4).choice(["ab ", "ünï\n", "x" * 70 + " ", "c\x1cd ", "don't", "\xa0"]) for _ in range(3000))
-    ids = library()
-    for chunk, most in ((1 << 18, 200_000), (100, 200_000), (100, 3), (1, 1)):
+def test_every_way_of_encoding(monkeypatch):
+    """Chunks, forgetting, every white space, odd words: the ids are the library's for the whole text."""
+    path, ids = tokenizer_path("word_bpe_49k.json"), library()
+    spaces = [chr(c) for c in range(0x10000) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff", "\x00"]
+    parts = ["ab ", "ünï\n", "x" * 70 + " ", "c\x1cd ", "don't", "\xa0", "ǅ ", "Σς ", "e\u0301 ", "<|endoftext|>", "ª² ", "İ ", "日本 ", "ﬁ,", "٣٤ ", "A1b2 ", "…", "𝐚b "]
+    texts = ["a" + s + "b" + s + s + "c" for s in spaces] + ["".join(random.Random(k).choices(parts, k=400)) for k in range(8)] + ["", " ", None]
+    for chunk, most in ((4 << 20, 150_000), (100, 150_000), (100, 3), (1, 1)):
         monkeypatch.setattr(harmonic, "CHUNK", chunk)
-        monkeypatch.setattr(harmonic, "MOST_WORDS", most)
-        words = harmonic.Words(tokenizer_path("word_bpe_49k.json"))
-        assert "".join(harmonic.chunks(text)) == text
-        assert np.frombuffer(b"".join(map(words.of, harmonic.chunks(text))), "<u4").tolist() == ids(text)[:-1]
-        assert all(len(w) <= harmonic.LONGEST for w in words)
+        monkeypatch.setattr(harmonic, "MOST_PIECES", most)
+        harmonic.words.cache_clear()
+        for t in texts[-11:-3]:
+            assert "".join(harmonic.chunks(t)) == t
+        for some in (texts, [t for t in texts if not t or not set(t) & set("\x1c\x1d\x1e\x1f")], *[[t] for t in texts]):
+            got = [np.frombuffer(i, "<u4").tolist() for i in harmonic.word_ids(path)()(pa.array(some, pa.string()).slice(0))]
+            assert got == [ids(t)[:-1] for t in some]
+        assert [np.frombuffer(i, "<u4").tolist() for i in harmonic.word_ids(path)()(pa.array(texts, pa.string()).slice(3, 9))] == [ids(t)[:-1] for t in texts[3:12]]
+        known = harmonic.words(path)
+        assert all(len(w) <= harmonic.LONGEST for w in {**known.young, **known.old})
+    harmonic.words.cache_clear()

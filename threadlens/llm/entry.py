@@ -85,7 +85,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = harmonic.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    pieces = harmonic.pack(_table(spark, sf_dir, "documents"), harmonic.word_ids(tokenizer_path("word_bpe_49k.json")))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

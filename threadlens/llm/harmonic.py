@@ -16,6 +16,7 @@ gives no rows; other columns are ignored. A recomputed partition gives the same
 
 from __future__ import annotations
 
+import re
 import struct
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -23,18 +24,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .bpe import _ODD_SPACE, _SPACE
+from .bpe import byte_letters, load
 from .common import handing_back, in_batches, pick, slices
 
 LIMIT, END_ID, FILL = 2048, 1, 64
-#: Characters of a text whose words are looked up at once; words remembered, and the longest of them.
-CHUNK, MOST_WORDS, LONGEST = 1 << 18, 200_000, 64
+#: Bytes from which a text is encoded in parts; pieces that a generation remembers, and the longest of them.
+CHUNK, MOST_PIECES, LONGEST = 4 << 20, 150_000, 64
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_SPACE = re.compile("[ \t-\r]")
 #: doc_id, start, ids (four bytes each), tokens of the document
 Piece = tuple[int | None, int, bytes, int]
 
@@ -50,6 +53,10 @@ def rest_lengths(rest: int, limit: int = LIMIT) -> tuple[int, ...]:
     return tuple(out)
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def powers(length: int) -> list[int]:
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
@@ -96,20 +103,18 @@ class Packer:
                 at += n
 
 
-def pack(df: DataFrame, tokenizer: Callable[[], Callable[[str], Iterator[bytes]]] | str, limit: int = LIMIT, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: Callable[[], Callable[[pa.Array], Iterator[bytes]]], limit: int = LIMIT, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, start in its document, length, ids (little-endian, four bytes each), tokens of the document with
-    the end id, sequence_id, and offset in the sequence. tokenizer() is called in each worker; a path is that of a vocabulary for word_ids()."""
-    make = word_ids(tokenizer) if isinstance(tokenizer, str) else tokenizer
-    end = struct.pack("<I", end_id)
+    the end id, sequence_id, and offset in the sequence. tokenizer(), called in each worker, gives a function from a column of texts to each one's ids."""
+    end = pack_ids([end_id])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        encode, packer, made = make(), Packer(limit), TaskContext.get().partitionId() << 36
+        encode, packer, made = tokenizer(), Packer(limit), TaskContext.get().partitionId() << 36
 
         def documents() -> Iterator[Iterator[list[Piece]]]:
-            for part in slices(batches, max_bytes=1 << 20):
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = b"".join([*encode(text or ""), end])
-                    yield packer.add((doc, 0, ids, len(ids) // 4))
+            for part in slices(batches):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"))):
+                    yield packer.add((doc, 0, ids + end, len(ids) // 4 + 1))
             yield packer.finish()
 
         for sequences in documents():
@@ -126,30 +131,63 @@ def pack(df: DataFrame, tokenizer: Callable[[], Callable[[str], Iterator[bytes]]
     return pick(df, id_col, text_col).mapInArrow(handing_back(run), SCHEMA)
 
 
-class Words(dict):
-    """Ids of words as four bytes each, remembered while they fit; the words of a chunk that are new are encoded together."""
+class Words:
+    """Ids of words as four bytes each; the pieces that words are made of are remembered, in two generations."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-    def of(self, text: str) -> bytes:
-        words = [w for w in _SPACE.split(text) if w] if _ODD_SPACE.search(text) else text.split()
-        new = set(words).difference(self)
-        if len(self) + len(new) > MOST_WORDS:
-            self.clear()
-            new = set(words)
-        if new:
-            new = sorted(new)
-            for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self[word] = np.array(e.ids, "<u4").tobytes()
-        ids = b"".join([self[w] for w in words])
-        for word in new:
-            if len(word) > LONGEST:
-                del self[word]
+        self.library, self.spec = Tokenizer.from_file(path), load(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model, self.letters = self.library.model, byte_letters()
+        self.packed = [pack_ids([i]) for i in range(max(self.spec.names, default=-1) + 1)]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            symbols = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
+            ids = b"".join([self.packed[t.id] for t in self.model.tokenize(symbols)])
+        if len(piece) <= LONGEST:
+            if len(self.young) >= MOST_PIECES:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
         return ids
 
+    def ids(self, word: str) -> bytes:
+        """Ids of a word, or of a text whose white space need not be ASCII."""
+        normal = word.lower() if word.isascii() else self.spec.normal(word)
+        if normal.isalpha():  # one piece
+            return self.young.get(normal) or self._piece(normal)
+        if (core := normal[:-1]).isalpha() and (mark := normal[-1]) in ".,;:!?":  # two
+            return (self.young.get(core) or self._piece(core)) + (self.young.get(mark) or self._piece(mark))
+        if any(token in word for token in self.spec.special):
+            return pack_ids(self.library.encode(word, add_special_tokens=False).ids)
+        return b"".join([self.young.get(p) or self._piece(p) for p in self.spec.pieces.findall(normal)])
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one behind another, and where each text's begin. Words are looked up once, however often they occur.
+
+        Texts are cut at white space of ASCII; other white space within a word is left out with its pieces.
+        """
+        split = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        found = coded.dictionary
+        # One string cut at line feeds is quicker than a string a word.
+        each_word = pa.compute.binary_join(pa.ListArray.from_arrays([0, len(found)], found), "\n")[0].as_py().split("\n") if len(found) else []
+        number, each = coded.indices.to_numpy(), list(map(self.ids, each_word))
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        known, begins = np.frombuffer(b"".join(each), "<u4"), np.cumsum(sizes) - sizes
+        of_word = sizes[number]
+        upto = np.cumsum(np.r_[0, of_word])
+        where = np.repeat(begins[number] - upto[:-1], of_word) + np.arange(upto[-1])
+        return known[where], upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+
+@lru_cache(maxsize=1)
+def words(path: str) -> Words:
+    return Words(path)
+
 
 def chunks(text: str) -> Iterator[str]:
     """The text in parts of about CHUNK characters that end where a word does."""
@@ -160,11 +198,28 @@ def chunks(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def word_ids(path: str) -> Callable[[], Callable[[str], Iterator[bytes]]]:
-    """Ids by a vocabulary file of the tokenizers library that drops white space, so that words are encoded by themselves."""
+def word_ids(path: str) -> Callable[[], Callable[[pa.Array], Iterator[bytes]]]:
+    """Ids by a vocabulary file of the tokenizers library whose words are encoded by themselves: NFC, lower case, white space dropped,
+    words split by a pattern into pieces of byte letters."""
+
+    def encode(texts: pa.Array) -> Iterator[bytes]:
+        if len(texts) == 1 and texts[0].is_valid and len(texts[0].as_buffer()) > CHUNK:
+            yield b"".join([words(path).of(pa.array([part]))[0].tobytes() for part in chunks(texts[0].as_py())])
+            return
+        ids, at = words(path).of(texts)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield ids[a:b].tobytes()
+
+    return lambda: encode
+
+
+def text_ids(path: str) -> Callable[[], Callable[[pa.Array], Iterator[bytes]]]:
+    """Ids by any vocabulary file of the tokenizers library, from whole texts."""
 
-    def make() -> Callable[[str], Iterator[bytes]]:
-        words = Words(path)
-        return lambda text: map(words.of, chunks(text))
+    def make() -> Callable[[pa.Array], Iterator[bytes]]:
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        return lambda texts: (pack_ids(library.encode(t or "", add_special_tokens=False).ids) for t in texts.to_pylist())
 
     return make
