@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.models import Embedder, embed_table
 from ..schemas import PROVIDER_A, PROVIDER_B
 from ..sources import transcripts
-from . import enrich, listings, projection, search, store, usage
+from . import blocks, enrich, listings, projection, store, usage
 
 
 @dataclass(frozen=True)
@@ -60,70 +59,106 @@ def ingest(spark: SparkSession, base: str, options: Options) -> dict[str, int] |
 
     Unchanged files are skipped by their cursors, without being opened; a changed file's session is replaced whole, a
     session now left out is pruned with its usage kept, and one without turns keeps its old row. Files are parsed once, into
-    a table of events that everything else is projected from. While another run writes, nothing is done: {"skipped": 1}.
+    a table of events that everything else is projected from. Only buckets with a changed session are written, and all of
+    it is seen with the commit or not at all. While another run writes, nothing is done: {"skipped": 1}.
     """
     tables = store.Store(spark, base)
-    listing = transcripts.transcript_files(spark, options.roots_a, options.root_b, content=False)
-    todo = listing if options.full or options.metadata_only else transcripts.changed(listing, tables.read("files"))
-    todo = transcripts.limited(todo, options.limit)
     if options.dry_run:
-        found = project(transcripts.contents(spark, options.roots_a, options.root_b, todo), options.exclusions)
+        found = project(transcripts.contents(spark, options.roots_a, options.root_b, _todo(tables.begin(), options)), options.exclusions)
         return found.sessions.join(found.chunks.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("chunks"), F.substring(F.min_by("text", "start_seq"), 1, 600).alias("preview")), "id", "left")
     with tables.lock() as held:
-        return _ingest(spark, tables, options, todo) if held else {"skipped": 1}
+        return tables.commit(lambda run: _ingest(run, options)) if held else {"skipped": 1}
 
 
-def _ingest(spark: SparkSession, tables: store.Store, options: Options, todo: DataFrame) -> dict[str, int]:
-    run = f"_run-{uuid.uuid4().hex}"
+def _todo(run: store.Transaction, options: Options) -> DataFrame:
+    """The files to read, listed without being opened."""
+    listing = transcripts.transcript_files(run.spark, options.roots_a, options.root_b, content=False)
+    todo = listing if options.full or options.metadata_only else transcripts.changed(listing, run.read("files"))
+    return transcripts.limited(todo, options.limit).drop("value")
+
+
+def _ingest(run: store.Transaction, options: Options) -> dict[str, int]:
+    spark, folder = run.spark, f"_run-{run.run}"
 
     def once(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{tables.base}/{run}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{tables.base}/{run}/{name}")
+        df.write.parquet(f"{run.base}/{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{run.base}/{folder}/{name}")
 
     try:
-        todo = once("todo", todo.drop("value"))
+        todo = once("todo", _todo(run, options))
         parsed = once("events", projection.session_keys(transcripts.events(transcripts.contents(spark, options.roots_a, options.root_b, todo))))
         found = project(todo, options.exclusions, parsed)
-        outcome, chunks = once("outcome", found.outcome), once("chunks", found.chunks)
-        old = {t: tables.read(t) for t in ("sessions", "chunks", "chunk_vectors", "postings", "lengths", "session_usage", "files")}
+        # Counted while the outcome is written.
+        counts, number = Observation(), lambda test: F.count(F.when(test, 1))
+        observed = found.outcome.observe(counts, F.count(F.lit(1)).alias("files"), number(F.col("drop")).alias("excluded"), number(F.col("last_seq") == -1).alias("empty"), number(F.col("last_seq") >= 0).alias("sessions"))
+        outcome = once("outcome", observed)
+        if not counts.get["files"] and todo.isEmpty():
+            return counts.get | {"buckets": 0}
+        touched = run.buckets_of("sessions", outcome, "session_id")
+        old = {t: run.read(t, touched) for t in ("sessions", "chunks", "chunk_vectors", "session_usage")}
         pruned = store.delete_sessions(old, outcome.where("drop"))
-        tables.write("session_usage", store.replace_by_session(pruned["session_usage"], found.usage, found.usage))
-        tables.write("sessions", usage.session_cost(store.merge_sessions(pruned["sessions"], found.sessions), tables.read("session_usage")))
+        run.replace("session_usage", store.replace_by_session(pruned["session_usage"], found.usage, found.usage), touched)
+        run.replace("sessions", usage.session_cost(store.merge_sessions(pruned["sessions"], found.sessions), run.read("session_usage", touched)), touched)
         if not options.metadata_only:
-            done = outcome.where("last_seq >= 0")
-            old_ids = pruned["chunks"].join(done.select("session_id"), "session_id", "left_semi").select(F.col("id").alias("chunk_id"))
-            left = {t: pruned[t].join(old_ids, "chunk_id", "left_anti") for t in ("chunk_vectors", "postings", "lengths")}
-            postings, lengths = search.build_postings(chunks, "id")
-            tables.write("chunk_vectors", left["chunk_vectors"])
-            tables.write("postings", left["postings"].unionByName(postings).repartitionByRange("term").sortWithinPartitions("term"))
-            tables.write("lengths", left["lengths"].unionByName(lengths))
-            tables.write("chunks", store.replace_by_session(pruned["chunks"], chunks, done))
+            chunks, done = once("chunks", found.chunks), outcome.where("last_seq >= 0")
+            dead = old["chunks"].join(outcome.where("drop or last_seq >= 0").select("session_id"), "session_id", "left_semi").select(F.col("id").alias("chunk_id"))
+            run.replace("chunk_vectors", old["chunk_vectors"].join(dead, "chunk_id", "left_anti"), touched)
+            run.replace("chunks", store.replace_by_session(pruned["chunks"], chunks, done), touched)
+            run.add_segment(chunks, dead)
             cursors = todo.join(outcome.select("path", "last_seq", "session_id"), "path", "left").select("path", "size", "mtime_unix", F.col("size").alias("last_offset"), F.coalesce("last_seq", F.lit(-1)).alias("last_seq"), "session_id")
-            tables.write("files", store.latest_wins(old["files"], cursors, ["path"]))
-        counts = outcome.agg(F.count(F.lit(1)).alias("files"), F.count_if("drop").alias("excluded"), F.count_if(F.col("last_seq") == -1).alias("empty"), F.count_if(F.col("last_seq") >= 0).alias("sessions")).first()
-        return counts.asDict()
+            paths = run.buckets_of("files", todo)
+            run.replace("files", store.latest_wins(run.read("files", paths), cursors, ["path"]), paths)
+        return counts.get | {"buckets": len(touched)}
     finally:
-        tables.delete(run)
+        run.store.delete(folder)
 
 
 def refresh(spark: SparkSession, base: str, options: Options, embedder: Callable[[], Embedder] | None = None, runner: Callable | None = None, model: str = "") -> dict[str, int]:
-    """Ingest, then embed the chunks without a vector of this model, then, where summaries are in use, renew the stale ones."""
+    """Ingest, then embed the chunks without a vector of this model, then, where summaries are in use, renew the stale ones.
+
+    Each step is a commit of its own and writes only buckets that change."""
     counts = ingest(spark, base, options)
     tables = store.Store(spark, base)
-    if embedder is not None and "skipped" not in counts:
-        vectors, model_id = tables.read("chunk_vectors"), embedder().model_id
-        bare = tables.read("chunks").join(vectors.where(F.col("model_id") == model_id).select(F.col("chunk_id").alias("id")), "id", "left_anti")
-        tables.write("chunk_vectors", store.upsert_vectors(vectors, embed_table(bare, "id", "text", embedder).withColumn("embedded_at", F.current_timestamp())))
-    if runner is not None and "skipped" not in counts and listings.any_summary(tables.read("sessions")):
-        sessions = tables.read("sessions")
-        stale = listings.active_without_summary(sessions).select("id")
-        new = enrich.summarise(sessions.join(stale, "id", "left_semi"), tables.read("chunks"), runner, model)
-        tables.write("sessions", store.latest_wins(sessions, new.select(*sessions.columns), ["id"]))
+    if "skipped" not in counts:
+        if embedder is not None:
+            tables.commit(lambda run: embed(run, embedder))
+        if runner is not None and listings.any_summary(tables.read("sessions")):
+            tables.commit(lambda run: summarise(run, runner, model))
     return counts
 
 
-def lexical(spark: SparkSession, base: str, query: str, **more) -> DataFrame:
-    """BM25 ranks over a store, from its postings: the chunks' texts are not read."""
-    tables = store.Store(spark, base)
-    sessions = tables.read("sessions").withColumnRenamed("id", "session_id")
-    return search.lexical(tables.read("chunks").withColumnRenamed("id", "chunk_id"), sessions, query, scores=search.bm25_postings(tables.read("postings"), tables.read("lengths"), query), **more)
+def embed(run: store.Transaction, embedder: Callable[[], Embedder]) -> None:
+    """Vectors of this model for the chunks that have none."""
+    model_id = embedder().model_id
+    chunks, vectors = run.read("chunks"), run.read("chunk_vectors")
+    bare = chunks.join(vectors.where(F.col("model_id") == model_id).select(F.col("chunk_id").alias("id")), "id", "left_anti")
+    if touched := run.buckets_of("chunks", bare):
+        new = embed_table(bare, "id", "text", embedder).join(bare.select(F.col("id").alias("chunk_id"), "session_id"), "chunk_id")
+        run.replace("chunk_vectors", store.upsert_vectors(run.read("chunk_vectors", touched), new.withColumn("embedded_at", F.current_timestamp())), touched)
+
+
+def summarise(run: store.Transaction, runner: Callable, model: str) -> None:
+    """Summaries of active sessions whose summary is missing or stale."""
+    stale = listings.active_without_summary(run.read("sessions")).select("id")
+    if touched := run.buckets_of("sessions", stale):
+        sessions = run.read("sessions", touched)
+        new = enrich.summarise(sessions.join(stale, "id", "left_semi"), run.read("chunks", touched), runner, model)
+        run.replace("sessions", store.latest_wins(sessions, new.select(*sessions.columns), ["id"]), touched)
+
+
+def set_status(spark: SparkSession, base: str, prefix: str, status: str) -> None:
+    """Set by hand in a store, for every session whose id starts with the prefix; only their buckets are written."""
+
+    def work(run: store.Transaction) -> None:
+        hit = run.read("sessions").where(F.lower("id").startswith(prefix.lower()))
+        touched = run.buckets_of("sessions", hit)
+        run.replace("sessions", store.set_status(run.read("sessions", touched), prefix, status), touched)
+
+    store.Store(spark, base).commit(work)
+
+
+def lexical(spark: SparkSession, base: str, query: str, k: int = 50, include_completed: bool = False) -> DataFrame:
+    """BM25 ranks over a store, from its term blocks: chunks' texts are not read, nor blocks that hold no hit."""
+    run = store.Store(spark, base).begin()
+    chunks, sessions = run.read("chunks").withColumnRenamed("id", "chunk_id"), run.read("sessions").withColumnRenamed("id", "session_id")
+    return blocks.lexical(*run.postings(), chunks, sessions, query, k, include_completed)[0]
