@@ -359,13 +359,82 @@ def test_export_formats(spark, tmp_path):
 
 
 def test_command_runner():
-    ask = models.command_runner(["sh", "-c", 'echo "{\\"result\\": \\"$0!\\"}"'])()
-    assert ask("hi") == "hi!" and models.command_runner(["echo"])()("plain") == "plain\n"
+    ask = models.command_runner(["sh", "-c", 'read p; echo "{\\"result\\": \\"$p!\\"}"'])()
+    assert ask("hi") == "hi!" and models.command_runner(["cat"])()("plain\n") == "plain\n"
+    assert models.command_runner(["wc", "-c"])()("x" * 500_000).strip() == "500000"  # longer than an argument may be
     for argv, limit in ((["sh", "-c", "exit 3"], 5), (["sh", "-c", "sleep 9"], 0.2)):
         with pytest.raises(Exception):
             models.command_runner(argv, limit)()("x")
 
 
+def test_failures_are_told(spark):
+    rows = spark.createDataFrame([(1, "good"), (2, "bad")], "id int, p string")
+    got = models.run_prompts(rows, "p", "a", lambda: lambda p: p.upper() if p == "good" else 1 / 0, error_col="e").collect()
+    assert {(r.id, r.a, r.e) for r in got} == {(1, "GOOD", None), (2, None, "ZeroDivisionError: division by zero")}
+
+
+def test_slash_commands(spark):
+    wrap = lambda name: f"<command-message>m</command-message><command-name>{name}</command-name>\n<command-args>a\nb</command-args>"
+    want = {wrap("do") + " rest": wrap("do") + " rest", wrap("/a.b"): wrap("/a.b"), wrap(" /x:y-z_1\n") + " \u00a0rest\n": "/x:y-z_1 rest", wrap("/é"): "/é", "<command-name>/b": "<command-name>/b", "plain": "plain", wrap("/a") + wrap("/b"): "/a"}
+    df = spark.createDataFrame([(t,) for t in want], "t string").select("t", scalars.slash_command(F.col("t")).alias("s"))
+    assert {r.t: r.s for r in df.collect()} == want
+    assert spark.sql("select cast(null as string) as t").select(scalars.slash_command(F.col("t"))).first()[0] is None
+
+
+def test_split_lines(spark, tmp_path):
+    rnd = random.Random(11)
+    files = {}
+    for name in ("a", "b", "c"):
+        lines = [rnd.choice([b"", b" ", b"x" * rnd.randrange(200), "ñé🙂".encode() * rnd.randrange(9), b"cr\r", b"\r"]) for _ in range(rnd.randrange(1, 3000))]
+        (tmp_path / "d").mkdir(exist_ok=True)
+        files[name] = b"\n".join(lines) + rnd.choice([b"", b"\n", b"\npartial"])
+        (tmp_path / "d" / f"{name}.jsonl").write_bytes(files[name])
+    (tmp_path / "d" / "empty.jsonl").write_bytes(b"")
+    want, at = set(), {}
+    for name, body in files.items():
+        start = 0
+        for k, line in enumerate(body.split(b"\n")[:-1]):
+            end = start + len(line) + 1
+            if (kept := line.decode().removesuffix("\r")).strip(" "):
+                want.add((name, k, start, end, kept))
+            start = end
+        at[name] = start // 2
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1k", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = transcripts.split_lines(spark, f"file://{tmp_path}/d/*.jsonl")
+            assert size != "1k" or spark.read.option("lineSep", "\n").text(f"file://{tmp_path}/d").rdd.getNumPartitions() > 50
+            get = lambda df: {(r.path.rsplit("/", 1)[1].removesuffix(".jsonl"), r.seq, r.start, r.end, r.line) for r in df.collect()}
+            assert get(found) == want
+            paths = sorted({r.path for r in found.select("path").distinct().collect()})
+            cursors = spark.createDataFrame([(p, at[p.rsplit("/", 1)[1][0]]) for p in paths[:2]], "path string, last_offset long")
+            assert get(transcripts.split_lines(spark, f"file://{tmp_path}/d/*.jsonl", cursors=cursors)) == {w for w in want if w[0] == paths[2].rsplit("/", 1)[1][0] or w[2] >= at[w[0]]}
+            assert get(transcripts.split_lines(spark, f"file://{tmp_path}/d/*.jsonl", only=paths[:1])) == {w for w in want if paths[0].endswith(f"{w[0]}.jsonl")}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_changed_lines_open_only_what_is_listed(spark, tmp_path):
+    for i in range(6):
+        write(tmp_path / "in" / "p" / f"s{i}.jsonl", [user(f"hi {i}")])
+    roots = [("legacy", str(tmp_path / "in")), ("none", str(tmp_path / "none"))]
+    listed = transcripts.transcript_files(spark, roots, content=False).cache()
+    listed = spark.createDataFrame(listed.where("path like '%s1.jsonl' or path like '%s2.jsonl'").collect(), listed.schema)
+    write(tmp_path / "in" / "p" / "s2.jsonl", [user("longer than before")])  # since it was listed: the next run's
+    found = transcripts.changed_lines(spark, roots, None, listed)
+    assert [(r.path.rsplit("/", 1)[1], r.account) for r in found.collect()] == [("s1.jsonl", "legacy")]
+    read = transcripts.split_lines(spark, f"{tmp_path}/in/*/*.jsonl", [r.path for r in listed.collect()])
+    assert len(read.inputFiles()) <= 6
+    scans = [line for line in read._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan text" in line]
+    assert scans and all("file_path" in line for line in scans)  # files are pruned when the scan is planned
+
+
+def test_synthesis_is_bounded(spark):
+    s = sessions_df(spark, [{"id": f"{i:04}", "cwd": "/w", "started_at": T0 + timedelta(minutes=i)} for i in range(100)])
+    assert enrich.synthesis_prompt(s, "a", "b").first().prompt.count("\n- [") == 80
+
+
 def test_streams(spark, tmp_path):
     seen = []
     write(tmp_path / "in" / "p" / "a.jsonl", [user("x")])

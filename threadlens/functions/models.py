@@ -109,13 +109,13 @@ def route(allowed_tools: list[str], default: Callable, with_tools: Callable) ->
 
 
 def command_runner(argv: list[str], timeout: float = 300.0) -> Callable[[], Callable[[str], str]]:
-    """A runner that hands each prompt to a program and reads its answer: the "result" of a JSON envelope, else the output.
+    """A runner that writes each prompt to a program's input and reads its answer: the "result" of a JSON envelope, else the output.
 
     A program that fails or takes longer than the timeout is ended and gives no answer.
     """
 
     def ask(prompt: str) -> str:
-        done = subprocess.run([*argv, prompt], capture_output=True, text=True, timeout=timeout, stdin=subprocess.DEVNULL, check=True)
+        done = subprocess.run(argv, input=prompt, capture_output=True, text=True, timeout=timeout, check=True)
         try:
             envelope = json.loads(done.stdout)
         except ValueError:
@@ -126,20 +126,21 @@ def command_runner(argv: list[str], timeout: float = 300.0) -> Callable[[], Call
     return lambda: ask
 
 
-def run_prompts(df: DataFrame, prompt_col: str, out_col: str, runner: Callable[[], Callable[[str], str]], concurrency: int = 4) -> DataFrame:
-    """Answers of a runner for each row, at most `concurrency` tasks at a time; null where the runner fails."""
+def run_prompts(df: DataFrame, prompt_col: str, out_col: str, runner: Callable[[], Callable[[str], str]], concurrency: int = 4, error_col: str | None = None) -> DataFrame:
+    """Answers of a runner for each row, at most `concurrency` tasks at a time; null where the runner fails, and why in `error_col`."""
 
-    @F.pandas_udf("string")
-    def ask(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("answer string, error string")
+    def ask(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         call = runner()
 
-        def one(p: str) -> str | None:
+        def one(p: str) -> tuple[str | None, str | None]:
             try:
-                return call(p)
-            except Exception:  # one failed answer must not end the others
-                return None
+                return call(p), None
+            except Exception as e:  # one failed answer must not end the others
+                return None, f"{type(e).__name__}: {e}"[:500]
 
         for part in prompts:
-            yield part.map(one)
+            yield pd.DataFrame([one(p) for p in part], columns=["answer", "error"], dtype=object)
 
-    return df.repartition(concurrency).withColumn(out_col, ask(prompt_col))
+    asked = df.repartition(concurrency).withColumn("_asked", ask(prompt_col)).withColumn(out_col, F.col("_asked.answer"))
+    return (asked.withColumn(error_col, F.col("_asked.error")) if error_col else asked).drop("_asked")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_COMMAND_NAME = r"(?s)<command-name>\s*(/?[^<\s]+)\s*</command-name>"
-_COMMAND_BLOCK = r"(?s)<command-[\w-]+>.*?</command-[\w-]+>"
+# How a transcript wraps a slash command, and the parts that go.
+COMMAND_NAME = r"(?U)<command-name>\s*(/[\w\-:]+)\s*</command-name>"
+COMMAND_BLOCK = r"(?s)<command-[^>]*>.*?</command-[^>]*>"
 
 
 def not_blank(c: Column) -> Column:
@@ -31,10 +32,14 @@ def utc_text(c: str) -> Column:
 
 def slash_command(text: Column) -> Column:
     """A wrapped slash command becomes "/name rest"; other text stays."""
-    name = F.regexp_extract(text, _COMMAND_NAME, 1)
-    rest = F.trim(F.regexp_replace(F.regexp_replace(text, _COMMAND_BLOCK, ""), r"^\s+|\s+$", ""))
-    command = F.when(F.startswith(name, F.lit("/")), name).otherwise(F.concat(F.lit("/"), name))
-    return F.when(name != "", F.when(rest != "", F.concat_ws(" ", command, rest)).otherwise(command)).otherwise(text)
+
+    def read(t: Column) -> Column:  # bound by a lambda, so that the text and its name are worked out once
+        name = F.regexp_extract(t, COMMAND_NAME, 1)
+        rest = F.regexp_replace(F.regexp_replace(t, COMMAND_BLOCK, ""), r"(?U)^\s+|\s+$", "")
+        with_rest = lambda n: F.when(n == "", t).otherwise(F.concat_ws(" ", n, F.nullif(rest, F.lit(""))))
+        return F.get(F.transform(F.array(name), with_rest), 0)
+
+    return F.get(F.transform(F.array(text), lambda t: F.when(t.isNotNull(), read(t))), 0)
 
 
 def block_text(blocks: Column, sep: str, kind: str = "text") -> Column:

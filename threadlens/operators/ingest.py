@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.models import Embedder, embed_table
 from ..schemas import PROVIDER_A, PROVIDER_B
 from ..sources import transcripts
+from ..sources.state import written
 from . import blocks, enrich, listings, projection, store, usage
 
 
@@ -64,7 +65,8 @@ def ingest(spark: SparkSession, base: str, options: Options) -> dict[str, int] |
     """
     tables = store.Store(spark, base)
     if options.dry_run:
-        found = project(transcripts.contents(spark, options.roots_a, options.root_b, _todo(tables.begin(), options)), options.exclusions)
+        todo = written(_todo(tables.begin(), options), "todo")
+        found = project(todo, options.exclusions, projection.session_keys(transcripts.line_events(transcripts.changed_lines(spark, options.roots_a, options.root_b, todo))))
         return found.sessions.join(found.chunks.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("chunks"), F.substring(F.min_by("text", "start_seq"), 1, 600).alias("preview")), "id", "left")
     with tables.lock() as held:
         return tables.commit(lambda run: _ingest(run, options)) if held else {"skipped": 1}
@@ -86,7 +88,7 @@ def _ingest(run: store.Transaction, options: Options) -> dict[str, int]:
 
     try:
         todo = once("todo", _todo(run, options))
-        parsed = once("events", projection.session_keys(transcripts.events(transcripts.contents(spark, options.roots_a, options.root_b, todo))))
+        parsed = once("events", projection.session_keys(transcripts.line_events(transcripts.changed_lines(spark, options.roots_a, options.root_b, todo))))
         found = project(todo, options.exclusions, parsed)
         # Counted while the outcome is written.
         counts, number = Observation(), lambda test: F.count(F.when(test, 1))

@@ -100,13 +100,6 @@ def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str =
     return postings, rows.select("chunk_id", F.size("t").alias("len"))
 
 
-def write_postings(chunks: DataFrame, path: str) -> None:
-    """Postings sorted by term within files, so that a term's filter skips row groups."""
-    postings, lengths = build_postings(chunks)
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-
-
 def bm25_postings(postings: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
     """The same scores from a postings table: only the query's terms are read."""
     terms = phrases(query)
@@ -202,8 +195,7 @@ def hybrid_search(
 
 def enrich(hits: DataFrame, sessions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with their session's chunk count and duration."""
-    ids = hits.select("session_id").distinct()
-    counts = chunks.join(F.broadcast(ids), "session_id", "left_semi").groupBy("session_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+    counts = chunks.join(hits.select("session_id").distinct(), "session_id", "left_semi").groupBy("session_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     spans = sessions.select("session_id", duration_label(F.col("started_at"), F.col("last_active_at")).alias("duration"))
     return hits.join(counts, "session_id", "left").join(spans, "session_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
 

@@ -301,9 +301,11 @@ def summary_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slash_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = views.table(spark, sf_dir, "conversations")
-    tag = F.concat(F.lit("<command-name>"), F.when(F.col("turn") % 2 == 0, "/").otherwise(""), F.lit("do</command-name>\n<command-args>a\nb</command-args> "))
-    text = F.when(F.col("turn") % 3 == 0, tag).when(F.col("turn") % 3 == 1, F.concat(tag, "text")).otherwise(F.col("text"))
+    """Names with a slash are commands; one without, or with other characters, leaves the text as it is."""
+    c, k = views.table(spark, sf_dir, "conversations"), F.col("turn") % 5
+    name = F.when(k == 0, "/do").when(k == 1, "do").when(k == 2, "/a.b").when(k == 3, " /x:y-z_1\n").otherwise("/é")
+    tag = F.concat(F.lit("<command-message>m</command-message>\n<command-name>"), name, F.lit("</command-name>\n<command-args>a\nb</command-args> "))
+    text = F.when(F.col("turn") % 3 == 0, tag).when(F.col("turn") % 3 == 1, F.concat(tag, "text", F.lit(" \u00a0"))).otherwise(F.col("text"))
     return c.select("conv_id", "turn", scalars.slash_command(text).alias("prompt"))
 
 
@@ -491,7 +493,10 @@ select path, size, last_seq from files where size % 2 <> 0 or size % 3 = 0 union
     "summary_update": f"""with {views.SESSIONS}, s as (select *, n % 4 = 2 as fresh from v_sessions)
 select id, case when fresh then 'T' || id else summary_title end as summary_title, case when fresh then 'S' else summary_short end as summary_short, case when fresh then 'L' end as summary_long,
   case when fresh then 'm' end as summary_model, case when fresh then turn_count else summary_turn_count end as summary_turn_count from s""",
-    "slash_commands": "select conv_id, turn, case turn % 3 when 0 then '/do' when 1 then '/do ' || trim(text, ' ' || chr(9) || chr(10)) else text end as prompt from conversations",
+    "slash_commands": """with c as (select *, case turn % 5 when 0 then '/do' when 1 then 'do' when 2 then '/a.b' when 3 then ' /x:y-z_1' || chr(10) else '/é' end as name from conversations),
+t as (select *, '<command-message>m</command-message>' || chr(10) || '<command-name>' || name || '</command-name>' || chr(10) || '<command-args>a' || chr(10) || 'b</command-args> ' as tag, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) as rest from c)
+select conv_id, turn, case when turn % 3 = 2 then text when turn % 5 in (1, 2) then tag || case when turn % 3 = 1 then text || ' ' || chr(160) else '' end
+  else trim(name, ' ' || chr(10)) || case when turn % 3 = 1 and rest <> '' then ' ' || rest else '' end end as prompt from t""",
     "summary_parse": """select c_custkey, case when ok then 't' || c_custkey end as title, case when ok then 's' end as short, case when ok then 'l {}' end as long from (select *, c_custkey % 3 <> 0 and c_custkey % 4 <> 0 as ok from customer)""",
     "session_labels": """with c as (select c_custkey, case when c_custkey % 7 <> 0 then '/w/' || repeat('it' || chr(39) || 's.a_b/', c_custkey % 6) || c_name end as cwd, '00000000-0000-0000-0000-' || lpad(cast(c_custkey as varchar), cast(11 + c_custkey % 2 as int), '0') as sid from customer)
 select c_custkey, regexp_replace(cwd, '[^A-Za-z0-9]', '-', 'g') as folder, case when cwd is null then '' when length(cwd) > 36 then '…' || right(cwd, 35) else cwd end as short, c_custkey % 2 = 1 as is_id,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import json_string
@@ -57,17 +61,90 @@ def transcript_files(spark: SparkSession, roots_a: list[tuple[str, str]], root_b
     return out
 
 
-#: Changed files that are read by name; of more the folders are read whole.
-BY_NAME = 10_000
-
-
 def contents(spark: SparkSession, roots_a: list[tuple[str, str]], root_b: str | None, listed: DataFrame) -> DataFrame:
-    """The listed files with their content; one that has changed since it was listed is left to the next run."""
-    paths = [r.path for r in listed.select("path").limit(BY_NAME + 1).collect()]
-    files = transcript_files(spark, roots_a, root_b, only=paths if len(paths) <= BY_NAME else None)
+    """The listed files with their content; one that has changed since it was listed is left to the next run.
+
+    Only they are opened. Their paths are held by the driver, as the listing itself is."""
+    paths = [r.path for r in listed.select("path").collect()]
+    files = transcript_files(spark, roots_a, root_b, only=paths)
     return files.join(listed.select("path", "size", "mtime_unix"), ["path", "size", "mtime_unix"], "left_semi")
 
 
+SPLIT = "path string, file_size long, mtime_unix long, block long, n long, at long, bytes long, line string"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers and byte offsets of lines within their split; a task's lines come in order, split after split."""
+    key, n, at = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, block = batch.column("path"), batch.column("block").to_numpy()
+        edge = np.r_[True, (block[1:] != block[:-1]) | np.asarray(pa.compute.not_equal(path[1:], path[:-1]))]
+        sizes = np.asarray(pa.compute.binary_length(batch.column("line")), np.int64) + 1
+        ends = np.cumsum(sizes)
+        places, starts = np.arange(len(sizes)), ends - sizes
+        begins = np.maximum.accumulate(np.where(edge, places, 0))
+        number, offset = places - begins, starts - starts[begins]
+        if key == (path[0].as_py(), int(block[0])):
+            same = begins == 0
+            number[same] += n
+            offset[same] += at
+        key, n, at = (path[-1].as_py(), int(block[-1])), int(number[-1]) + 1, int(offset[-1] + sizes[-1])
+        columns = {"n": number, "at": offset, "bytes": sizes}
+        yield pa.RecordBatch.from_arrays([pa.array(columns[f]) if f in columns else batch.column(f) for f in SPLIT_NAMES], names=SPLIT_NAMES)
+
+
+SPLIT_NAMES = [f.split()[0] for f in SPLIT.split(", ")]
+
+
+def split_lines(spark: SparkSession, paths: str | list[str], only: list[str] | None = None, listed: DataFrame | None = None, cursors: DataFrame | None = None, **options: str) -> DataFrame:
+    """(path, seq, start, end, line) of files that are cut into splits, so that several tasks read one: the line's number in
+    the file, its first byte, and the byte after its LF. One trailing CR is cut, blank lines are skipped, a last partial line is dropped.
+
+    `only` keeps the files of these paths; `listed` (path, size, mtime_unix) those that are still as they were listed; `cursors` (path,
+    last_offset) lines that begin at the file's cursor or later. Splits know where they begin; a first pass counts the lines and
+    bytes of each, a row a split, so that the texts themselves are not moved.
+    """
+    rows = spark.read.format("text").option("lineSep", "\n").options(**options).load(paths)
+    if only is not None:
+        rows = rows.where(F.col("_metadata.file_path").isin(only))
+    rows = rows.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size"), F.unix_timestamp("_metadata.file_modification_time").alias("mtime_unix"),
+        F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    splits = rows.groupBy("path", "file_size", "mtime_unix", "block").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("line") + 1).alias("long"))
+    if listed is not None:
+        splits = splits.join(listed.select("path", F.col("size").alias("file_size"), "mtime_unix"), ["path", "file_size", "mtime_unix"], "left_semi")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a file's splits
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    splits = splits.select("path", "block", total("lines").alias("first"), total("long").alias("base"))
+    if cursors is not None:
+        splits = splits.join(cursors.select("path", "last_offset"), "path", "left")
+    placed = rows.select("*", *[F.lit(0).cast("long").alias(c) for c in ("n", "at", "bytes")]).select(*SPLIT_NAMES).mapInArrow(_placed, SPLIT)
+    start = F.col("base") + F.col("at")
+    kept = placed.join(splits, ["path", "block"]).where(start + F.col("bytes") <= F.col("file_size"))
+    if cursors is not None:
+        kept = kept.where(start >= F.coalesce("last_offset", F.lit(0)))
+    return kept.select("path", (F.col("first") + F.col("n")).alias("seq"), start.alias("start"), (start + F.col("bytes")).alias("end"), F.regexp_replace("line", "\r$", "").alias("line")).where(F.trim("line") != "")
+
+
+def changed_lines(spark: SparkSession, roots_a: list[tuple[str, str]], root_b: str | None, listed: DataFrame) -> DataFrame:
+    """Lines of the listed files of both formats, with provider and account; only those files are opened, by as many tasks as their bytes need."""
+    paths = [r.path for r in listed.select("path").collect()]
+    sources = [(f"{root}/*/*.jsonl", PROVIDER_A, account, {}) for account, root in roots_a]
+    sources += [(root_b, PROVIDER_B, "legacy", {"recursiveFileLookup": "true", "pathGlobFilter": "rollout-*.jsonl"})] if root_b else []
+    out = spark.createDataFrame([], "path string, seq long, start long, end long, line string, provider string, account string")
+    for path, provider, account, options in sources:
+        try:
+            found = split_lines(spark, path, paths, listed, **options)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        out = out.unionByName(found.withColumns({"provider": F.lit(provider), "account": F.lit(account)}))
+    return out
+
+
 def all_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """Every *.jsonl below a root, sidechains included, for the usage scan; the session is the file's stem."""
     df = _files(spark, root, PROVIDER_A, "legacy", True, recursiveFileLookup="true", pathGlobFilter="*.jsonl")
@@ -80,7 +157,7 @@ def file_stem(path: Column) -> Column:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """(path, ..., seq, offset, line): split at LF, one trailing CR cut, blank lines skipped, a last partial line dropped."""
+    """(path, ..., seq, line) of whole files in rows: split at LF, one trailing CR cut, blank lines skipped, a last partial line dropped."""
     cut = F.split(F.col("value"), "\n", -1)
     whole = F.slice(cut, F.lit(1), F.size(cut) - 1)
     rest = [c for c in files.columns if c != "value"]
@@ -146,7 +223,10 @@ def events_b(rows: DataFrame) -> DataFrame:
 
 def events(files: DataFrame) -> DataFrame:
     """Events of both formats, by each file's provider."""
-    rows = lines(files)
+    return line_events(lines(files))
+
+
+def line_events(rows: DataFrame) -> DataFrame:
     return events_a(rows.where(F.col("provider") == PROVIDER_A)).unionByName(events_b(rows.where(F.col("provider") == PROVIDER_B)))
 
 
