@@ -51,8 +51,11 @@ def test_odd_tables(spark, tmp_path):
     kind = "doc_id long, text string, lang string, source string, n_chars long, kept string, ids int"
     words = " ".join(f"w{i}" for i in range(200))
     rows = [(1, None, None, None, None, "x", 1), (2, "", "en", "a", 0, "x", 1), (3, words, "en", "a", 5, "x", 1), (3, words, "en", "a", 5, "x", 1), (4, words + " end token=abcdefghijklmnop", None, None, None, None, None)]
+    rows += [(None, " ".join(f"v{i}" for i in range(100)), "en", "b", 5, "x", 1)] * 2 + [(None, None, None, "b", None, None, None)]
     (tmp_path / "a").mkdir()
     (tmp_path / "b").mkdir()
     out = [t.collect() for t in through(spark, spark.createDataFrame(rows, kind), tmp_path / "a")]
-    assert [r.doc_id for r in out[1]] == [3, 3, 4] and {r.doc_id for r in out[2]} == {3}
+    ids = lambda rows: sorted((r.doc_id for r in rows), key=str)
+    assert ids(out[1]) == [3, 3, 4, None, None] and ids(out[2]) == ids(out[3]) == [3, 3, None, None]
+    assert {r.doc_id for r in out[5]} == {3, None} and sum(len(r.text.split()) for r in out[4] if r.doc_id is None) >= 200
     assert [t.count() for t in through(spark, spark.createDataFrame([], kind), tmp_path / "b")] == [0] * 6

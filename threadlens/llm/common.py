@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,20 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType, column: str
     return df.mapInArrow(handing_back(run), schema)
 
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run in here go when it ends: a written table replaces its lineage."""
+    before = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, before)
+
+
 class Kept:
     """Tables written to the shared folder to cut lineage; drop() removes those no longer needed.
 
@@ -126,9 +141,8 @@ class Kept:
 
     def keep(self, name: str, df: DataFrame, parts: tuple[str, ...] = ()) -> DataFrame:
         path = self.paths[name] = f"{self.base}/{name}"
-        df.write.partitionBy(*parts).option("compression", "zstd").parquet(path)
-        # The written table replaces the lineage, so the shuffle files behind it may go.
-        self.spark.sparkContext._jvm.System.gc()
+        with shuffles_released(self.spark):
+            df.write.partitionBy(*parts).option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop_all_but(self, *names: str) -> None:

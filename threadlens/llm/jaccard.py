@@ -333,7 +333,7 @@ def similar(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col
     kept.drop("met")
     null = lambda kind: F.lit(None).cast(kind)
     weighted = alive.join(heads.select("doc", "weight", "n"), "doc")
-    both = docs.select("doc_id", F.lit(1).alias("kind"), null("long").alias("p"), null("long").alias("weight"), "text").union(weighted.select(F.col("doc").alias("doc_id"), F.lit(0), "p", "weight", null("string")))
+    both = docs.where("doc_id is not null").select("doc_id", F.lit(1).alias("kind"), null("long").alias("p"), null("long").alias("weight"), "text").union(weighted.select(F.col("doc").alias("doc_id"), F.lit(0), "p", "weight", null("string")))
     sets = both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(handing_back(_with_sets), "p long, doc long, weight long, body binary, before binary")
     large = kept.keep("large", cuts_of(weighted, ["p"], caps[1], 8 * F.col("n"), TASK_BYTES))
     cut = blocked(large, sets, ["p"], "doc")
@@ -350,6 +350,10 @@ def similar(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col
 
 
 def one_of_each(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """The rows of a table with doc_id and text whose document is the smallest of its component; rows of one doc_id stay or go together."""
+    """The rows of a table with doc_id and text whose document is the smallest of its component; rows of one doc_id stay or go together.
+
+    Rows without a doc_id name no document that another could be a copy of, and all stay. Null, empty and blank texts link with
+    nothing and stay; of equal texts the smallest doc_id stays; an empty table gives no rows; all columns are kept.
+    """
     stay = similar(spark, df).where("doc_id = component_id").select("doc_id").distinct()
-    return df.alias("d").join(stay.alias("s"), F.col("d.doc_id") == F.col("s.doc_id"), "left_semi")
+    return df.alias("d").join(stay.alias("s"), F.col("d.doc_id") == F.col("s.doc_id"), "left_semi").unionAll(df.where("doc_id is null"))

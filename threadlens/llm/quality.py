@@ -199,7 +199,10 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The rows of a table with doc_id and text that the rules keep, with all their columns; nothing is shuffled."""
+    """The rows of a table with doc_id and text that the rules keep, with all their columns; nothing is shuffled.
+
+    Null, empty and blank texts have no words and go; rows with a null doc_id and repeated rows are judged like any other.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(judge(batch).column("kept"))
