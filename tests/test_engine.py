@@ -104,7 +104,7 @@ def test_branches(spark):
     cases = {"git worktree add ../p feat/x": ["feat/x"], "git checkout -b one && git switch -c two": ["one", "two"], "git push -u origin b3; git checkout 0123abc": ["b3"], "git checkout origin/x": [], "git checkout a/b.txt": [],
              "git switch main": [], "gh pr checkout 42": ["42"], "git checkout ../x": [],
              "git worktree add -b new ../p": ["new"], "git worktree add ../p; x -b no": ["x"], "(git  checkout a.b/c; ls)": ["a.b/c"], "git\nswitch -c d-": ["d"], "git checkout -- file": [], "legit checkout x": [],
-             "git worktree add --track ../p y && git push --set-upstream origin y": ["y"], "git checkout \"q\"": [], "": [], "git checkout": []}
+             "git worktree add --track ../p y && git push --set-upstream origin y": ["y"], "git checkout \"q\"": [], "git worktree add --force path": ["path"], "git worktree add --a --b": [], "git worktree add --a x": ["x"], "git worktree add -f ../p": [], "": [], "git checkout": []}
     df = spark.createDataFrame([(c,) for c in cases], "c string").select("c", F.array_distinct(projection.branches_in(F.col("c"))).alias("b"))
     assert {r.c: sorted(r.b) for r in df.collect()} == {c: sorted(b) for c, b in cases.items()}
 
@@ -430,6 +430,12 @@ def test_changed_lines_open_only_what_is_listed(spark, tmp_path):
     assert scans and all("file_path" in line for line in scans)  # files are pruned when the scan is planned
 
 
+def test_repo_identity(spark):
+    s = spark.createDataFrame([(i, c) for i, c in enumerate(["/a", "/b", "/c", "/d", None])], "id int, cwd string")
+    found = spark.createDataFrame([("/a", "git@Host.org:x/y.git", "/a"), ("/b", " ", "/b/top "), ("/c", None, "")], "cwd string, remote string, top_level string")
+    assert {r.id: r.repo for r in listings.repo_identity(s, found).collect()} == {0: "host.org/x/y", 1: "/b/top", 2: None, 3: None, 4: None}
+
+
 def test_synthesis_is_bounded(spark):
     s = sessions_df(spark, [{"id": f"{i:04}", "cwd": "/w", "started_at": T0 + timedelta(minutes=i)} for i in range(100)])
     assert enrich.synthesis_prompt(s, "a", "b").first().prompt.count("\n- [") == 80

@@ -139,6 +139,30 @@ def test_segments_equal_a_rebuild(spark, tmp_path):
     assert tables.postings()[0].isEmpty() and tables.postings()[1].isEmpty()
 
 
+def test_vectors_written_after_their_cells_are_found(spark, tmp_path):
+    rnd = random.Random(9)
+    tables = store.Store(spark, f"file://{tmp_path}/s", buckets=4)
+    rows = {(i, f"s{i % 40}"): [rnd.gauss(8 * (i % 5), 1) for _ in range(4)] for i in range(400)}
+    frame = lambda some: spark.createDataFrame([(*k, v, "m") for k, v in some.items()], "chunk_id long, session_id string, embedding array<float>, model_id string")
+    tables.write("chunk_vectors", frame(rows))
+    tables.commit(lambda run: run.index_vectors("m", 20))
+
+    def check(share):
+        query = list(rows[(7, "s7")])
+        found, counts = tables.begin().nearest("m", query, 15)
+        assert [tuple(r) for r in found.collect()] == [tuple(r) for r in search.nearest(tables.read("chunk_vectors"), query, 15).collect()]
+        assert counts["read"] <= share * 20
+
+    check(0.7)
+    touched = tables.begin().buckets_of("chunk_vectors", frame({(0, "s7"): [0.0] * 4}))
+    moved = {k: [x + 0.01 for x in v] if k[1] == "s7" else v for k, v in rows.items()}
+    rows.update(moved)
+    tables.commit(lambda run: run.replace("chunk_vectors", frame(rows).where(run.bucket("chunk_vectors").isin(touched)), touched))
+    check(0.9)
+    tables.write("chunk_vectors", frame(rows))  # all of it: no bucket is in the cells any more
+    check(0)
+
+
 def test_blocks_skip_ranges(spark):
     """A word that a few short chunks hold often: most ranges that hold it cannot reach the best hits."""
     rnd = random.Random(6)

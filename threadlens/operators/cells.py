@@ -33,6 +33,8 @@ class Cells:
     centres: np.ndarray
     radii: np.ndarray
     sizes: np.ndarray
+    #: (cell, chunk_id, to_centre, v, kept columns) as they were placed.
+    placed: DataFrame | None = None
 
     @property
     def parts(self) -> np.ndarray:
@@ -45,9 +47,9 @@ def _distances(m: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
-def build(spark: SparkSession, vectors: DataFrame, cells: int | None = None, seed: int = 1) -> Cells:
-    """Cells of (chunk_id, embedding); about the square root of the rows, if not given. Null vectors are left out."""
-    rows = vectors.where("embedding is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("v"))
+def build(spark: SparkSession, vectors: DataFrame, cells: int | None = None, seed: int = 1, keep: str = "") -> Cells:
+    """Cells of (chunk_id, embedding), and a whole-number column to keep; about the square root of the rows, if not given. Null vectors are left out."""
+    rows = vectors.where("embedding is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("v"), *([F.col(keep).cast("int")] if keep else []))
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(FIT_ROWS).select(array_to_vector("v").alias("features"))
     wanted = min(cells or max(1, round(n**0.5)), MOST_CELLS, max(n, 1))
@@ -65,11 +67,15 @@ def build(spark: SparkSession, vectors: DataFrame, cells: int | None = None, see
                 far.append(float(d.min()))
             yield f.assign(cell=cell, to_centre=far)
 
-    placed = written(rows.mapInPandas(assign, "chunk_id long, v array<double>, cell int, to_centre double"), "cells")
+    return of_placed(written(rows.mapInPandas(assign, "chunk_id long, v array<double>, " + f"{keep} int, " * bool(keep) + "cell int, to_centre double"), "cells"), centres)
+
+
+def of_placed(placed: DataFrame, centres: np.ndarray) -> Cells:
+    """Cells of rows that have theirs: radii and sizes are those of the rows given."""
     found = {r.cell: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("to_centre").alias("radius")).collect()}  # a row a cell
     sizes = np.array([found[c].n if c in found else 0 for c in range(len(centres))], np.int64)
     radii = np.array([found[c].radius if c in found else 0.0 for c in range(len(centres))])
-    out = Cells(placed, centres, radii, sizes)
+    out = Cells(placed, centres, radii, sizes, placed)
     parts = F.element_at(F.lit(np.maximum(out.parts, 1).tolist()), F.col("cell") + 1)
     out.members = placed.select("cell", F.pmod(F.xxhash64("chunk_id"), parts).cast("int").alias("part"), "chunk_id", "to_centre", "v")
     return out

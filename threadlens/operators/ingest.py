@@ -12,7 +12,7 @@ from ..functions.models import Embedder, embed_table
 from ..schemas import PROVIDER_A, PROVIDER_B
 from ..sources import transcripts
 from ..sources.state import written
-from . import blocks, enrich, listings, projection, store, usage
+from . import blocks, enrich, listings, projection, search, store, usage
 
 
 @dataclass(frozen=True)
@@ -164,3 +164,15 @@ def lexical(spark: SparkSession, base: str, query: str, k: int = 50, include_com
     run = store.Store(spark, base).begin()
     chunks, sessions = run.read("chunks").withColumnRenamed("id", "chunk_id"), run.read("sessions").withColumnRenamed("id", "session_id")
     return blocks.lexical(*run.postings(), chunks, sessions, query, k, include_completed)[0]
+
+
+def hybrid(spark: SparkSession, base: str, query: str, embedder: Embedder | None = None, query_vector: list[float] | None = None, model_id: str | None = None, pool: int = 50, include_completed: bool = False, **more) -> DataFrame:
+    """search.hybrid_search() over a store, from its term blocks and vector cells: texts are read for the hits only."""
+    run = store.Store(spark, base).begin()
+    chunks, sessions = run.read("chunks").withColumnRenamed("id", "chunk_id"), run.read("sessions").withColumnRenamed("id", "session_id")
+    if query_vector is None and embedder is not None:
+        query_vector, model_id = [float(x) for x in embedder.embed([query], "query")[0]], embedder.model_id
+    fts, vec = blocks.lexical(*run.postings(), chunks, sessions, query, pool, include_completed)[0], None
+    if query_vector is not None and model_id is not None:
+        vec = search.semantic(None, chunks, sessions, query_vector, pool, include_completed, run.nearest(model_id, query_vector, pool)[0])
+    return search.hybrid_search(chunks, sessions, query, include_completed=include_completed, pool=pool, fts=fts, vec=vec, **more)

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import display_title, duration_label, project_key, short_cwd, stats_blurb, status_icon
+from ..functions.scalars import display_title, duration_label, normal_remote, project_key, short_cwd, stats_blurb, status_icon
 
 
 def active_at() -> Column:
@@ -114,3 +114,26 @@ def active_without_summary(sessions: DataFrame) -> DataFrame:
 
 def any_summary(sessions: DataFrame) -> bool:
     return not sessions.where("summary_short is not null").limit(1).isEmpty()
+
+
+def recipe_overview(recipes: DataFrame, sessions: DataFrame, judged: DataFrame, now: datetime) -> DataFrame:
+    """The recipes with the number of sessions they have judged and of candidates they have not."""
+    count = lambda rows, name: rows.groupBy("recipe_id").agg(F.count(F.lit(1)).alias(name))
+    rows = recipes.join(count(judged, "judged"), "recipe_id", "left").join(count(triage_candidates(sessions, recipes, judged, now), "candidates"), "recipe_id", "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("judged", "candidates")})
+
+
+def index_coverage(chunks: DataFrame, vectors: DataFrame, model_id: str) -> DataFrame:
+    """Per session its chunks, those with a vector of the model, and whether that is all."""
+    mine = vectors.where(F.col("model_id") == model_id).select("chunk_id", F.lit(True).alias("has"))
+    rows = chunks.where("session_id is not null").select("chunk_id", "session_id").join(mine, "chunk_id", "left")
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("has").alias("embedded")).withColumn("complete", F.col("chunks") == F.col("embedded"))
+
+
+def repo_identity(sessions: DataFrame, lookups: DataFrame) -> DataFrame:
+    """Sessions with the repository they worked in: the normalised remote of their folder, else the root of its work tree, else null.
+
+    lookups (cwd, remote, top_level): what a host has found out about folders, a row a folder."""
+    told = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    found = lookups.select("cwd", F.coalesce(normal_remote(told("remote")), told("top_level")).alias("repo"))
+    return sessions.join(found, "cwd", "left")

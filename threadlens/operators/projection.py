@@ -194,11 +194,14 @@ def _named_at(words: Column, i: Column) -> Column:
     # What follows "git worktree add": options, a folder, a branch; or "-b branch" before the command ends.
     rest = F.slice(words, i + 4, F.size(words))
     options = F.aggregate(rest, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, w: F.struct((s["n"] + F.when(s["on"] & w.startswith("-"), 1).otherwise(0)).alias("n"), (s["on"] & w.startswith("-")).alias("on")), lambda s: s["n"])
+    # Where the words run out, an option counts as the folder.
+    tried = F.transform(F.sequence(options, F.lit(0)), lambda o: _name(F.get(rest, o + 1)))
+    added = F.coalesce(F.get(F.filter(tried, lambda n: n != ""), 0), F.lit(""))
     new = F.array_position(rest, "-b").cast("int")
     same = ~F.exists(F.slice(rest, 1, F.greatest(new - 1, F.lit(0))), lambda w: w.rlike("[|;&]"))
     upstream = word(2).isin("-u", "--set-upstream") & (word(3) == "origin")
     found = [
-        case(runs("git", "worktree", "add"), 0, _name(F.get(rest, options + 1))), case(runs("git", "worktree", "add") & (new > 0) & same, 1, _name(F.get(rest, new))),
+        case(runs("git", "worktree", "add"), 0, added), case(runs("git", "worktree", "add") & (new > 0) & same, 1, _name(F.get(rest, new))),
         case(runs("git", "checkout", "-b"), 2, _name(word(3))), case(runs("git", "switch", "-c"), 3, _name(word(3))), case(runs("git", "switch"), 4, _name(word(2))),
         case(runs("git", "checkout"), 5, _name(word(2))), case(runs("git", "push") & upstream, 6, _name(word(4))), case(runs("gh", "pr", "checkout"), 7, F.regexp_extract(word(3), r"^(\S*\w)", 1)),
     ]

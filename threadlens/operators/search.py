@@ -142,9 +142,11 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 50) -> DataFrame:
     return vectors.select("chunk_id", F.round(distance(F.col("embedding"), query), 9).alias("dist")).orderBy("dist", "chunk_id").limit(k)
 
 
-def semantic(vectors: DataFrame, chunks: DataFrame, sessions: DataFrame, query: list[float], k: int = 50, include_completed: bool = False) -> DataFrame:
-    """(chunk_id, dist, vec_rank): the status filter comes after the limit, so fewer than k may remain; ranks are dense again."""
-    near = chunks.select("chunk_id", "session_id").join(F.broadcast(nearest(vectors, query, k)), "chunk_id")  # k rows
+def semantic(vectors: DataFrame | None, chunks: DataFrame, sessions: DataFrame, query: list[float], k: int = 50, include_completed: bool = False, found: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, dist, vec_rank): the status filter comes after the limit, so fewer than k may remain; ranks are dense again.
+
+    found: the k nearest (chunk_id, dist), where an index has them."""
+    near = chunks.select("chunk_id", "session_id").join(F.broadcast(nearest(vectors, query, k) if found is None else found), "chunk_id")  # k rows
     left = near.join(active(sessions, include_completed).select("session_id"), "session_id", "left_semi")
     return left.select("chunk_id", "dist", (F.row_number().over(Window.orderBy("dist", "chunk_id")) - 1).alias("vec_rank"))  # at most k rows
 
@@ -163,16 +165,19 @@ def _best(fused: DataFrame) -> list[Column]:
 def hybrid_search(
     chunks: DataFrame, sessions: DataFrame, query: str, vectors: DataFrame | None = None, embedder: Embedder | None = None, query_vector: list[float] | None = None, limit: int = 5,
     include_completed: bool = False, reranker: Callable[[], Reranker] | None = None, pool: int = 50, max_per_session: int = 1, dedup_before_cut: bool = False, scores: DataFrame | None = None,
+    fts: DataFrame | None = None, vec: DataFrame | None = None,
 ) -> DataFrame:
     """Hits in order: pos, chunk_id, session_id, fused, bm25, dist, score, matched, snippet and the session's columns.
 
     Without a reranker the fused list is cut to `limit` before the per-session dedup, so results can be short; with
-    dedup_before_cut the pool is deduplicated instead.
+    dedup_before_cut the pool is deduplicated instead. fts and vec are the ranks of lexical() and semantic(), where indexes have given them.
     """
     if query_vector is None and embedder is not None and vectors is not None:
         query_vector = np.asarray(embedder.embed([query], "query")[0], float).tolist()
-    fts = lexical(chunks, sessions, query, pool, include_completed, scores)
-    if vectors is not None and query_vector is not None:
+    fts = lexical(chunks, sessions, query, pool, include_completed, scores) if fts is None else fts
+    if vec is not None:
+        pass
+    elif vectors is not None and query_vector is not None:
         vec = semantic(vectors, chunks, sessions, query_vector, pool, include_completed)
     else:
         vec = fts.select("chunk_id", F.lit(0.0).alias("dist"), F.lit(0).alias("vec_rank")).where(F.lit(False))

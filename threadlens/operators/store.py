@@ -16,13 +16,14 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
+import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import truncate
 from ..schemas import BUCKET_KEYS, KEYS, PROVIDER_A, SEGMENTS, TABLES
-from . import blocks
+from . import blocks, cells, search
 from .usage import session_cost
 
 
@@ -162,7 +163,7 @@ class Store:
 def files_of(manifest: dict) -> set[str]:
     """Every folder that a manifest names, as data/table/run[/bucket=k]."""
     tables = {f for t in manifest["tables"].values() for f in t.values()}
-    return tables | {s[k] for s in manifest["segments"] for k in ("blocks", "lengths")} | {d["path"] for d in manifest["dead"]}
+    return tables | {s[k] for s in manifest["segments"] for k in ("blocks", "lengths")} | {d["path"] for d in [*manifest["dead"], *manifest.get("cells", {}).values()]}
 
 
 class Transaction:
@@ -179,6 +180,7 @@ class Transaction:
         self.segments: list[dict] = []
         self.merged: list[str] = []
         self.dead: dict | None = None
+        self.cells: dict[str, dict] = {}
 
     def bucket(self, table: str, key: str | None = None) -> Column:
         return F.pmod(F.xxhash64(F.col(key or BUCKET_KEYS[table]).cast("string")), F.lit(self.buckets)).cast("int")
@@ -241,6 +243,33 @@ class Transaction:
         alive = F.col("died").isNull() | (F.col("seq") >= F.col("died"))
         return blocks.without(found, died), lengths.join(died, "chunk_id", "left").where(alive).select("chunk_id", "len")
 
+    def index_vectors(self, model_id: str, count: int | None = None) -> None:
+        """Cells over the vectors of a model. Buckets that are written later are not in them until they are made anew."""
+        folders = self._folders("chunk_vectors")
+        vectors = self.read("chunk_vectors").where(F.col("model_id") == model_id).withColumn("bucket", self.bucket("chunk_vectors"))
+        made, path = cells.build(self.spark, vectors, count, keep="bucket"), f"data/cells/{self.run}"
+        if made.placed is not None:
+            made.placed.write.parquet(f"{self.base}/{path}/members")
+            self.spark.createDataFrame([(c, v.tolist()) for c, v in enumerate(made.centres)], "cell int, v array<double>").write.parquet(f"{self.base}/{path}/centres")
+            self.cells[model_id] = {"path": path, "of": dict(folders)}
+
+    def nearest(self, model_id: str, query: list[float], k: int = 50) -> tuple[DataFrame, dict[str, int]]:
+        """(chunk_id, dist) of the k nearest vectors of a model, and the pairs of a query and a cell read: from its cells, and for
+        buckets written since, from their vectors."""
+        index, folders = self.seen.get("cells", {}).get(model_id), self._folders("chunk_vectors")
+        same = sorted(int(b) for b, f in folders.items() if index and index["of"].get(b) == f)
+        late = [int(b) for b in folders if int(b) not in same]
+        mine = F.col("model_id") == model_id
+        found, counts = search.nearest(self.read("chunk_vectors", late).where(mine), query, k), {"pairs": 0, "read": 0}
+        if same:
+            placed = self.spark.read.schema("chunk_id long, v array<double>, bucket int, cell int, to_centre double").parquet(f"{self.base}/{index['path']}/members")
+            centres = self.spark.read.schema("cell int, v array<double>").parquet(f"{self.base}/{index['path']}/centres").orderBy("cell").collect()  # cells.MOST_CELLS rows
+            alive = placed if len(same) == len(index["of"]) else placed.where(F.col("bucket").isin(same))
+            asked = self.spark.createDataFrame([(0, [float(x) for x in query])], "query_id long, embedding array<double>")
+            near, counts = cells.nearest(self.spark, cells.of_placed(alive, np.array([r.v for r in centres])), asked, k)
+            found = found.unionByName(near.select("chunk_id", "dist")).orderBy("dist", "chunk_id").limit(k)
+        return found, counts
+
     def _write_segment(self, made: DataFrame, lengths: DataFrame, seq: int) -> dict:
         folder = f"{self.run}-{uuid.uuid4().hex[:8]}"
         paths = {"blocks": f"data/blocks/{folder}", "lengths": f"data/lengths/{folder}"}
@@ -289,7 +318,7 @@ class Transaction:
         # Ids of replaced chunks are needed while there are segments older than they.
         dead = [d for d in onto["dead"] + ([self.dead] if self.dead else []) if any(s["seq"] < d["seq"] for s in segments)]
         sequence = onto["sequence"] + 1 if self.segments or self.dead or self.merged else onto["sequence"]
-        return {"version": self.store.VERSION, "number": onto["number"] + 1, "buckets": self.buckets, "tables": tables, "segments": segments, "dead": dead, "sequence": sequence}
+        return {"version": self.store.VERSION, "number": onto["number"] + 1, "buckets": self.buckets, "tables": tables, "segments": segments, "dead": dead, "sequence": sequence, "cells": onto.get("cells", {}) | self.cells}
 
     def _unchanged(self, now: dict) -> bool:
         """Whether what this run read or replaces is in `now` what it was."""

@@ -140,7 +140,17 @@ def range_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recipe_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.recipes_table(spark, [enrich.parse_recipe(t) for _, t in sorted(enrich.BUILT_IN.items())])
+    """The recipes, and how many sessions each has judged and would judge."""
+    s = views.sessions(spark, sf_dir)
+    recipes = enrich.recipes_table(spark, [enrich.parse_recipe(t) for _, t in sorted(enrich.BUILT_IN.items())])
+    judged = s.where(F.col("id").cast("long") % 6 == 2).select(F.col("id").alias("session_id"), F.lit("merged").alias("recipe_id"))
+    return listings.recipe_overview(recipes, s, judged, NOW).select("recipe_id", "name", "mode", "model", "judged", "candidates")
+
+
+def index_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per session its chunks, those that are embedded, and whether a refresh has something to embed."""
+    chunks, _, vectors = views.corpus(spark, sf_dir)
+    return listings.index_coverage(chunks, vectors, "given").select("session_id", "chunks", "embedded", "complete")
 
 
 def _first_line(prompt: str) -> str:
@@ -240,7 +250,10 @@ select seq, 'object' as kind, k % 3 = 1 as returned from own union all select se
 select 'given' as model_id, count(*) as vectors, sum(vec_id)::bigint as ids from embeddings where vec_id not in (select chunk_id from new) union all select 'again', count(*), sum(chunk_id)::bigint from new""",
     "index_flags": f"with {views.SESSIONS} select true as given, false as other, (select count(*) > 0 from v_sessions where summary_short is not null) as summaries",
     "range_counts": f"with {views.SESSIONS} select " + ", ".join(f"count(*) filter (last_active_at between {a} and {b}) as r{i}" for i, (a, b) in enumerate(_SPANS)) + " from v_sessions",
-    "recipe_list": "select * from (values ('merged', 'Is the branch merged?', 'agent', ''), ('resolved', 'Is the work finished?', 'transcript', '')) as t(recipe_id, name, mode, model)",
+    "recipe_list": f"""with {views.SESSIONS}, r as (select * from (values ('merged', 'Is the branch merged?', 'agent', ''), ('resolved', 'Is the work finished?', 'transcript', '')) as t(recipe_id, name, mode, model))
+select recipe_id, name, mode, model, count(*) filter (recipe_id = 'merged' and n % 6 = 2) as judged, count(*) filter (status = 'active' and not (recipe_id = 'merged' and n % 6 = 2)) as candidates from r, v_sessions group by all""",
+    "index_coverage": f"""with {views.CORPUS}, c as (select session_id, count(*) as chunks, count(v.chunk_id) as embedded from c_chunks c left join c_vectors v using (chunk_id) where session_id is not null group by session_id)
+select *, chunks = embedded as complete from c""",
     "classified": f"""with {views.SESSIONS} select id as session_id, 'resolved' as recipe_id, 'resolved' as status, 'Session ' || id || ' in ' || cwd || ' on ' || coalesce(git_branch, '') || ', ' || turn_count || ' turns.' as evidence,
   case when status_source = 'manual' then status else 'completed' end as now from v_sessions""",
     "summarised": f"with {views.SESSIONS} select id, 'Summarise session ' || id || ' (' || turn_count || ' turns in ' || cwd || ').' as summary_title, 's' as summary_short, 'echo' as summary_model, turn_count as summary_turn_count, {NOW_S} as summary_at from v_sessions",
@@ -253,7 +266,7 @@ select 'Activity from then to now.' || chr(10) || chr(10) || 'Summaries of the s
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        transcript_events, ingest_outcome, ingest_sessions, ingest_usage, next_files, export_markdown, source_lines, source_paths, vector_upsert, index_flags, range_counts, recipe_list, classified, summarised,
+        transcript_events, ingest_outcome, ingest_sessions, ingest_usage, next_files, export_markdown, source_lines, source_paths, vector_upsert, index_flags, index_coverage, range_counts, recipe_list, classified, summarised,
         synthesis, porcelain_lines, session_files,
     )
     return {f.__name__: f for f in every}

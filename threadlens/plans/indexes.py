@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, cells, store
+from ..operators import blocks, cells, ingest, store
 from ..sources.state import shared_dir, written
 from . import views
-from .queries import BM25, POOL, QUERY, long
+from .queries import SQL as PLAIN_SQL
+from .queries import BM25, POOL, QUERY, _query_vector, long
 
 
 def _store(spark: SparkSession, buckets: int = 8) -> store.Store:
@@ -70,9 +71,30 @@ def store_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
+def hybrid_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hybrid_search over a store: documents in two commits, vectors indexed between them, so that half of the vectors come from cells."""
+    chunks, sessions, vectors = views.corpus(spark, sf_dir)
+    tables = _store(spark)
+    held = chunks.withColumnRenamed("chunk_id", "id")
+    of_session = vectors.join(chunks.select("chunk_id", "session_id"), "chunk_id", "left")
+
+    def add(run: store.Transaction, buckets: list[int]) -> None:
+        run.replace("chunks", held.where(run.bucket("chunks").isin(buckets)), buckets)
+        run.replace("chunk_vectors", of_session.where(run.bucket("chunk_vectors").isin(buckets)), buckets)
+        run.add_segment(held.where(run.bucket("chunks").isin(buckets)), held.where("id is null").select(F.col("id").alias("chunk_id")))
+
+    tables.commit(lambda run: run.replace("sessions", sessions.withColumnRenamed("session_id", "id")))
+    tables.commit(lambda run: add(run, [0, 1, 2, 3]))
+    tables.commit(lambda run: run.index_vectors("given"))
+    tables.commit(lambda run: add(run, [4, 5, 6, 7]))
+    hits = ingest.hybrid(spark, tables.base, QUERY, query_vector=_query_vector(vectors), model_id="given", pool=POOL, limit=10, max_per_session=2, dedup_before_cut=True)
+    return hits.select(long("pos"), "chunk_id", "session_id", F.round("fused", 9).alias("fused"), F.round("bm25", 6).alias("bm25"), F.round("dist", 6).alias("dist"), long("matched"))
+
+
 _CHANGED = "select doc_id as chunk_id, source as session_id, case when doc_id % 10 = 0 then 'worthless token ' || coalesce(text, '') else text end as text from documents where doc_id % 100 <> 7"
 SQL = {
-    "bm25_topk_blocks": f"with {BM25} select chunk_id, session_id, round(bm25, 6) as bm25, fts_rank from b_ranked",
+    "bm25_topk_blocks": PLAIN_SQL["bm25_topk"],
+    "hybrid_store": PLAIN_SQL["hybrid_search"],
     "knn_cells": """with d as (select q.vec_id as query_id, v.vec_id as chunk_id, round(list_distance(v.embedding::double[], q.embedding::double[]), 9) as dist from embeddings v, embeddings q where q.vec_id % 100 = 0 and v.embedding is not null),
 r as (select *, row_number() over (partition by query_id order by dist, chunk_id) - 1 as rank from d) select query_id, chunk_id, round(dist, 6) as dist, rank from r where rank < 10""",
     "store_commits": f"""with {views.SESSIONS} select id, cwd, case when n % 10 = 3 then turn_count + 1 else turn_count end as turn_count, case when n % 10 = 3 then 'last' else last_user_text end as last_user_text, status,
@@ -82,4 +104,4 @@ r as (select *, row_number() over (partition by query_id order by dist, chunk_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (bm25_topk_blocks, knn_cells, store_commits, store_segments)}
+    return {f.__name__: f for f in (bm25_topk_blocks, knn_cells, store_commits, store_segments, hybrid_store)}

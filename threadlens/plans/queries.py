@@ -257,11 +257,22 @@ def export_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.json_document(views.sessions(spark, sf_dir), _chunks(spark, sf_dir))
+    """Of each document, its session as text and the number of its chunks."""
+    got = export.json_document(views.sessions(spark, sf_dir), _chunks(spark, sf_dir))
+    return got.select("session_id", F.get_json_object("document", "$.session").alias("session"), long(F.json_array_length(F.get_json_object("document", "$.chunks")), "chunks"))
+
+
+#: Ways of naming a branch NEW, and commands that name none.
+BRANCH_COMMANDS = (
+    "git worktree add ../p NEW", "git worktree add --force NEW", "cd x; git  worktree add -b NEW ../p", "git checkout -b NEW && git push -u origin KIND", "(git switch -c NEW)", "git switch NEW; git checkout main",
+    "git checkout NEW | git checkout \"q\"", "git push --set-upstream origin NEW", "gh pr checkout NEW", "git checkout deadbeef; git checkout a/b.txt; git checkout origin/x; legit checkout y",
+)
 
 
 def branch_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    command = F.concat(F.lit("git checkout -b f"), F.col("event_id").cast("string"), F.lit(" && git push -u origin "), F.col("event_type"), F.lit(" ; git switch main"))
+    n, new = F.col("event_id"), F.concat(F.lit("n"), F.col("event_id").cast("string"))
+    command = F.element_at(F.lit(list(BRANCH_COMMANDS)), (n % len(BRANCH_COMMANDS) + 1).cast("int"))
+    command = F.replace(F.replace(command, F.lit("NEW"), new), F.lit("KIND"), F.col("event_type"))
     return views.table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_distinct(projection.branches_in(command)), ",").alias("branches"))
 
 
@@ -477,7 +488,10 @@ select coalesce(f.id, s.id) as id, coalesce(f.cwd, s.cwd) as cwd, coalesce(s.fir
     "incremental_skip": """with files as (select '/p/' || (conv_id % 4) || '/' || conv_id || '.jsonl' as path, sum(length(text))::bigint as size, max(1704067200 + 60 * (97 * conv_id + 7 * turn)) as mtime from conversations group by conv_id)
 select path, size from files where size % 3 = 0 or mtime % 4 = 1""",
     "export_prose": f"""with recursive {_SMALL_CHUNKS} select session_id, string_agg('--- chunk seq ' || start_seq || '..' || end_seq || ' ---' || chr(10) || text || chr(10) || chr(10), '' order by start_seq) as document from v_chunks group by session_id""",
-    "branch_names": "select event_id, 'f' || event_id || ',' || event_type as branches from events",
+    "export_json": f"""with recursive {_SESSIONS_CHUNKS}, stamped as (select *, strftime(make_timestamp(started_at * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') as a, strftime(make_timestamp(ended_at * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') as b from v_sessions)
+select id as session_id, {{'id': id, 'project_path': project_path, 'cwd': cwd, 'git_branch': git_branch, 'started_at': a, 'ended_at': b, 'message_count': message_count, 'turn_count': turn_count, 'status': status,
+  'first_user_text': first_user_text, 'last_user_text': last_user_text}}::json::varchar as session, coalesce((select count(*) from v_chunks c where c.session_id = s.id), 0) as chunks from stamped s""",
+    "branch_names": "select event_id, case event_id % 10 when 9 then '' when 3 then 'n' || event_id || ',' || event_type else 'n' || event_id end as branches from events",
     "remote_names": "select c_custkey, 'host.org/' || lower(c_mktsegment) as remote from customer",
     "stream_events_tumbling": "select cast(floor(epoch(ts) / 86400) * 86400 as bigint) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2",
     "stream_events_sliding": "with w as (select cast(floor(epoch(ts) / 86400) * 86400 as bigint) as day, event_type from events), b as (select day as start, event_type from w union all select day - 86400, event_type from w) select start, event_type, count(*) as n from b group by 1, 2",
