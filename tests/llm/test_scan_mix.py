@@ -48,8 +48,8 @@ def test_pii_base(spark, tmp_path):
     for where in (str(d), SF):
         docs = {r.doc_id: r.text for r in spark.read.parquet(f"{where}/documents.parquet").collect()}
         for r in op3_pii_scan(spark, where).collect():
-            if len(docs[r.doc_id] or "") > 50000:
-                continue  # the plain pattern takes quadratic time there
+            if where != SF and len(docs[r.doc_id] or "") > 50000:
+                continue  # one word that the plain pattern takes quadratic time for
             want = brute_pii(docs[r.doc_id])
             text = ",".join(f"{n}:{a}:{b}" for a, _, n, b in want)
             assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest(), docs[r.doc_id][:200]
@@ -93,6 +93,58 @@ def test_pii_any_ending_and_any_octet():
         pii.find(long)
 
 
+def test_pii_grammar_of_separators():
+    long = "a" * 70
+    cases = ["alice @ example . com", "alice@ example.com", "alice -at- example -dot- com", "alice_at_example_dot_com", "alice    at    example dot com", f"alice at {long}.com", f"alice at {long} dot zz", "alice&#64;example.com", "alice%40example.com",
+             "alice&commat;mail&period;example&#x2E;org", "𝐚lice@example.com", "ⓐlice@𝔼xample.com", "alice (  at  ) mail . example . org", "al.ice @ mail . example.co . uk", "alice at example.it", "alice     [dot]   b   [at]   example   [dot]   ca"]
+    for part in cases:
+        found = [(k, text[a:b], base) for text in (f"write to {part}, or not",) for a, b, k, base in pii.find(text)]
+        assert [f[:2] for f in found if not f[2]] == [("email", part)], (part, found)
+    for clean in ("arrive at station.we left", "look at example.com", "arrive at station.it was late", "see look_at_file.py there", "meet @ noon . Then go", "polka-dot-dress", "we looked at mail.example.org then", "a_dot_b", "sold at 3.50 each"):
+        assert pii.find(clean) == [], clean
+    assert [text[a:b] for text in ("bob@site.com . Next one",) for a, b, *_ in pii.find(text)] == ["bob@site.com"]
+    for hard in (" " * 200_000, "a" + " " * 200_000 + "at", "( " * 100_000, "-at" * 70_000, "a-dot" * 50_000, "@ " * 100_000, "a @ b . " * 30_000, "at " * 70_000, "a at a.a.a.a.a.a " * 9000, "&#0000" * 40_000, "a" * 200_000 + " at " + "b" * 200_000):
+        pii.find(hard)
+
+
+def test_pii_planted_disguises_are_found():
+    """Recall and exact offsets of what a generator hides in prose; the prose alone gives nothing."""
+    rnd, hit, total = random.Random(20), 0, 0
+    lines = ["we met at noon by the old house", "there is one dot on the map", "two people left at five", "look at the dot there", "call me before you go", "the shop at the corner sold nine of ten", "a plus for all of us", "ask them twice"]
+    look = {v: k for k, vs in pii.LOOK_ALIKE.items() for v in vs if k.isalpha()}
+    alike = {}
+    for v, k in look.items():
+        alike.setdefault(k, []).append(v)
+    blank = lambda: " " * rnd.choice((1, 1, 2, 5, 9))
+    spelled = lambda d: pii.SPELLED[int(d)]
+    prose = lambda: ", ".join(rnd.choice(lines) for _ in range(rnd.randrange(1, 4))) + ":"
+    name = lambda: "".join(rnd.choice("bcdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(rnd.randrange(2, 5)))
+    forms = [lambda t: f"{blank()}[{t}]{blank()}", lambda t: f"({t})", lambda t: f"{blank()}{t}{blank()}", lambda t: f"_{t}_", lambda t: f"{blank()}-{t}-{blank()}", lambda t: "&#64;" if t == "at" else "&#46;"]
+    for _ in range(1200):
+        kind = rnd.choice(("email", "email", "ip", "phone", "fold"))
+        if kind == "email":
+            form = rnd.choice(forms)
+            secret = name() + form("at") + form("dot").join([name(), rnd.choice(("com", "org", "dev", "fr", "museum"))])
+        elif kind == "ip":
+            parts = [str(rnd.randrange(256)) for _ in range(4)]
+            secret = rnd.choice(forms[:4])("dot").join(parts)
+        elif kind == "phone":
+            digits = "1" + "".join(rnd.choice("0123456789") for _ in range(10))
+            secret = rnd.choice(("plus ", "+")) + " ".join(spelled(d) if rnd.random() < 0.5 else d for d in digits)
+        else:
+            kind, plain = "email", f"{name()}@{name()}.com"
+            secret = "".join(rnd.choice(alike[c]) if c in alike and rnd.random() < 0.4 else c for c in plain)
+            if secret == plain:
+                continue
+        before, after = prose(), prose()
+        text = f"{before} {secret}, {after}"
+        want = (len(before) + 1, len(before) + 1 + len(secret), kind)
+        total += 1
+        hit += want in [(a, b, k) for a, b, k, _ in pii.find(text)]
+        assert pii.find(before) == pii.find(after) == []
+    assert hit >= 0.97 * total, (hit, total)
+
+
 def test_urls(spark, tmp_path):
     rows = [None, "", "no scheme", "http://A.Example.com/en/x?y#z", "https://www.example.com/en/1", "http://x.net/es/", "http://net/fr/a", "http://knet/fr/", "http://com",
             "http://b.com/?q", "ftp://h.org", "://x.com/a://y.net/es/", "http://h.org/a\nb"]

@@ -1,8 +1,9 @@
 """Personal data with offset-preserving deobfuscation (operator 3).
 
-Base spans come from the text as it is. Then a chain of transducers rewrites a copy: homoglyphs and foreign digits fold
-one to one, zero-width characters vanish, disguised "at" and "dot" become their signs, and spelled digits beside others
-become digits. Every rewrite records where its output came from, identifiers are detected in the normalised copy, and
+Base spans come from the text as it is. Then a chain of transducers rewrites a copy: homoglyphs, forms of letters and foreign
+digits fold one to one, zero-width characters vanish, disguised "at" and "dot" become their signs (in brackets, between
+blanks, hyphens or underscores, as codes of HTML and URLs), blanks round the points of a host close up, and spelled digits
+beside others become digits. A sign that may be plain prose (" at ", " @ ", "_at_") counts before a spelled point or a known ending. Every rewrite records where its output came from, identifiers are detected in the normalised copy, and
 their spans are mapped back to source characters. A mapped span is added unless it lies within a base span of its kind.
 
 Cases: null text is empty; scanning is linear in the text, however long; ties and repeated rows are scanned row by
@@ -83,18 +84,40 @@ ZERO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 SPELLED = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 
 
+#: Kinds of compatibility decomposition that keep a letter's looks: mathematical, wide, narrow and circled forms.
+_FORMS = ("<font>", "<wide>", "<narrow>", "<circle>")
+
+
 def _fold_table() -> dict[int, str]:
-    table = {0xFF01 + i: chr(0x21 + i) for i in range(94)} | {ord(c): latin for latin, others in LOOK_ALIKE.items() for c in others}
-    return table | {c: str(unicodedata.digit(chr(c))) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"}
+    """One character for one: look-alikes, forms that decompose into one ASCII character, and digits of all scripts."""
+    table = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and parts[0] in _FORMS and 0x21 <= int(parts[1], 16) < 0x7F:
+            table[ord(c)] = chr(int(parts[1], 16))
+        elif unicodedata.category(c) == "Nd":
+            table[ord(c)] = str(unicodedata.digit(c))
+    return table | {ord(c): latin for latin, others in LOOK_ALIKE.items() for c in others}
 
 
 _FOLD = _fold_table()
-_OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-_DOT = rf"{_OPEN}(?:dot|\.){_CLOSE}|(?<=[a-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[a-z0-9])"
+# Separators are a grammar: in brackets, between blanks of any number, between hyphens or underscores, or as a code of HTML or URLs.
+_OPEN, _CLOSE = r"(?<!\s)\s*+[\[({<]\s*+", r"\s*+[\])}>]\s*+"
+_DASHED = r"(?<=[a-z0-9])\s*+[-_]++{}[-_]++\s*+(?=[a-z0-9])"
+_DOT = rf"{_OPEN}(?:dot|\.){_CLOSE}|(?<=[a-z0-9])\s++dot\s++(?=[a-z0-9])|{_DASHED.format('dot')}|&#0{{0,5}}46;|&#x0{{0,5}}2e;|&period;|%2e"
+# Endings of hosts, those that are no English words and those that are.
+_ENDING = r"(?:com|org|net|edu|gov|mil|info|biz|name|io|co|ai|app|dev|tv|xyz|online|site|test|example|museum|uk|de|fr|es|nl|ch|pt|pl|se|dk|fi|ie|gr|cz|ru|ua|tr|ca|mx|br|ar|cl|au|nz|jp|kr|cn|za|il|eu)(?![a-z0-9-])"
+_WORD_ENDING = r"(?:at|in|is|me|no|be|it|us|to|so|am|as)(?![a-z0-9-]|\s++[a-z])"
 # After a plain "at" these words make "dot" a noun ("at the dot there"), unless a common ending follows.
-_NOUN = r"(?:the|an?|this|that|each|every|my|your|his|her|its|our|their)\s{1,3}dot\s{1,3}(?!(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu)\b)"
-# A plain "at" before a number with one or two points ("at 3.50") leads to no host.
-_AT = rf"{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?!{_NOUN}|[0-9]++(?:\.[0-9]++){{1,2}}(?!\.?[a-z0-9-]))(?=[a-z0-9-]{{1,63}}(?:\.|{_DOT}))"
+_NOUN = r"(?:the|an?|this|that|each|every|my|your|his|her|its|our|their)\s++dot\s++(?!(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu)\b)"
+# Words before a plain "at" that make it a place, not an address.
+PLACED = frozenset("""am and are arrive arrived arrives arriving available be been being built found hang held here hosted is it live lives look looked looking looks me meet meeting
+meets met not online only or page seen site sold stay stayed stop stopped there us was website were work worked works""".split())
+# A host after a doubtful sign: points in plain need a known ending, blanks round them or not; a spelled point leads to any label.
+_HOST = rf"(?:[a-z0-9-]{{1,255}}+\s*+\.\s*+){{1,6}}(?:{_ENDING}|{_WORD_ENDING})"
+_SURE = rf"{_OPEN}(?:at|@){_CLOSE}|&#0{{0,5}}64;|&#x0{{0,5}}40;|&commat;|%40"
+_DOUBTFUL = rf"(?:(?<=[a-z0-9])(?:\s++at\s++|\s++@\s*+|@\s++)|{_DASHED.format('at')})(?!{_NOUN})(?=[a-z0-9][a-z0-9-]{{0,254}}?(?:{_DOT})|{_HOST})"
+_AT = rf"{_SURE}|{_DOUBTFUL}"
 _DIGIT = "|".join(SPELLED)
 # Spelled digits and single numerals; a run without a spelled one stays as it is.
 _ONE = rf"(?:(?:{_DIGIT})\b|[0-9](?![0-9a-z]))"
@@ -103,12 +126,13 @@ _RUN = rf"(?<![0-9a-z_]){_ONE}(?:[\s-]{{1,3}}{_ONE})*+"
 _REWRITE = re.compile(rf"(?P<gone>[{ZERO_WIDTH}]+)|(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>\bplus\s{{1,3}}(?=(?:{_DIGIT}|[0-9]+)\b))|(?P<run>{_RUN})", re.I)
 _SPELLED = re.compile(_DIGIT, re.I)
 # What stands beside a run: digits by a gap, or by a point, plain or disguised, as between octets.
-_POINT = rf"(?:\.|{_OPEN}(?:dot|\.){_CLOSE}|\s{{1,3}}dot\s{{1,3}})"
+_POINT = r"(?:\.|\s{0,20}[\[({<]\s{0,20}(?:dot|\.)\s{0,20}[\])}>]\s{0,20}|\s{1,20}dot\s{1,20}|[-_]dot[-_])"
 _LEFT, _RIGHT = re.compile(r"[0-9][\s-]{1,3}\Z"), re.compile(r"[\s-]{1,3}[0-9]")
 _LEFT_POINT, _RIGHT_POINT = re.compile(rf"(?:[0-9]|\b(?:{_DIGIT})){_POINT}\Z", re.I), re.compile(rf"{_POINT}(?:[0-9]|(?:{_DIGIT})\b)", re.I)
 #: Characters before a run that decide: the longest disguised point and the longest spelled digit.
-_BEFORE, _OCTET = 24, 3
+_BEFORE, _OCTET = 100, 3
 _ONE_DIGIT = re.compile(rf"{_DIGIT}|[0-9]", re.I)
+_SPACED, _LABEL, _WORD = re.compile(_HOST, re.I), re.compile("[a-z0-9-]+", re.I), re.compile(r"[a-z]+\Z")
 
 
 class Mapped:
@@ -136,6 +160,10 @@ def normalise(text: str) -> Mapped | None:
     out, last, changed = Mapped(), 0, folded != text
     for m in _REWRITE.finditer(folded):
         start, end = m.span()
+        if start < last:  # within a host that has been put
+            continue
+        if m.lastgroup == "at" and m[0].strip().lower() == "at" and (word := _WORD.search(folded[max(0, start - 12) : start].lower())) and word[0] in PLACED:
+            continue
         out.put(folded[last:start], last, start)
         if m.lastgroup == "run":
             digits = list(_ONE_DIGIT.finditer(folded, start, end)) if _SPELLED.search(folded, start, end) else []
@@ -155,6 +183,10 @@ def normalise(text: str) -> Mapped | None:
                 changed = True
         elif m.lastgroup != "gone":
             out.put({"at": "@", "dot": ".", "plus": "+"}[m.lastgroup], start, end)
+            if m.lastgroup == "at" and (host := _SPACED.match(folded, end)):
+                for label in _LABEL.finditer(folded, end, host.end()):  # points close up with the blanks round them
+                    out.put("." if label.start() > end else "", end, label.start())
+                    out.put(label[0], label.start(), end := label.end())
         changed |= m.lastgroup != "run"
         last = end
     if not changed:
