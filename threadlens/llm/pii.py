@@ -113,8 +113,9 @@ _NOUN = r"(?:the|an?|this|that|each|every|my|your|his|her|its|our|their)\s++dot\
 # Words before a plain "at" that make it a place, not an address.
 PLACED = frozenset("""am and are arrive arrived arrives arriving available be been being built found hang held here hosted is it live lives look looked looking looks me meet meeting
 meets met not online only or page seen site sold stay stayed stop stopped there us was website were work worked works""".split())
-# A host after a doubtful sign: points in plain need a known ending, blanks round them or not; a spelled point leads to any label.
-_HOST = rf"(?:[a-z0-9-]{{1,255}}+\s*+\.\s*+){{1,6}}(?:{_ENDING}|{_WORD_ENDING})"
+# A host after a doubtful sign: points in plain need a known ending; a spelled point leads to any label. A blank after a point
+# needs one before it: a sentence ends without.
+_HOST = rf"(?:(?:[a-z0-9-]{{1,255}}+(?:\.|\s++\.\s*+)){{1,6}}{_ENDING}|(?:[a-z0-9-]{{1,255}}+\.){{1,6}}{_WORD_ENDING})"
 _SURE = rf"{_OPEN}(?:at|@){_CLOSE}|&#0{{0,5}}64;|&#x0{{0,5}}40;|&commat;|%40"
 _DOUBTFUL = rf"(?:(?<=[a-z0-9])(?:\s++at\s++|\s++@\s*+|@\s++)|{_DASHED.format('at')})(?!{_NOUN})(?=[a-z0-9][a-z0-9-]{{0,254}}?(?:{_DOT})|{_HOST})"
 _AT = rf"{_SURE}|{_DOUBTFUL}"
