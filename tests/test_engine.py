@@ -473,3 +473,27 @@ def test_utc_text(spark):
         assert [r[0] for r in df.select(scalars.utc_text("t")).collect()] == ["2024-01-01 00:00:00Z", ""]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_first_object_of_any_text(spark):
+    """Braces in strings, escapes and unclosed strings, against a reader of characters; long texts need no stack."""
+
+    def brute(text):
+        at = text.find("{")
+        depth, quoted, escaped = 0, False, False
+        for i, c in enumerate(text[at:] if at >= 0 else ""):
+            if quoted:
+                escaped, quoted = (False, True) if escaped else (c == "\\", c != '"')
+            elif c == '"':
+                quoted = True
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    return text[at : at + i + 1]
+        return None
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices('{}"\\a\né😀', [4, 4, 3, 2, 3, 1, 1, 1], k=rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["x{" + '"' + '\\"' * 200_000 + '"' + "a" * 200_000 + "}y", "{" + '"' + "\\", "{" * 3000 + "}" * 3000, "", "none"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", scalars.first_object(F.col("t")).alias("o")).collect()
+    assert {r.i: r.o for r in got} == {i: brute(t) for i, t in enumerate(texts)}

@@ -119,24 +119,21 @@ def first_object(text: Column) -> Column:
     return F.when((F.instr(text, "{") > 0) & (end > 0), F.substring(tail, F.lit(1), end))
 
 
+#: A whole string, a brace, or a stretch without either; possessive, so that long texts need no stack.
+_JSON_PIECES = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[{}]|[^"{}]++'
+
+
 def _object_end(text: Column) -> Column:
-    """Length of the balanced object that the text begins with, 0 if it is never closed: a fold over characters."""
-
-    def merge(s: Column, c: Column) -> Column:
-        quote, open_, close, back = (c == x for x in ('"', "{", "}", "\\"))
-        plain = ~s["esc"] & ~s["str"]
-        depth = F.when(plain & ~quote & open_, s["depth"] + 1).when(plain & ~quote & close, s["depth"] - 1).otherwise(s["depth"])
-        new = F.struct(
-            depth.alias("depth"),
-            F.when(~s["esc"] & quote, ~s["str"]).otherwise(s["str"]).alias("str"),
-            (~s["esc"] & s["str"] & back).alias("esc"),
-            (s["i"] + 1).alias("i"),
-            F.when(plain & close & (s["depth"] == 1), s["i"] + 1).otherwise(F.lit(0)).alias("end"),
-        )
+    """Length of the balanced object that the text begins with, 0 if it is never closed: a fold over strings, braces and the stretches between."""
+
+    def merge(s: Column, piece: Column) -> Column:
+        depth = s["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        i = s["i"] + F.length(piece)
+        new = F.struct(depth.alias("depth"), i.alias("i"), F.when(depth == 0, i).otherwise(F.lit(0)).alias("end"))
         return F.when(s["end"] > 0, s).otherwise(new)
 
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("str"), F.lit(False).alias("esc"), F.lit(0).alias("i"), F.lit(0).alias("end"))
-    return F.aggregate(F.split(text, ""), zero, merge, lambda s: s["end"])
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.lit(0).alias("end"))
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_JSON_PIECES), F.lit(0)), zero, merge, lambda s: s["end"])
 
 
 def verdict(text: Column) -> tuple[Column, Column]:
