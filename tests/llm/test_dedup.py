@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from threadlens.llm import substring
@@ -257,3 +258,30 @@ def test_vectors(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near(spark, spark.read.parquet(f"{SF}/embeddings.parquet")).collect())
     assert got == brute_vectors(data)
     assert vectors.near(spark, df.limit(0)).collect() == []
+
+
+def test_meetings(spark):
+    """Every key's documents with its smallest one, whether the key is rare, in many batches, or in most rows of one."""
+    from threadlens.llm.common import KEYS, Kept, handing_back, meetings, packed_keys
+
+    rng = np.random.default_rng(3)
+    rows = [(7, d) for d in range(5000, 100, -1)] + [(8, d) for d in range(0, 5000, 250)] + [(9, 11), (10, 12), (10, 12)]
+    rows += [(int(k) - 50, int(d)) for k, d in zip(rng.integers(0, 100, 8000) ** 2, rng.integers(-300, 3000, 8000))]
+    rng.shuffle(rows)
+    rows = [(int(k), int(d)) for k, d in rows]
+
+    def pack(batches):
+        for b in batches:
+            yield packed_keys(b.column("key").to_numpy(), b.column("doc").to_numpy())
+
+    docs = {}
+    for k, d in rows:
+        docs.setdefault(k, set()).add(d)
+    want = {(k, d, min(ds)) for k, ds in docs.items() if len(ds) > 1 for d in ds}
+    for files in (1, 7, 300):
+        keys = spark.createDataFrame(rows, "key long, doc long").repartition(files).mapInArrow(handing_back(pack), KEYS)
+        found = meetings(Kept(spark), "met", keys, 5).collect()
+        assert {tuple(r) for r in found} - {(10, 12, 12)} == want
+        if files < 300:  # few batches hold nearly every key often
+            assert max(len(r.more or b"") for r in keys.where("salt = 0").collect()) <= 16 * 8
+    assert meetings(Kept(spark), "met", keys.limit(0), 5).collect() == []

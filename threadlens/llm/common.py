@@ -230,17 +230,30 @@ def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, max_b
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def meetings(keys: DataFrame, parts: int) -> DataFrame:
-    """From (key, doc, more) rows the rows (key, doc, first) of every key that two documents or more share.
+#: Rows of packed_keys().
+KEYS = "key long, doc long, more binary, salt int"
+#: Documents of a key in one batch beyond which all but two go around the key's partition, and the most in one such row.
+ASIDE, ASIDE_ROW = 16, 1024
 
-    doc is the smallest document of a map-side batch and more its others, packed. A partition is sorted and streamed, so
-    a key of any frequency needs no memory; first is the key's smallest document.
+
+def meetings(kept: Kept, name: str, keys: DataFrame, parts: int) -> DataFrame:
+    """From rows of packed_keys() the rows (key, doc, first) of every key that two documents or more share.
+
+    first is the key's smallest document. It is found in two steps: the rows of salt 0, at most a few ids of a key from each
+    map-side batch, meet in the key's partition, which is sorted and streamed, so a key of any frequency needs no memory.
+    Rows of other salts hold the many other documents of a frequent key; they are spread over all partitions, and learn the
+    key's first from a join. The table `name` is kept and may be dropped once the result has been written.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_first = None
         shared, held = False, None  # whether the last key's rows are being passed on; its one row if not yet
+        names = ["key", "doc", "first", "more"]
         for batch in batches:
+            salted = pa.compute.greater(batch.column("salt"), 0)
+            aside, batch = batch.filter(salted), batch.filter(pa.compute.invert(salted))
+            if aside.num_rows:
+                yield pa.RecordBatch.from_arrays([aside.column("key"), aside.column("doc"), pa.nulls(aside.num_rows, pa.int64()), aside.column("more")], names=names)
             if not batch.num_rows:
                 continue
             key = batch.column("key").to_numpy(zero_copy_only=False)
@@ -270,13 +283,29 @@ def meetings(keys: DataFrame, parts: int) -> DataFrame:
                     f = np.r_[f, np.repeat([e[1] for e in extra], sizes)]
                     d = np.r_[d, np.concatenate([e[2] for e in extra])]
             for i in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 100_000]) for v in (k, d, f)], names=["key", "doc", "first"])
+                part = [pa.array(v[i : i + 100_000]) for v in (k, d, f)]
+                yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), pa.binary())], names=names)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "more", 4 << 20):
+            sizes = np.asarray(pa.compute.binary_length(batch.column("more"))) // 8
+            key, first = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("key", "first"))
+            doc = np.frombuffer(b"".join(batch.column("more").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(first)], names=["key", "doc", "first"])
 
-    return keys.repartition(parts, "key").sortWithinPartitions("key", "doc").mapInArrow(handing_back(run), "key long, doc long, first long")
+    spread = keys.repartition(parts, "key", "salt").sortWithinPartitions("salt", "key", "doc")
+    found = kept.keep(name, spread.mapInArrow(handing_back(run), "key long, doc long, first long, more binary"))
+    met, aside = found.where("more is null").select("key", "doc", "first"), found.where("more is not null").select("key", "more")
+    # A key whose documents went aside has two in its own partition, so that its first is among the rows met there.
+    firsts = met.where("doc = first").join(aside.select("key").distinct(), "key", "left_semi").select("key", "first").distinct()
+    return met.union(aside.join(firsts, "key").mapInArrow(handing_back(unpack), "key long, doc long, first long"))
 
 
 def packed_keys(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-    """Rows (key, doc, more) for meetings(): one row per key of the batch."""
+    """Rows (key, doc, more, salt) for meetings(): of salt 0, one per key of the batch, with its smallest document and the others.
+
+    Of a key with more than ASIDE others, all but one go in rows of their own, of other salts.
+    """
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     new = np.ones(len(key), bool)
@@ -284,10 +313,18 @@ def packed_keys(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     key, doc = key[new], doc[new]
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     ends = np.r_[at[1:], len(key)].astype(np.int64)
-    more = [None] * len(at)
+    more, aside = [None] * len(at), []
     for i in np.flatnonzero(ends - at > 1).tolist():
-        more[i] = doc[at[i] + 1 : ends[i]].tobytes()
-    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(doc[at]), pa.array(more, pa.binary())], names=["key", "doc", "more"])
+        others = doc[at[i] + 1 : ends[i]]
+        if len(others) <= ASIDE:
+            more[i] = others.tobytes()
+            continue
+        more[i] = others[:1].tobytes()
+        for s in range(1, len(others), ASIDE_ROW):
+            aside.append((at[i], others[s : s + ASIDE_ROW].tobytes(), 1 + int(others[s]) % 1021))
+    rows = np.r_[at, np.array([a for a, _, _ in aside], np.int64)]
+    salt = np.r_[np.zeros(len(at), np.int32), np.array([s for _, _, s in aside], np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(doc[rows]), pa.array(more + [m for _, m, _ in aside], pa.binary()), pa.array(salt, pa.int32())], names=["key", "doc", "more", "salt"])
 
 
 def cuts_of(rows: DataFrame, keys: list[str], cap: int, size: Column | None = None, most: int = 1) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, WordHashes, arrow_map, attached, blocked, connected_components, cuts_of, gram_hashes, groups, handing_back, in_batches, meetings, mix64, packed_keys, parts_for, pick, raw, with_class
+from .common import KEYS, Kept, WordHashes, arrow_map, attached, blocked, connected_components, cuts_of, gram_hashes, groups, handing_back, in_batches, meetings, mix64, packed_keys, parts_for, pick, raw, with_class
 
 GRAM, PERCENT = 5, 80
 #: Cells of a sketch: at least these, and about one for each four to eight shingles up to 2 ** MOST_BITS.
@@ -323,8 +323,9 @@ def similar(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col
                 owner.append(np.full(len(keys[-1]), doc, np.int64))
         yield packed_keys(np.concatenate(keys), np.concatenate(owner))
 
-    met = meetings(arrow_map(docs, prefixes, "key long, doc long, more binary", max_bytes=16 << 20), parts).where("doc <> first").select(F.col("first").alias("p"), "doc").distinct()
+    met = meetings(kept, "meetings", arrow_map(docs, prefixes, KEYS, max_bytes=16 << 20), parts).where("doc <> first").select(F.col("first").alias("p"), "doc").distinct()
     met = kept.keep("met", met)
+    kept.drop("meetings")
     # Documents with equal sets meet at the same shingles, so a region needs representatives only.
     members = met.union(met.select("p", F.col("p").alias("doc")).distinct()).join(heads.select("doc", "n", "sketch"), "doc")
     large = kept.keep("large_met", cuts_of(members, ["p"], caps[0], F.length("sketch"), TASK_BYTES))

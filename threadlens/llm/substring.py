@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, WordHashes, arrow_map, attached, gram_hashes, handing_back, in_batches, meetings, packed_keys, parts_for, pick, raw
+from .common import KEYS, Kept, WordHashes, arrow_map, attached, gram_hashes, handing_back, in_batches, meetings, packed_keys, parts_for, pick, raw
 
 WINDOW, GRAM = 13, 5
 #: Words of excerpts that one automaton's task holds; larger groups are sliced. Windows of an excerpt, which is cut beyond.
@@ -60,7 +60,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield _anchors(hashes, batch)
 
-    return arrow_map(docs, run, "key long, doc long, more binary", max_bytes=16 << 20)
+    return arrow_map(docs, run, KEYS, max_bytes=16 << 20)
 
 
 SPLIT = "what string, doc_id long, uid long, src long, start long, n_words long, body binary, sha string"
@@ -252,11 +252,12 @@ def dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
     """Per row: doc_id, n_words, n_removed, kept_sha256, and kept_text where words were removed (else null)."""
     kept, docs = Kept(spark), pick(df, id_col, text_col)
     parts = parts_for(spark, docs)
-    routes = kept.keep("routes", meetings(anchors(docs), parts))
+    # Rows without an id have no routes, and are spread by their text.
+    routes = meetings(kept, "routes", anchors(docs), parts)
     null = lambda kind: F.lit(None).cast(kind)
     both = docs.select("doc_id", F.lit(1).alias("kind"), null("long").alias("key"), null("long").alias("first"), "text").union(
         routes.select(F.col("doc").alias("doc_id"), F.lit(0), "key", "first", null("string")))
-    split = kept.keep("split", both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(handing_back(_split), SPLIT), ("what",))
+    split = kept.keep("split", both.repartition(parts, F.coalesce("doc_id", F.xxhash64("text"))).sortWithinPartitions("doc_id", "kind").mapInArrow(handing_back(_split), SPLIT), ("what",))
     kept.drop("routes")
     excerpts = split.where("what = 'part'")
     sized = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n_words").alias("n")).where(F.col("n") > slice_words)
