@@ -157,12 +157,13 @@ def summarise(sessions: DataFrame, chunks: DataFrame, runner: Callable, model: s
     return store.set_summaries(sessions, answers, model, now)
 
 
-def synthesis_prompt(rows: DataFrame, start: str, end: str, limit: int = 80) -> DataFrame:
-    """One row: the activity report's prompt, a line a session in order of activity, of the report's first `limit` sessions."""
+def synthesis_prompt(rows: DataFrame, start: str, end: str, limit: int | None = 80) -> DataFrame:
+    """One row: the activity report's prompt, a line a session in order of activity, of the report's first `limit` sessions or of all; null if there are none."""
     at = F.coalesce("last_active_at", "started_at")
-    rows = rows.orderBy(at, "id").limit(limit)
+    rows = rows if limit is None else rows.orderBy(at, "id").limit(limit)
     line = F.concat(F.lit("- ["), F.coalesce(F.date_format(at, "MM-dd HH:mm"), F.lit("?")), F.lit("] "), F.coalesce("cwd", "project_path"), F.lit(" ("), F.coalesce("git_branch", F.lit("-")),
         F.lit(", "), F.col("turn_count").cast("string"), F.lit("t): "), F.coalesce("summary_title", F.lit("(no title)")), F.when(F.coalesce("summary_short", F.lit("")) != "", F.concat(F.lit("\n    "), "summary_short")).otherwise(""))
     lines = F.array_sort(F.collect_list(F.struct(at.alias("at"), "id", line.alias("line"))))
     head, tail = f"Activity from {start} to {end}.\n\nSummaries of the sessions:\n\n", "\n\nWrite two to four flowing paragraphs grouped by theme: main lines of work, decisions, what landed and what is open."
-    return rows.agg(F.concat(F.lit(head), F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit(tail)).alias("prompt"))
+    prompt = F.concat(F.lit(head), F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit(tail))
+    return rows.agg(F.when(F.count(F.lit(1)) > 0, prompt).alias("prompt"))
