@@ -6,7 +6,6 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.state import shared_dir
+from ..sources.state import shared_dir, shuffles_released
 
 #: Words, in every contract here, are separated by space and U+0009 to U+000D, which is where bytes.split() cuts.
 SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
@@ -108,20 +107,6 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType, column: str
     return df.mapInArrow(handing_back(run), schema)
 
 
-_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is run in here go when it ends: a written table replaces its lineage."""
-    before = spark.conf.get(_RELEASE, "false")
-    spark.conf.set(_RELEASE, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_RELEASE, before)
-
-
 class Kept:
     """Tables written to the shared folder to cut lineage; drop() removes those no longer needed.
 

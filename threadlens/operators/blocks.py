@@ -2,11 +2,12 @@
 
 Chunks are put into ranges of about SIZE by length and hash, the same for all terms, so the bounds of a range add up over
 terms. A block is one row: a term's postings within a range, the most occurrences and the shortest chunk among them. The
-bounds are read without the postings.
+bounds are read without the postings. A file holds whole ranges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
@@ -17,6 +18,8 @@ from ..sources.state import written
 from . import search
 
 SIZE = 128
+#: Tokens that a range holds, if more than one chunk, and those that a task makes blocks of; about.
+RANGE_TOKENS, TASK_TOKENS = 500_000, 1_000_000
 #: Length classes a doubling of the length is cut into; a range's number is its class and its place in the class.
 CLASSES, PLACES = 4, 1 << 32
 #: Ranges scored first, and times as many in each further round until there are enough hits; what rounding may add to a score.
@@ -24,31 +27,47 @@ FIRST, MORE, SLACK = 32, 8, 2e-9
 
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """(blocks, lengths) of chunks."""
-    postings, lengths = search.build_postings(chunks, id_col, text_col)
-    return pack(postings, lengths, size), lengths
-
-
-def pack(postings: DataFrame, lengths: DataFrame, size: int = SIZE) -> DataFrame:
-    """Blocks of (term, chunk_id, positions) and (chunk_id, len)."""
+    """(blocks, lengths) of chunks. A text moves once, to the task of its range, where the range's blocks are made; postings do not move."""
+    tokens = search.tokens(F.col("text"))
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
+    lengths = written(rows.select("chunk_id", F.size(tokens).alias("len")), "lengths")
+    block, tasks = _ranges(lengths, size)
+    # The length comes out of a generator, so that the optimizer does not copy it into each of its uses.
+    near = rows.select("chunk_id", "text", F.explode(F.array(F.size(tokens))).alias("len")).withColumn("block", block).repartition(tasks, "block")
+    each = near.select("block", "chunk_id", "len", F.posexplode(tokens).alias("at", "term"))
+    postings = each.groupBy("block", "term", "chunk_id", "len").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    return _packed(postings), lengths
+
+
+def _ranges(lengths: DataFrame, size: int) -> tuple[Column, int]:
+    """The range of a chunk, from its chunk_id and len, and the tasks that all ranges are dealt to."""
     length_class = F.floor(F.log2(F.col("len") + 1) * CLASSES).cast("long")
-    parts = {r["c"]: -(-r["count"] // size) for r in lengths.groupBy(length_class.alias("c")).count().collect()}  # a hundred classes or so
+    found = lengths.groupBy(length_class.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).collect()  # a hundred classes or so
+    parts = {r["c"]: max(-(-r["n"] // size), -(-r["tokens"] // RANGE_TOKENS)) for r in found}
     of_class = F.create_map(*[F.lit(x) for kv in sorted(parts.items()) for x in kv]) if parts else F.create_map().cast("map<bigint,bigint>")
     place = F.pmod(F.xxhash64("chunk_id"), F.coalesce(F.try_element_at(of_class, length_class).cast("long"), F.lit(1)))
-    ranged = lengths.withColumn("block", length_class * PLACES + place)
-    rows = postings.join(ranged, "chunk_id").select("term", "block", F.struct("chunk_id", "len", "positions").alias("p"))
-    return _packed(rows)
+    return length_class * PLACES + place, max(1, -(-sum(r["tokens"] for r in found) // TASK_TOKENS))
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """(term, block, p) rows as blocks; a block holds at most about SIZE postings."""
-    found = F.array_sort(F.collect_list("p"))
-    return rows.groupBy("term", "block").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.size("p.positions")).alias("max_f"), F.min("p.len").alias("min_len"), found.alias("postings"))
+def repacked(blocks: DataFrame, lengths: DataFrame, gone: DataFrame | None, slices: int = 1, size: int = SIZE) -> Iterator[DataFrame]:
+    """Blocks with a column seq, and the (chunk_id, len) that stay, as blocks of new ranges: a slice of the ranges after the other, so
+    that only one slice's postings move at a time. gone: (chunk_id, seq) of the postings that are left out."""
+    block, tasks = _ranges(lengths, size)
+    rows = blocks.select("term", "seq", F.explode("postings").alias("p")).select("term", "seq", "p.*")
+    rows = rows if gone is None else rows.join(gone, ["chunk_id", "seq"], "left_anti")
+    for k in range(slices):
+        some = rows.withColumn("block", block).where(F.pmod(F.xxhash64("block"), F.lit(slices)) == k)
+        yield _packed(some.select("block", "term", "chunk_id", "len", "positions").repartition(-(-tasks // slices), "block"))
 
 
-def clustered(blocks: DataFrame) -> DataFrame:
-    """Sorted by term and range within files of distinct ranges of both, so that their filters skip row groups."""
-    return blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+def _packed(postings: DataFrame) -> DataFrame:
+    """(block, term, chunk_id, len, positions) rows, those of a range in one task, as blocks; a block holds at most about SIZE postings.
+
+    Sorted by term and range within a task's file, so that a search reads the pages of its terms only.
+    """
+    rows = postings.select("block", "term", F.struct("chunk_id", "len", "positions").alias("p"))
+    made = rows.groupBy("block", "term").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.size("p.positions")).alias("max_f"), F.min("p.len").alias("min_len"), F.array_sort(F.collect_list("p")).alias("postings"))
+    return made.select("term", "block", "n", "max_f", "min_len", "postings").sortWithinPartitions("term", "block")
 
 
 def unpacked(blocks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import truncate
 from ..schemas import BUCKET_KEYS, KEYS, PROVIDER_A, SEGMENTS, TABLES
+from ..sources.state import shuffles_released, written
 from . import blocks, cells, search
 from .usage import session_cost
 
@@ -171,6 +172,8 @@ class Transaction:
 
     #: Segments of like size that are merged into one.
     MERGE = 4
+    #: Postings that a merge moves at a time, about, and times that it reads the segments for that at most.
+    SLICE_ROWS, SLICES = 8_000_000, 8
 
     def __init__(self, store: Store):
         self.store, self.spark, self.base, self.seen = store, store.spark, store.base, store.manifest()
@@ -207,7 +210,9 @@ class Transaction:
         wanted = self.spark.createDataFrame([], TABLES[table]).schema
         columns = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]
         # Rebalanced, so that a bucket of any size is written by as many tasks as its bytes need.
-        df.select(*columns).withColumn("bucket", self.bucket(table)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.base}/{path}")
+        rows = df.select(*columns).withColumn("bucket", self.bucket(table)).hint("rebalance", "bucket")
+        with shuffles_released(self.spark):
+            rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.base}/{path}")
         written = {n.split("=")[1]: f"{path}/{n}" for n in self.store._names(path) if n.startswith("bucket=")}
         given = set(map(str, range(self.buckets) if buckets is None else buckets))
         if not set(written) <= given:
@@ -270,11 +275,13 @@ class Transaction:
             found = found.unionByName(near.select("chunk_id", "dist")).orderBy("dist", "chunk_id").limit(k)
         return found, counts
 
-    def _write_segment(self, made: DataFrame, lengths: DataFrame, seq: int) -> dict:
+    def _write_segment(self, made: Iterable[DataFrame], lengths: DataFrame, seq: int) -> dict:
         folder = f"{self.run}-{uuid.uuid4().hex[:8]}"
         paths = {"blocks": f"data/blocks/{folder}", "lengths": f"data/lengths/{folder}"}
-        lengths.write.parquet(f"{self.base}/{paths['lengths']}")
-        blocks.clustered(made).write.parquet(f"{self.base}/{paths['blocks']}")
+        with shuffles_released(self.spark):
+            lengths.write.option("compression", "zstd").parquet(f"{self.base}/{paths['lengths']}")
+            for part in made:
+                part.write.mode("append").option("compression", "zstd").parquet(f"{self.base}/{paths['blocks']}")
         count = lambda kind, value: self.spark.read.schema(SEGMENTS[kind]).parquet(f"{self.base}/{paths[kind]}").agg(F.coalesce(F.sum(value), F.lit(0))).first()[0]
         return paths | {"seq": seq, "rows": count("blocks", F.col("n")), "chunks": count("lengths", F.lit(1))}
 
@@ -286,7 +293,8 @@ class Transaction:
             dead.select(F.col("chunk_id").cast("long")).distinct().write.parquet(f"{self.base}/{path}")
             if not self.spark.read.schema("chunk_id long").parquet(f"{self.base}/{path}").isEmpty():
                 self.dead = {"seq": seq, "path": path}
-        made = self._write_segment(*blocks.build(chunks, "id"), seq)
+        made, lengths = blocks.build(chunks, "id")
+        made = self._write_segment([made], lengths, seq)
         self.segments = [made] if made["chunks"] else []
         self._merge()
 
@@ -302,9 +310,14 @@ class Transaction:
         if len(every) - at < self.MERGE:
             return
         self.touched.setdefault("segments", set()).add("*")
-        group = every[at:]
-        found, lengths = self.postings(group)
-        whole = self._write_segment(blocks.pack(blocks.postings(found), lengths), lengths, group[-1]["seq"])
+        group, gone = every[at:], None
+        lengths = self._live(group, "lengths")
+        if any(d["seq"] > s["seq"] for d in self._dead() for s in group):
+            gone = written(lengths.join(self._died(), "chunk_id").where("died > seq").select("chunk_id", "seq"), "gone")
+            lengths = lengths.join(gone, ["chunk_id", "seq"], "left_anti")
+        lengths = written(lengths.select("chunk_id", "len"), "lengths")
+        slices = min(self.SLICES, -(-total // self.SLICE_ROWS))
+        whole = self._write_segment(blocks.repacked(self._live(group, "blocks"), lengths, gone, slices), lengths, group[-1]["seq"])
         self.merged = [s["blocks"] for s in group]
         self.segments = [whole] if whole["chunks"] else []
 

@@ -23,7 +23,7 @@ def bm25_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bm25_topk, from blocks of which those that cannot reach the best hits are not read."""
     chunks, sessions, _ = views.corpus(spark, sf_dir)
     made, lengths = blocks.build(chunks)
-    top, _ = blocks.lexical(written(made, "blocks"), written(lengths, "lengths"), chunks, sessions, QUERY, POOL)
+    top, _ = blocks.lexical(written(made, "blocks"), lengths, chunks, sessions, QUERY, POOL)
     return top.select("chunk_id", "session_id", F.round("bm25", 6).alias("bm25"), long("fts_rank"))
 
 
