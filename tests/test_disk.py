@@ -21,7 +21,7 @@ def exchanges(df):
 
 def kept_shuffles(spark):
     files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
-    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+    return {files.apply(i).getName(): files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().endswith(".data")}
 
 
 def test_blocks_are_made_of_texts_that_move_once(spark, chunks):
@@ -31,3 +31,30 @@ def test_blocks_are_made_of_texts_that_move_once(spark, chunks):
     key = lambda df: sorted((r.term, r.chunk_id, tuple(r.positions)) for r in df.collect())
     assert key(blocks.postings(made)) == key(whole[0]) and sorted(map(tuple, lengths.collect())) == sorted(map(tuple, whole[1].collect()))
     assert made.groupBy("term", "block").count().where("count > 1").isEmpty()
+
+
+def test_merges_move_postings_once_in_slices(spark, chunks, tmp_path, monkeypatch):
+    made, lengths = blocks.build(chunks, "id")
+    parts = list(blocks.repacked(made.withColumn("seq", F.lit(1)), lengths, None, slices=3, size=16))
+    assert [exchanges(p) for p in parts] == [2, 2, 2] and all(not p.isEmpty() for p in parts)  # one of texts, one of postings
+    monkeypatch.setattr(store.Transaction, "SLICE_ROWS", 400)
+    tables, ids = store.Store(spark, f"file://{tmp_path}/s", buckets=2), F.col("id").alias("chunk_id")
+    none, again = chunks.where("id is null"), chunks.where("id % 10 = 0").withColumn("text", F.lit("new élan"))
+    for new, gone in [(chunks.where("id % 2 = 0"), none), (chunks.where("id % 4 = 1"), none), (chunks.where("id % 4 = 3"), none), (again, again)]:
+        tables.commit(lambda run, new=new, gone=gone: run.add_segment(new, gone.select(ids)))
+    assert len(tables.manifest()["segments"]) == 1 and not tables.manifest()["dead"]
+    live = chunks.where("id % 10 <> 0").unionByName(again)
+    whole, (found, lengths) = search.build_postings(live, "id"), tables.postings()
+    key = lambda df: sorted((r.term, r.chunk_id, tuple(r.positions)) for r in df.collect())
+    assert key(blocks.postings(found)) == key(whole[0]) and sorted(map(tuple, lengths.collect())) == sorted(map(tuple, whole[1].collect()))
+    assert found.groupBy("term", "block").count().where("count > 1").isEmpty()
+
+
+def test_stores_leave_no_shuffles(spark, chunks, tmp_path):
+    tables, before = store.Store(spark, f"file://{tmp_path}/s", buckets=2), kept_shuffles(spark)
+    rows, none = chunks.repartition(3, "text"), chunks.where("id is null").select(F.col("id").alias("chunk_id"))
+    tables.write("chunks", rows)
+    assert set(kept_shuffles(spark)) <= set(before)
+    tables.commit(lambda run: run.add_segment(rows, none))
+    assert all(n < 4000 for f, n in kept_shuffles(spark).items() if f not in before)  # counts by length, but no texts
+    assert all(f.endswith(".zstd.parquet") for f in [*tables.read("chunks").inputFiles(), *tables.postings()[0].inputFiles()])
