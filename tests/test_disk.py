@@ -39,11 +39,11 @@ def test_merges_move_postings_once_in_slices(spark, chunks, tmp_path, monkeypatc
     assert [exchanges(p) for p in parts] == [2, 2, 2] and all(not p.isEmpty() for p in parts)  # one of texts, one of postings
     monkeypatch.setattr(store.Transaction, "SLICE_ROWS", 400)
     tables, ids = store.Store(spark, f"file://{tmp_path}/s", buckets=2), F.col("id").alias("chunk_id")
-    none, again = chunks.where("id is null"), chunks.where("id % 10 = 0").withColumn("text", F.lit("new élan"))
+    none, again = chunks.where("id is null"), chunks.where("id % 3 = 0").withColumn("text", F.concat(F.lit("new élan "), "text"))
     for new, gone in [(chunks.where("id % 2 = 0"), none), (chunks.where("id % 4 = 1"), none), (chunks.where("id % 4 = 3"), none), (again, again)]:
         tables.commit(lambda run, new=new, gone=gone: run.add_segment(new, gone.select(ids)))
     assert len(tables.manifest()["segments"]) == 1 and not tables.manifest()["dead"]
-    live = chunks.where("id % 10 <> 0").unionByName(again)
+    live = chunks.where("id % 3 <> 0").unionByName(again)
     whole, (found, lengths) = search.build_postings(live, "id"), tables.postings()
     key = lambda df: sorted((r.term, r.chunk_id, tuple(r.positions)) for r in df.collect())
     assert key(blocks.postings(found)) == key(whole[0]) and sorted(map(tuple, lengths.collect())) == sorted(map(tuple, whole[1].collect()))
