@@ -58,3 +58,17 @@ def test_stores_leave_no_shuffles(spark, chunks, tmp_path):
     tables.commit(lambda run: run.add_segment(rows, none))
     assert all(n < 4000 for f, n in kept_shuffles(spark).items() if f not in before)  # counts by length, but no texts
     assert all(f.endswith(".zstd.parquet") for f in [*tables.read("chunks").inputFiles(), *tables.postings()[0].inputFiles()])
+
+
+def test_segments_move_texts_in_parts(spark, chunks, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocks, "SLICE_TOKENS", 4000)
+    parts, lengths = blocks.sliced(chunks, "id", size=16)
+    moved = [p.select(F.explode("postings.chunk_id").alias("id")).distinct().count() for p in parts]
+    assert [exchanges(p) for p in parts] == [1] * 4 and 0 < max(moved) < 0.4 * sum(moved)
+    tables, kept, write = store.Store(spark, f"file://{tmp_path}/s", buckets=2), [], store.Transaction._write_segment
+    monkeypatch.setattr(store.Transaction, "_write_segment", lambda run, made, *rest: write(run, kept.extend(made) or kept, *rest))
+    tables.commit(lambda run: run.add_segment(chunks, chunks.where("id is null").select(F.col("id").alias("chunk_id"))))
+    whole, (found, lengths) = search.build_postings(chunks, "id"), tables.postings()
+    key = lambda df: sorted((r.term, r.chunk_id, tuple(r.positions)) for r in df.collect())
+    assert len(kept) == 4 and key(blocks.postings(found)) == key(whole[0]) and sorted(map(tuple, lengths.collect())) == sorted(map(tuple, whole[1].collect()))
+    assert found.groupBy("term", "block").count().where("count > 1").isEmpty()

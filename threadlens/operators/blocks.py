@@ -20,7 +20,9 @@ from . import search
 SIZE = 128
 #: Tokens that a range holds, if more than one chunk, and those that a task makes blocks of; about.
 RANGE_TOKENS, TASK_TOKENS = 500_000, 1_000_000
-#: Length classes a doubling of the length is cut into; a range's number is its class and its place in the class.
+#: Tokens whose texts are moved at a time when blocks are made in parts, about, and parts at most.
+SLICE_TOKENS, SLICES = 8_000_000, 8
+#: Length classes a doubling of the length is cut into; a range's number is its class and its place in the class, whose first digits are its part.
 CLASSES, PLACES = 4, 1 << 32
 #: Ranges scored first, and times as many in each further round until there are enough hits; what rounding may add to a score.
 FIRST, MORE, SLACK = 32, 8, 2e-9
@@ -28,15 +30,28 @@ FIRST, MORE, SLACK = 32, 8, 2e-9
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """(blocks, lengths) of chunks. A text moves once, to the task of its range, where the range's blocks are made; postings do not move."""
+    (made,), lengths = sliced(chunks, id_col, text_col, size, most=1)
+    return made, lengths
+
+
+def sliced(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", size: int = SIZE, most: int = SLICES) -> tuple[list[DataFrame], DataFrame]:
+    """(parts of the blocks, lengths) of chunks, which are read once a part: written one after the other, only one part's texts are moved
+    at a time. A part has about SLICE_TOKENS tokens, or more where that would be more than `most` parts; a range lies in one part."""
     tokens = search.tokens(F.col("text"))
     rows = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
     lengths = written(rows.select("chunk_id", F.size(tokens).alias("len")), "lengths")
-    block, tasks = _ranges(lengths, size)
-    # The length comes out of a generator, so that the optimizer does not copy it into each of its uses.
-    near = rows.select("chunk_id", "text", F.explode(F.array(F.size(tokens))).alias("len")).withColumn("block", block).repartition(tasks, "block")
-    each = near.select("block", "chunk_id", "len", F.posexplode(tokens).alias("at", "term"))
-    postings = each.groupBy("block", "term", "chunk_id", "len").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    return _packed(postings), lengths
+    parts = max(1, min(most, -(-(lengths.agg(F.sum("len")).first()[0] or 0) // SLICE_TOKENS)))
+    made = []
+    for k in range(parts):
+        # Told by the id alone, so that no other part's text is cut into tokens.
+        mine = lambda df: df.where(F.pmod(F.xxhash64(F.lit("part"), "chunk_id"), F.lit(parts)) == k) if parts > 1 else df  # noqa: B023, E731
+        block, tasks = _ranges(mine(lengths), size)
+        # The length comes out of a generator, so that the optimizer does not copy it into each of its uses.
+        near = mine(rows).select("chunk_id", "text", F.explode(F.array(F.size(tokens))).alias("len")).withColumn("block", block + k * (PLACES // most)).repartition(tasks, "block")
+        each = near.select("block", "chunk_id", "len", F.posexplode(tokens).alias("at", "term"))
+        postings = each.groupBy("block", "term", "chunk_id", "len").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+        made.append(_packed(postings))
+    return made, lengths
 
 
 def _ranges(lengths: DataFrame, size: int) -> tuple[Column, int]:

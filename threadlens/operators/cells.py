@@ -87,7 +87,8 @@ def _meet(pairs: DataFrame, cells: Cells, k: int) -> DataFrame:
     blocks = [max(1, -(-counts.get(c, 0) // QUERIES)) for c in range(len(cells.sizes))]
     of_cell = lambda values: F.element_at(F.lit([int(v) for v in values]), F.col("cell") + 1)
     asked = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), of_cell(np.maximum(cells.parts, 1)) - 1))).withColumn("block", F.pmod(F.xxhash64("query_id"), of_cell(blocks)).cast("int"))
-    held = cells.members.withColumn("block", F.explode(F.sequence(F.lit(0), of_cell(blocks) - 1)))
+    some = cells.members.where(F.col("cell").isin(sorted(counts)))  # the other cells' vectors do not move
+    held = some.withColumn("block", F.explode(F.sequence(F.lit(0), of_cell(blocks) - 1)))
 
     def nearest(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -254,7 +254,7 @@ class Transaction:
         vectors = self.read("chunk_vectors").where(F.col("model_id") == model_id).withColumn("bucket", self.bucket("chunk_vectors"))
         made, path = cells.build(self.spark, vectors, count, keep="bucket"), f"data/cells/{self.run}"
         if made.placed is not None:
-            made.placed.write.parquet(f"{self.base}/{path}/members")
+            made.placed.write.option("compression", "zstd").parquet(f"{self.base}/{path}/members")
             self.spark.createDataFrame([(c, v.tolist()) for c, v in enumerate(made.centres)], "cell int, v array<double>").write.parquet(f"{self.base}/{path}/centres")
             self.cells[model_id] = {"path": path, "of": dict(folders)}
 
@@ -293,8 +293,7 @@ class Transaction:
             dead.select(F.col("chunk_id").cast("long")).distinct().write.parquet(f"{self.base}/{path}")
             if not self.spark.read.schema("chunk_id long").parquet(f"{self.base}/{path}").isEmpty():
                 self.dead = {"seq": seq, "path": path}
-        made, lengths = blocks.build(chunks, "id")
-        made = self._write_segment([made], lengths, seq)
+        made = self._write_segment(*blocks.sliced(chunks, "id"), seq)
         self.segments = [made] if made["chunks"] else []
         self._merge()
 
