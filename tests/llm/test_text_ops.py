@@ -89,6 +89,32 @@ def test_bpe_rows(spark):
     assert got[0].ids_sha256 == hashlib.sha256(b"").hexdigest() == got[1].decoded_sha256
 
 
+def test_bpe_encodes_new_words_of_a_slice_together(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rnd = tokenizer_path("word_bpe_49k.json"), random.Random(10)
+    lib, own, alone = Tokenizer.from_file(path), bpe.WordBpe(path), []
+    one, word = own.piece, lambda: "".join(rnd.choice(["en", "th", "é", "a", "ß", "QU", "i", "z", "ción"]) for _ in range(rnd.randrange(1, 7))) + rnd.choice(["", "", ",", "$$$", "'s", "12"])
+    texts = [" ".join(word() for _ in range(300)) for _ in range(20)] + ["aaaaaaaaaaaa " * 20, "ΟΔΟΣ Σ İstanbul á ́b \x1c <|endoftext|>ab", "가각 日本語 🙂🙂 ​", "x" * 700, ""]
+    monkeypatch.setattr(own, "piece", lambda piece: alone.append(piece) or one(piece))
+    monkeypatch.setattr(bpe.Remembered, "MOST", 10_000)
+    known = bpe.Remembered(own)
+    known.learn(texts)
+    for t in texts:
+        e = lib.encode(t, add_special_tokens=False)
+        n, ids, decoded = own.digest_parts(t, known)
+        assert (n, [int(i) for i in ids.split()], decoded) == (len(e.ids), e.ids, lib.decode(e.ids, skip_special_tokens=False)), t[:80]
+    pieces = {p for t in texts for p in own.pieces.findall(own.normal(t))}
+    assert len(pieces) > 2000 and len(alone) < 0.2 * len(pieces)
+    monkeypatch.setattr(bpe.Remembered, "MOST", 50)  # what is not held is encoded by itself
+    known = bpe.Remembered(own)
+    known.learn(texts)
+    assert [own.digest_parts(t, known) for t in texts] == [own.digest_parts(t) for t in texts]
+    vocab = [p for p in own.vocab if len(p) > 1]
+    some = list({rnd.choice(vocab).removesuffix(own.suffix) for _ in range(2000)})
+    assert dict(own.entries([p for p in some if p.isascii()])) == {p: one(p) for p in some if p.isascii()}
+
+
 def brute_secrets(text):
     kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
              ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]

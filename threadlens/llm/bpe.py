@@ -3,7 +3,8 @@
 A short word keeps two flat arrays: part boundaries and the rank of each adjacent pair. The smallest rank is found by
 scanning, its boundary is deleted, and only the two neighbouring ranks are looked up again. Scanning costs the square of
 the length, so a piece of more than LONG symbols (text without spaces) keeps its ranks in a heap over linked parts
-instead; the merges are the same.
+instead; the merges are the same. New words of a slice are encoded together: the arrays of pieces of one length are the
+rows of a matrix, and a round merges once in each.
 
 The vocabulary file's path is a parameter. A task remembers a bounded number of words and lets them go when it
 ends. Cases: null text is empty and gives no tokens; texts of any length are split at white space, and a long
@@ -30,7 +31,11 @@ from .common import arrow_map, pick
 
 #: Bits of a symbol's number; symbols of a piece that is scanned.
 BITS, LONG = 24, 256
+#: Pieces of one length that pay for being merged together.
+FEW = 16
 MASK, NO_RANK = (1 << BITS) - 1, 1 << 60
+#: The usual pattern of pieces, in which a word of letters alone is one piece.
+CLIP = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: White space as the vocabulary's pattern has it. str.split() also cuts at U+001C to U+001F, which are not in it.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -78,6 +83,35 @@ def merge_long(parts: list[int], merges: dict[int, int]) -> list[int]:
     return [p for p in parts if p != gone]
 
 
+def merge_rows(parts: np.ndarray, pairs: np.ndarray, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same merges for pieces of one length, a piece a row: (rows, their parts) as they come to an end.
+
+    Each round merges every row's leftmost pair of least rank and takes up one column. pairs: the keys of merges, sorted; found: their values.
+    """
+
+    def rank(keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        return np.where(pairs[at] == keys, found[at], NO_RANK)
+
+    rows, each = np.arange(len(parts)), np.arange(len(parts))
+    ranks = rank(parts[:, :-1] << BITS | parts[:, 1:])
+    while ranks.shape[1]:
+        at = ranks.argmin(axis=1)
+        low = ranks[each, at]
+        if (ends := low == NO_RANK).any():
+            yield rows[ends], parts[ends]
+            rows, parts, ranks, at, low = (a[~ends] for a in (rows, parts, ranks, at, low))
+            each = np.arange(len(rows))
+        columns = np.arange(ranks.shape[1])
+        parts = np.where(columns <= at[:, None], parts[:, :-1], parts[:, 1:])
+        ranks = np.where(columns[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
+        parts[each, at] = new = low & MASK
+        left, right = np.flatnonzero(at > 0), np.flatnonzero(at < ranks.shape[1])
+        ranks[left, at[left] - 1] = rank(parts[left, at[left] - 1] << BITS | new[left])
+        ranks[right, at[right]] = rank(new[right] << BITS | parts[right, at[right] + 1])
+    yield rows, parts
+
+
 def byte_letters() -> list[str]:
     """The printable letter for each byte value: printable Latin-1 stays, the rest follows from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -105,25 +139,53 @@ class WordBpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pieces = regex.compile(splits[0]["pattern"]["Regex"], regex.V0)
+        self.by_letters = splits[0]["pattern"]["Regex"] == CLIP
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # The first number of each byte's letter, inside a piece and at its end.
         letters = byte_letters()
         self.inner, self.last = [of(c) for c in letters], [of(c + self.suffix) for c in letters]
-        self.written = {i: (str(i), token) for token, i in self.vocab.items()}
+        # By number; empty for what only merges name.
+        self.ids, self.tokens = [""] * (len(number) + extra), [""] * (len(number) + extra)
+        for token, i in self.vocab.items():
+            self.ids[i], self.tokens[i] = str(i), token
+        # The same as arrays, for many pieces at once.
+        keys, values = np.fromiter(self.merges, np.int64), np.fromiter(self.merges.values(), np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.found = keys[order], values[order]
 
     def normal(self, word: str) -> str:
         norm = word if word.isascii() else unicodedata.normalize("NFC", word)
-        return norm.lower() if norm.isascii() else "".join([c.lower() for c in norm])
+        # Only a capital sigma is lowered by what is around it.
+        return norm.lower() if norm.isascii() or "\u03a3" not in norm else "".join([c.lower() for c in norm])
 
     def piece(self, piece: str) -> tuple[int, str, str]:
         """Count, ids and tokens of a piece of a normal word; ids and tokens joined by a space."""
         data, inner = piece.encode(), self.inner
         parts = [inner[b] for b in data]
         parts[-1] = self.last[data[-1]]
-        tokens = [w for p in merge_parts(parts, self.merges) if (w := self.written.get(p))]
-        ids, texts = zip(*tokens) if tokens else ((), ())
-        return len(tokens), " ".join(ids), " ".join(texts)
+        return self._entry(merge_parts(parts, self.merges))
+
+    def _entry(self, parts: list[int]) -> tuple[int, str, str]:
+        ids, tokens = [self.ids[p] for p in parts], [self.tokens[p] for p in parts]
+        if "" in ids:
+            ids, tokens = [i for i in ids if i], [t for i, t in zip(ids, tokens) if i]
+        return len(ids), " ".join(ids), " ".join(tokens)
+
+    def entries(self, pieces: list[str]) -> Iterator[tuple[str, tuple[int, str, str]]]:
+        """Each of different pieces with its entry, those of one length together; rare lengths and long pieces one by one."""
+        inner, last, by_length = np.array(self.inner), np.array(self.last), {}
+        for piece in pieces:
+            by_length.setdefault(len(data := piece.encode()), []).append((piece, data))
+        for length, some in by_length.items():
+            if len(some) < FEW or length > LONG or not len(self.pairs):
+                yield from ((piece, self.piece(piece)) for piece, _ in some)
+                continue
+            data = np.frombuffer(b"".join([d for _, d in some]), np.uint8).reshape(-1, length)
+            parts = inner[data]
+            parts[:, -1] = last[data[:, -1]]
+            for rows, ends in merge_rows(parts, self.pairs, self.found):
+                yield from ((some[r][0], self._entry(p)) for r, p in zip(rows.tolist(), ends.tolist()))
 
     def digest_parts(self, text: str, known: "Remembered | None" = None) -> tuple[int, str, str]:
         """Number of tokens, decimal ids joined by a space, decoded text."""
@@ -134,11 +196,7 @@ class WordBpe:
                 entries += [(1, str(self.special[part]), part)] if k % 2 else known.words(part)
         else:
             entries = known.words(text)
-        full = [e for e in entries if e[0]]
-        if not full:
-            return 0, "", ""
-        counts, ids, tokens = zip(*full)
-        return sum(counts), " ".join(ids), " ".join(tokens)
+        return joined(entries)
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.digest_parts(text)[1].split()]
@@ -148,6 +206,16 @@ class WordBpe:
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
+def joined(entries: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    """The entry of what the entries make up; those without a token are passed over."""
+    some = [e for e in entries if e[0]]
+    return sum([e[0] for e in some]), " ".join([e[1] for e in some]), " ".join([e[2] for e in some])
+
+
+def split(text: str) -> list[str]:
+    return text.split() if not _ODD_SPACE.search(text) else [w for w in _SPACE.split(text) if w]
+
+
 class Remembered:
     """Encoded words and the pieces they are made of, in two generations; what the older one still holds costs more look-ups.
 
@@ -155,7 +223,7 @@ class Remembered:
     large, and are not held: an entry has at most a kilobyte, and a third of one on average.
     """
 
-    MOST, LONGEST = 100_000, 64
+    MOST, LONGEST = 150_000, 64
 
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
@@ -179,14 +247,31 @@ class Remembered:
             if len(pieces) == 1:
                 entry = self._piece(pieces[0])
             else:
-                some = [p for p in map(self._piece, pieces) if p[0]]
-                entry = sum([p[0] for p in some]), " ".join([p[1] for p in some]), " ".join([p[2] for p in some])
+                entry = joined([self._piece(p) for p in pieces])
         return self._put(word, entry)
 
+    def learn(self, texts: list[str]) -> None:
+        """Remember the texts' words: the pieces of those that are new are encoded together. What is not held, words() encodes by itself."""
+        young, old, bpe = self.young, self.old, self.bpe
+        words = [w for w in set().union(*map(split, texts)) if w not in young and len(w) <= self.LONGEST]
+        new = [w for w in words if w not in old]
+        for word in words:
+            if entry := old.get(word):
+                self._put(word, entry)
+        # A blank joins no sign to its neighbours, so the words are made normal in one string.
+        cut = bpe.pieces.findall
+        pieces = [[n] if bpe.by_letters and n.isalpha() else cut(n) for n in bpe.normal(" ".join(new)).split(" ")] if new else []
+        known = {p: young.get(p) or old.get(p) for some in pieces for p in some}
+        known.update(bpe.entries([p for p, entry in known.items() if entry is None]))
+        for piece, entry in known.items():
+            self._put(piece, entry)
+        for word, some in zip(new, pieces):
+            if len(some) != 1 or some[0] != word:
+                self._put(word, known[some[0]] if len(some) == 1 else joined([known[p] for p in some]))
+
     def words(self, text: str) -> list[tuple[int, str, str]]:
-        words = text.split() if not _ODD_SPACE.search(text) else [w for w in _SPACE.split(text) if w]
         get, new = self.young.get, self._word
-        return [get(w) or new(w) for w in words]
+        return [get(w) or new(w) for w in split(text)]
 
 
 @lru_cache(maxsize=1)
@@ -204,13 +289,15 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batch: pa.RecordBatch, bpe: WordBpe, known: Remembered) -> Iterator[pa.RecordBatch]:
         n, id_sums, text_sums, all_ids = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            count, joined, decoded = bpe.digest_parts(text or "", known)
+        texts = [text or "" for text in batch.column("text").to_pylist()]
+        known.learn(texts)
+        for text in texts:
+            count, listed, decoded = bpe.digest_parts(text, known)
             n.append(count)
-            id_sums.append(hashlib.sha256(joined.encode()).hexdigest())
+            id_sums.append(hashlib.sha256(listed.encode()).hexdigest())
             text_sums.append(hashlib.sha256(decoded.encode()).hexdigest())
             if ids:
-                all_ids.append(np.fromstring(joined, dtype=np.int32, sep=" "))
+                all_ids.append(np.fromstring(listed, dtype=np.int32, sep=" "))
         arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if ids:
